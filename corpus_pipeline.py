@@ -18,7 +18,8 @@ QUALITY = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
+    score = rows.fresh(docs, "score")
+    return quality.with_score(docs, model, score).where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

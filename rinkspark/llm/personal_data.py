@@ -174,30 +174,31 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every span of personal data replaced by its kind in brackets; n_chars follows."""
-    keyed = rows.written(docs.select(F.monotonically_increasing_id().alias("row"), "*"))
-    spans = scan(keyed.select(F.col("row").alias("doc_id"), "text"), rounds)
-    touched = rows.written(spans.where("size(spans) > 0").withColumnRenamed("doc_id", "row"))
-    out = keyed.join(rows.small(touched), "row", "left")
-    return out.select(*docs.columns, "spans").mapInArrow(_mask, keyed.select(*docs.columns).schema)
-
-
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
-            text = text.as_py()
-            if spans:
-                parts, at = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if s["end"] <= at:
-                        continue
-                    parts += [text[at : max(at, s["start"])], f"[{s['kind'].upper()}]"]
-                    at = s["end"]
-                text = "".join(parts) + text[at:]
-            texts.append(text)
-        names = [n for n in batch.schema.names if n != "spans"]
-        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-        if "n_chars" in names:
-            i = names.index("n_chars")
-            columns[i] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+    row, found = rows.fresh(docs, "row"), rows.fresh(docs, "spans")
+    keyed = rows.written(docs.select(F.monotonically_increasing_id().alias(row), *docs.columns))
+    spans = scan(keyed.select(F.col(row).alias("doc_id"), "text"), rounds)
+    touched = rows.written(spans.where("size(spans) > 0").select(F.col("doc_id").alias(row), F.col("spans").alias(found)))
+    out = keyed.join(rows.small(touched), row, "left").select(*docs.columns, found)
+    return out.mapInArrow(_masker(found), keyed.select(*docs.columns).schema)
+
+
+def _without(text: str, spans: list[dict]) -> str:
+    parts, at = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["end"] > at:
+            parts += [text[at : max(at, s["start"])], f"[{s['kind'].upper()}]"]
+            at = s["end"]
+    return "".join(parts) + text[at:]
+
+
+def _masker(found: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_without(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column(found).to_pylist())]
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in batch.schema.names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+            names = [n for n in batch.schema.names if n != found]
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
+
+    return run

@@ -193,21 +193,18 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     return Model(mean, spread, _ridge(sums[0] + sums[1]), *isotonic(other, y))
 
 
-def _score(model: Model):
+def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [model.scores(data, offsets) for _, _, data, offsets in _slices(batch)]
-            scores = np.concatenate(out) if out else np.zeros(0)
-            keep = [n for n in batch.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(scores)], names=[*keep, "score"])
+            yield batch.append_column(name, pa.array(np.concatenate(out) if out else np.zeros(0)))
 
     return run
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1); one of that name is replaced."""
-    kept = docs.drop("score")
-    return kept.mapInArrow(_score(model), kept.withColumn("score", F.lit(0.0)).schema)
+def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1), which it must not have yet."""
+    return docs.mapInArrow(_score(model, name), docs.withColumn(name, F.lit(0.0)).schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, cut: float = 0.3) -> DataFrame:

@@ -68,6 +68,14 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores after it, so that no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key() -> list:
     """Two independent 64-bit hashes of the text and its length: the identity of a distinct text."""
     text = F.coalesce(F.col("text"), F.lit(""))

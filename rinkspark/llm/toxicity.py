@@ -21,6 +21,7 @@ from rinkspark.llm.hashing import LOWER, Prefixes, apart, words
 #: Hash buckets of words and grams, and the features the classifier keeps of them.
 BUCKETS = 1 << 18
 FEATURES = 1024
+SIGMAS = 5.0
 GRAM = 6
 #: Documents to fit on: confirmed toxic ones, and unlabelled ones, the first by hash of the id.
 POSITIVES = 4000
@@ -66,11 +67,16 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chosen(sums: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
-    """The buckets whose presence tells positives from the rest best, by a smoothed log-ratio's size."""
-    p, q = (sums[1] + 0.5) / (n[1] + 1), (sums[0] + 0.5) / (n[0] + 1)
-    seen = np.flatnonzero(sums.sum(axis=0) >= 3)
-    gain = np.abs(p - q) * np.abs(np.log(p / q))
-    return np.sort(seen[np.argsort(-gain[seen], kind="stable")[:most]])
+    """The buckets whose share among positives differs beyond chance from that among the rest.
+
+    Differences are taken in standard errors, SIGMAS at least, so that among all buckets hardly one is
+    chosen by chance: what no class prefers must not add up in long texts.
+    """
+    p, q = sums[1] / max(1, n[1]), sums[0] / max(1, n[0])
+    both = (sums[0] + sums[1] + 0.5) / (n.sum() + 1)
+    z = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / max(1, n[1]) + 1 / max(1, n[0])))
+    far = np.flatnonzero((z >= SIGMAS) & (sums.sum(axis=0) >= 3))
+    return np.sort(far[np.argsort(-z[far], kind="stable")[:most]])
 
 
 def _presence(chosen: np.ndarray):
@@ -87,29 +93,25 @@ def _presence(chosen: np.ndarray):
     return run
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk under the sigmoid loss, by Adam."""
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk under the logistic loss, by Adam.
+
+    ``weights`` of the unlabelled rows sum to one. Where the estimated risk of negatives falls below
+    zero, the step goes up that term instead, so that it can't be driven down further.
+    """
     d = positive.shape[1]
+    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
     w = np.zeros(d + 1)
+    w[d] = np.log(prior / (1 - prior))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
-    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
-    # start from naive log-ratios, where the sigmoid loss has a slope
-    share = lambda x: (x.sum(axis=0) + 0.5) / (len(x) + 1)
-    a, b = share(p[:, :d]), share(u[:, :d])
-    w[:d] = np.clip(np.log(a / b) - np.log((1 - a) / (1 - b)), -3, 3)
-    w[d] = np.log(prior / (1 - prior)) + np.log((1 - a) / (1 - b)).sum().clip(-3, 3)
-
-    def sigmoid(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
+    penalised = np.arange(d + 1) < d
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        rest = su.mean() - prior * sp.mean()  # R_u(-) - prior * R_p(-), where the loss of -1 is the sigmoid
-        slope_p, slope_u = sp * (1 - sp), su * (1 - su)
-        up = -prior * (slope_p @ p) / len(p)
-        down = (slope_u @ u) / len(u) - prior * (slope_p @ p) / len(p)
-        grad = up + down if rest >= 0 else -down
-        grad = grad + decay * w * (np.arange(d + 1) < d)
+        at_p, at_u = p @ w, u @ w
+        rest = weights @ np.logaddexp(0, at_u) - prior * np.logaddexp(0, at_p).mean()
+        share_p, share_u = 1 / (1 + np.exp(-np.clip(at_p, -40, 40))), 1 / (1 + np.exp(-np.clip(at_u, -40, 40)))
+        up = -prior * ((1 - share_p) @ p) / len(p)
+        down = (weights * share_u) @ u - prior * (share_p @ p) / len(p)
+        grad = (up + down if rest >= 0 else -down) + decay * w * penalised
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -177,9 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
     positive = np.array([r.positive for r in got], bool)
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(counts.toxic / (counts.n - counts.toxic))))
-    # unlabelled texts are a sample of all: the positives among them are not taken out by label
+    # unlabelled texts stand for all: confirmed ones are among them with the weight that they have there
     prior = min(max(counts.toxic / counts.n, 1e-4), 0.9)
-    w, b = nnpu(x[positive], x, prior)
+    confirmed = min(counts.toxic / max(1, docs.where(learn).count()), prior)
+    weights = np.where(positive, confirmed / positive.sum(), (1 - confirmed) / (~positive).sum())
+    w, b = nnpu(x[positive], x, weights, prior)
     label = np.array([-1 if r.toxic is None else r.toxic for r in got])
     slope, offset = _calibrated(x[label >= 0] @ w + b, label[label >= 0])
     return Model(chosen, w, b, slope, offset)
