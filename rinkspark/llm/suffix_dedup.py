@@ -9,7 +9,8 @@ one *run*. The passes are:
 1. gram: a run whose gram occurs once holds no repeated window and leaves the sort;
 2. span: runs of equal bytes from first to last window are equal throughout, and are settled;
 3. block, then window: runs that share a gram but not a span are cut at fixed distances from
-   the gram, first into blocks of windows and then into single windows.
+   the gram, first into blocks of windows and then, where two blocks share the bytes that all
+   windows of such a block have in common, into single windows.
 
 Each pass keeps every suffix that is still open and one settled representative of each equal
 group, so a group of any size costs a pass one row a member and never its pairs.
@@ -84,7 +85,7 @@ def _stretches(batch_text: pa.Array, depth: int) -> Iterator[tuple[int, np.ndarr
             yield lo, cut, np.array([0, len(cut)], np.int64), begin
 
 
-_RUN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("span", pa.int64()), ("span2", pa.int64()), ("at", pa.int64())])
+_RUN = pa.schema([("d", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("span", pa.int64()), ("span2", pa.int64()), ("at", pa.int64())])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _find_runs(depth: int, gram: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            d, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "k1", "k2"))
             for row0, data, offsets, before in _stretches(batch.column("text"), depth):
                 row, lo, hi, at = runs_of(data, offsets, depth, gram)
                 if not len(row):
@@ -102,20 +103,26 @@ def _find_runs(depth: int, gram: int):
                 one, two = Prefixes(data), Prefixes(data, 1)
                 start = offsets[row] - before
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (k1[row0 + row], k2[row0 + row], lo - start, hi - start, _signed(one.of(at, at + gram)), _signed(one.of(lo, hi + depth)), _signed(two.of(lo, hi + depth)), at - lo)], schema=_RUN
+                    [pa.array(x) for x in (d[row0 + row], k1[row0 + row], k2[row0 + row], lo - start, hi - start, _signed(one.of(at, at + gram)), _signed(one.of(lo, hi + depth)), _signed(two.of(lo, hi + depth)), at - lo)], schema=_RUN
                 )
 
     return find
 
 
-_PART = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("gram", pa.int64()), ("at", pa.int64()), ("settled", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64())])
+_PART = pa.schema([(n, pa.int64()) for n in ("d", "k1", "k2", "lo", "hi", "gram", "at")] + [("settled", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("core", pa.int64())])
+_ROW = ("d", "k1", "k2")
 
 
 def _cut_runs(depth: int, block: int):
-    """Cuts the runs listed in ``parts`` at multiples of ``block`` of the distance to their gram."""
+    """Cuts the runs listed in ``parts`` at multiples of ``block`` of the distance to their gram.
+
+    A piece is named by its bytes and its place around the gram; its core are the bytes that every
+    window of its block has, whether the piece holds all of the block or not.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            who = [batch.column(c).to_pylist() for c in _ROW]
             for i, parts in enumerate(batch.column("parts").to_pylist()):
                 data = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
                 by: dict[int, list] = {}
@@ -126,7 +133,6 @@ def _cut_runs(depth: int, block: int):
                     end = max(p["hi"] for p in some) + depth
                     one, two = Prefixes(data[base:end]), Prefixes(data[base:end], 1)
                     lo, hi, at, gram, settled = (np.array([p[c] for p in some]) for c in ("lo", "hi", "at", "gram", "settled"))
-                    # a start's distance to the gram is at - (start - lo); equal // block: one piece
                     n = hi - lo + 1
                     of = np.repeat(np.arange(len(some)), n)
                     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
@@ -135,63 +141,73 @@ def _cut_runs(depth: int, block: int):
                     new[1:] = (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])
                     first = np.flatnonzero(new)
                     last = np.append(first[1:], len(start)) - 1
-                    a, b, of = start[first], start[last], of[first]
-                    far = at[of] - (a - lo[of])
-                    k = np.full(len(a), batch.column("k1")[i].as_py()), np.full(len(a), batch.column("k2")[i].as_py())
-                    # a piece is named by its bytes and its place around the gram
-                    h1, h2 = one.of(a - base, b - base + depth) ^ mixed(far.astype(np.uint64)), two.of(a - base, b - base + depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*k, a, b, gram[of], far, settled[of], _signed(h1), _signed(h2))], schema=_PART)
+                    a, b, of, cell = start[first], start[last], of[first], cell[first]
+                    place = lo[of] + at[of]
+                    far = place - a
+                    around = mixed(far.astype(np.uint64))
+                    h1, h2 = one.of(a - base, b - base + depth) ^ around, two.of(a - base, b - base + depth)
+                    core = one.of(place - cell * block - base, place - cell * block - (block - 1) + depth - base) ^ mixed(cell.astype(np.uint64))
+                    row = [np.full(len(a), w[i]) for w in who]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*row, a, b, gram[of], far, settled[of], _signed(h1), _signed(h2), _signed(core))], schema=_PART)
 
     return cut
 
 
-def _with_text(docs: DataFrame, wanted: DataFrame, value: str) -> DataFrame:
-    """One row of each distinct text that ``wanted`` names, with its list of ``value`` structs."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(value).alias("parts"))
-    lists = rows.written(lists)
-    n = lists.count()
-    texts = docs.select("text", *rows.text_key())
-    if n <= rows.BROADCAST_ROWS // 10:
-        texts = texts.join(F.broadcast(lists.select("k1", "k2")), ["k1", "k2"], "left_semi")
-    texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    return texts.join(lists, ["k1", "k2"])
+def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int) -> DataFrame:
+    """The pieces of ``parts``, cut from the texts of their rows.
+
+    A row is named by its id and its text. Rows alike in both give the pieces of a settled run more
+    than once, which changes nothing; open runs are of rows without their like.
+    """
+    lists = parts.groupBy(*_ROW).agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "settled")).alias("parts"))
+    texts = keyed.join(rows.small(lists, parts.count()), list(_ROW))
+    schema = ", ".join(f"{n} long" for n in ("d", "k1", "k2", "lo", "hi", "gram", "at")) + ", settled boolean, h1 long, h2 long, core long"
+    return texts.select(*_ROW, "text", "parts").mapInArrow(_cut_runs(depth, block), schema)
+
+
+def _classes(runs: DataFrame, names: list[str], *more) -> DataFrame:
+    """Groups of equal runs: how many, and one of them."""
+    one = F.min(F.struct(*_ROW, "lo", "hi", "at")).alias("r")
+    return runs.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), one, *more)
 
 
-def _open_and_settled(parts: DataFrame, names: list[str]) -> DataFrame:
-    """Adds ``many``: whether another suffix run equals this one."""
-    counts = parts.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return parts.join(counts.select(*names, F.lit(True).alias("many")), names, "left").withColumn("many", F.coalesce("many", F.lit(False)))
+def _in_many(runs: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
+    return runs.join(rows.small(classes.where("n > 1").select(*names)), names, "left_semi").select("k1", "k2", "lo", "hi")
 
 
 def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """Rows (k1, k2, lo, hi): starts lo to hi of repeated windows of the distinct text (k1, k2)."""
-    keyed = docs.select("text", *rows.text_key())
-    runs = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram), "k1 long, k2 long, lo long, hi long, gram long, span long, span2 long, at long"))
-    marked = rows.written(_open_and_settled(runs, ["span", "span2"]))
-    found = marked.where("many").select("k1", "k2", "lo", "hi").distinct()
-    # a gram whose runs are all equal is settled, and so is one that occurs once
-    grams = marked.groupBy("gram").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a <> b").select("gram")
-    left = marked.join(grams, "gram", "left_semi")
-    settled = left.where("many").groupBy("gram", "span", "span2").agg(F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("r")).select("gram", "r.*", F.lit(True).alias("settled"))
-    fresh = left.where("not many").select("gram", "k1", "k2", "lo", "hi", "at", F.lit(False).alias("settled"))
-    parts = settled.unionByName(fresh)
-    for block in (BLOCK, 1):
-        wanted = parts.select("k1", "k2", F.struct("lo", "hi", "at", "gram", "settled").alias("part"))
-        cut = _with_text(docs, wanted, "part").select("k1", "k2", "text", "parts").mapInArrow(_cut_runs(depth, block), "k1 long, k2 long, lo long, hi long, gram long, at long, settled boolean, h1 long, h2 long")
-        cut = rows.written(cut)
-        marked = _open_and_settled(cut, ["h1", "h2"])
-        if block > 1:
-            marked = rows.written(marked)
-        found = found.unionByName(marked.where("many and not settled").select("k1", "k2", "lo", "hi"))
-        if block > 1:
-            # pieces of one gram and cell that are still open, and one of each settled kind beside them
-            cell = F.floor(F.col("at") / block).alias("cell")
-            marked = marked.select("*", cell)
-            open_cells = marked.where("not many and not settled").select("gram", "cell").distinct()
-            beside = marked.join(open_cells, ["gram", "cell"], "left_semi")
-            one = beside.where("many or settled").groupBy("gram", "h1", "h2").agg(F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("r")).select("gram", "r.*", F.lit(True).alias("settled"))
-            parts = one.unionByName(beside.where("not many and not settled").select("gram", "k1", "k2", "lo", "hi", "at", "settled"))
-    return found
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), "text", *rows.text_key())
+    schema = ", ".join(f"{f.name} long" for f in _RUN)
+    runs = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram), schema))
+    # a gram that occurs once leaves the sort, and one whose runs are all equal is settled
+    span = [f("span" + n).alias(f.__name__ + n) for n in ("", "2") for f in (F.min, F.max)]
+    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *span).where("n > 1")
+    grams = rows.written(grams.select("gram", F.expr("min <> max or min2 <> max2").alias("mixed")))
+    left = runs.join(rows.small(grams), "gram")
+    found = [left.where("not mixed").select("k1", "k2", "lo", "hi")]
+    left = rows.written(left.where("mixed").drop("mixed"))
+    spans = rows.written(_classes(left, ["span", "span2"]))
+    found.append(_in_many(left, spans, ["span", "span2"]))
+    open_grams = spans.where("n = 1").select("gram").distinct()
+    parts = spans.join(rows.small(open_grams), "gram", "left_semi")
+    parts = rows.written(parts.select("gram", "r.*", (F.col("n") > 1).alias("settled")))
+
+    cut = rows.written(_cut(keyed, parts, depth, BLOCK))
+    blocks = rows.written(_classes(cut, ["h1", "h2"], F.min("core").alias("core"), F.max("settled").alias("settled")))
+    found.append(_in_many(cut.where("not settled"), blocks, ["h1", "h2"]))
+    blocks = blocks.withColumn("settled", F.col("settled") | (F.col("n") > 1))
+    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where("n > 1 and not all")
+    parts = blocks.join(rows.small(shared.select("core")), "core", "left_semi")
+    parts = rows.written(parts.select("gram", "r.*", "settled"))
+
+    cut = rows.written(_cut(keyed, parts, depth, 1))
+    windows = cut.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    found.append(_in_many(cut.where("not settled"), windows, ["h1", "h2"]))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
