@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _lines(prefix: str, values: Column) -> Column:
@@ -41,7 +42,7 @@ def version_key(last_updated: Column, request: Column) -> Column:
     return F.substring(F.sha2(F.concat(last_updated, F.lit("|"), request), 256), 1, 16)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(payload: pd.Series) -> pd.Series:
     """JSON with the keys of every object sorted, arrays in their order; null stays null."""
     return payload.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))

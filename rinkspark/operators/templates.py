@@ -131,7 +131,7 @@ def segmented(regions: DataFrame, key: str, pixels: str) -> DataFrame:
         for batch in batches:
             found = []
             for k, rows in zip(batch[key], batch[pixels]):
-                ink = np.array([list(r) for r in rows], bool) if rows is not None and len(rows) else np.zeros((0, 0), bool)
+                ink = np.array([[c == "1" for c in r] for r in rows]) if rows is not None and len(rows) else np.zeros((0, 0), bool)
                 glyphs = segments(ink) if ink.ndim == 2 and ink.size else []
                 found += [(k, i, "".join("1" if x else "0" for x in resampled(g).ravel())) for i, g in enumerate(glyphs)]
             yield pd.DataFrame(found, columns=[key, "place", "bits"])

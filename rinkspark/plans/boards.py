@@ -62,16 +62,16 @@ def removed(t):
     return ranklist.removed(e, e.where("player_id % 5 = 0 and board_id % 2 = 0")).select(*_OUT.split(", "))
 
 
-@query("b05_moved", f"SELECT board_id, player_id, status, CAST(CASE WHEN status = 'Rejected' THEN rank WHEN rank = 1 THEN 3 WHEN rank BETWEEN 2 AND 3 THEN rank - 1 ELSE rank END AS INT) AS rank FROM {_E} WHERE board_id = 11")
+@query("b05_moved", f"SELECT board_id, player_id, status, CAST(CASE WHEN status = 'Rejected' THEN rank WHEN rank = 1 THEN 3 WHEN rank BETWEEN 2 AND 3 THEN rank - 1 ELSE rank END AS INT) AS rank FROM {_E} WHERE board_id = 13")
 def moved(t):
-    return ranklist.moved(entries(t).where("board_id = 11"), 11, 1, 3).select(*_OUT.split(", "))
+    return ranklist.moved(entries(t).where("board_id = 13"), 13, 1, 3).select(*_OUT.split(", "))
 
 
-@query("b08_moved_within", f"SELECT board_id, player_id, status, CAST(CASE WHEN status = 'Rejected' THEN 0 WHEN rank = 2 THEN (SELECT max(rank) FROM {_E} WHERE board_id = 11) WHEN rank > 2 THEN rank - 1 ELSE rank END AS INT) AS rank FROM {_E} WHERE board_id = 11")
+@query("b08_moved_within", f"SELECT board_id, player_id, status, CAST(CASE WHEN status = 'Rejected' THEN 0 WHEN rank = 2 THEN (SELECT max(rank) FROM {_E} WHERE board_id = 13) WHEN rank > 2 THEN rank - 1 ELSE rank END AS INT) AS rank FROM {_E} WHERE board_id = 13")
 def moved_within(t):
-    e = entries(t).where("board_id = 11")
+    e = entries(t).where("board_id = 13")
     second = e.where("rank = 2").first().player_id
-    return ranklist.moved_within(e, 11, second, 1000).select(*_OUT.split(", "))
+    return ranklist.moved_within(e, 13, second, 1000).select(*_OUT.split(", "))
 
 
 @query("b07_bulk_updated", f"""

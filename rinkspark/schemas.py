@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-LEAGUES = _table("league_id int, name string, abbreviation string")
-SEASONS = _table("league_id int, season int")
-CONFERENCES = _table("conference_id int, league_id int, season int, name string")
-DIVISIONS = _table("division_id int, season int, league_id int, conference_id int, name string")
-TEAMS = _table(
+# table schemas as DDL, for ``spark.read.schema`` and ``createDataFrame``
+LEAGUES = "league_id int, name string, abbreviation string"
+SEASONS = "league_id int, season int"
+CONFERENCES = "conference_id int, league_id int, season int, name string"
+DIVISIONS = "division_id int, season int, league_id int, conference_id int, name string"
+TEAMS = (
     "team_id int, season int, league_id int, abbreviation string, name string, location string, "
     "colors struct<primary:string,secondary:string,text:string>, name_details struct<first:string,second:string>, "
     "stats struct<wins:int,losses:int,overtime_losses:int,shootout_wins:int,shootout_losses:int,points:int,goals_for:int,goals_against:int,win_percent:float>, "
     "division_id int, conference_id int"
 )
-GAMES = _table("slug string, game_id int, season int, league_id int, sim_date date, home_team_id int, away_team_id int, home_score int, away_score int, played boolean, overtime boolean, shootout boolean, game_type int")
-USERS = _table("user_id int, name string, discord_id string")
-PLAYERS = _table(
+GAMES = "slug string, game_id int, season int, league_id int, sim_date date, home_team_id int, away_team_id int, home_score int, away_score int, played boolean, overtime boolean, shootout boolean, game_type int"
+USERS = "user_id int, name string, discord_id string"
+PLAYERS = (
     "player_id int, user_id int, username string, creation_time timestamp, retirement_time timestamp, status int, name string, position int, handedness int, "
     "recruiter string, render string, jersey_number int, height struct<feet:int,inches:int>, weight int, birthplace string, iihf_nation string, "
     "draft_season int, current_league int, current_team_id int, shl_rights_team_id int, total_tpe int, applied_tpe int, banked_tpe int, task_status string, "
     "inactive boolean, is_suspended boolean"
 )
-INDEX_RECORDS = _table("player_id int, league_id int, start_season int, user_id int, index_id int")
-TPE_EVENTS = _table("player_id int, task_date timestamp, total_tpe int")
-EARNED_TPE = _table("player_id int, season int, earned_tpe int")
-BACKFILLS = _table("player_id int, backfilled_at timestamp")
-MOST_RECENT = _table("user_id int, player_id int")
-BOARD_ENTRIES = _table("id string, board_id string, player_id int, rank int, status string, assigned_to string, assigned_at timestamp, created_at timestamp, updated_at timestamp")
-CAPTURES = _table("captured_at timestamp, name string, jersey_number int, position string, handedness string, attributes map<string,int>, role_ratings map<string,int>, numbers map<string,double>, text_fields map<string,string>")
+INDEX_RECORDS = "player_id int, league_id int, start_season int, user_id int, index_id int"
+TPE_EVENTS = "player_id int, task_date timestamp, total_tpe int"
+EARNED_TPE = "player_id int, season int, earned_tpe int"
+BACKFILLS = "player_id int, backfilled_at timestamp"
+MOST_RECENT = "user_id int, player_id int"
+BOARD_ENTRIES = "id string, board_id string, player_id int, rank int, status string, assigned_to string, assigned_at timestamp, created_at timestamp, updated_at timestamp"
+CAPTURES = "captured_at timestamp, name string, jersey_number int, position string, handedness string, attributes map<string,int>, role_ratings map<string,int>, numbers map<string,double>, text_fields map<string,string>"
 
 # Codes, labels and short forms that stored data and payloads carry.
 LEAGUE_CODES = {

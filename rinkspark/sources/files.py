@@ -11,7 +11,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 
     The date is the yyyyMMdd that starts the file's name, the title the first top heading.
     """
-    files = spark.read.option("wholetext", True).text(f"{path}/*.md").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    files = spark.read.text(f"{path}/*.md", wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
     date = F.try_to_timestamp(F.regexp_extract("file", r"^(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
     out = files.select(F.regexp_replace("file", r"\.md$", "").alias("slug"), date.alias("date"), F.trim(F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1)).alias("title"), F.col("value").alias("body"))
     return out.orderBy(F.col("date").desc_nulls_last(), F.lower("title"))
@@ -22,7 +22,7 @@ def templates(spark: SparkSession, path: str) -> DataFrame:
     from rinkspark.functions.vectors import bit_string_words
 
     # one small document: its order is kept by position
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     listed = raw.select(F.posexplode(F.from_json(F.col("value"), "array<struct<label:string,bits:string>>")).alias("ordinal", "t"))
     return listed.select("ordinal", "t.label", bit_string_words(F.col("t.bits")).alias("words"))
 
@@ -37,7 +37,7 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, content, content_hash) of saved responses; the hash is empty where there is no content."""
     from rinkspark.functions.hashes import archive_hash
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("url"), F.nullif("value", F.lit("")).alias("content"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.nullif("value", F.lit("")).alias("content"))
     return raw.select("url", "content", archive_hash(F.col("content")).alias("content_hash"))
 
 

@@ -57,7 +57,7 @@ class Settle(StatefulProcessor):
         frames = pd.concat(list(rows)).sort_values("ordinal")
         out, last, candidate = settle(zip(frames["ordinal"].tolist(), frames["hash"].tolist()), *held)
         self.state.update((last, candidate))
-        yield pd.DataFrame({"source": [key[0]] * len(out), "ordinal": out})
+        yield pd.DataFrame({"source": pd.Series([key[0]] * len(out), dtype=object), "ordinal": pd.Series(out, dtype="int64")})
 
     def close(self) -> None:
         pass
