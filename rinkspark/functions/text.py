@@ -106,3 +106,16 @@ def holds_anchors(texts: Column, anchors: Column) -> Column:
     """Whether each anchor's expected text is in the recognised text of the same place, in any case."""
     pairs = F.arrays_zip(texts.alias("seen"), anchors.alias("expected"))
     return F.forall(pairs, lambda p: F.contains(F.lower(F.coalesce(p["seen"], F.lit(""))), F.lower(p["expected"])))
+
+
+def short_date(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd")
+
+
+def long_date(moment: Column) -> Column:
+    return F.date_format(moment, "MMMM d, yyyy")
+
+
+def short_date_time(moment: Column) -> Column:
+    """In the session's time zone, with a twelve-hour clock."""
+    return F.date_format(moment, "M/d/yyyy h:mm a")

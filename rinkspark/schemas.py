@@ -18,7 +18,7 @@ USERS = "user_id int, name string, discord_id string"
 PLAYERS = (
     "player_id int, user_id int, username string, creation_time timestamp, retirement_time timestamp, status int, name string, position int, handedness int, "
     "recruiter string, render string, jersey_number int, height struct<feet:int,inches:int>, weight int, birthplace string, iihf_nation string, "
-    "draft_season int, current_league int, current_team_id int, shl_rights_team_id int, total_tpe int, applied_tpe int, banked_tpe int, task_status string, "
+    "draft_season int, current_league int, current_team_id int, shl_rights_team_id int, total_tpe int, applied_tpe int, banked_tpe int, bank_balance int, task_status string, "
     "inactive boolean, is_suspended boolean"
 )
 INDEX_RECORDS = "player_id int, league_id int, start_season int, user_id int, index_id int"
