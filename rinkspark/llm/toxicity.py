@@ -19,10 +19,14 @@ from rinkspark.llm import rows
 from rinkspark.llm.hashing import LOWER, Prefixes, apart, words
 
 #: Hash buckets of words and grams, and the features the classifier keeps of them.
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 FEATURES = 1024
 SIGMAS = 5.0
 GRAM = 6
+#: Bytes of the word beginnings that are features, and how often is often.
+BEGINNINGS = (6, 7, 8)
+OFTEN = 3
 #: Documents to fit on: confirmed toxic ones, and unlabelled ones, the first by hash of the id.
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -31,8 +35,12 @@ PARTS = 8
 _SLICE = 1 << 20
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each word and each six-byte part of a word, each once a row."""
+def features(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the words, word beginnings and six-byte parts of words, each once a row.
+
+    A feature is a hash bucket, or BUCKETS past it for one that a text has OFTEN times or more.
+    ``keep`` marks the buckets that matter.
+    """
     data, offsets = apart(LOWER[data], offsets)
     a, b = words(data)
     if not len(a):
@@ -41,11 +49,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = np.maximum(b - a - GRAM, 0)
     of = np.repeat(np.arange(len(a)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[of]
-    lo, hi = np.concatenate([a, start]), np.concatenate([b, start + GRAM])
-    bucket = (sums.of(lo, hi) % np.uint64(BUCKETS)).astype(np.int64)
-    row = np.searchsorted(offsets, lo, "right") - 1
-    key = np.unique(row * BUCKETS + bucket)
-    return key // BUCKETS, key % BUCKETS
+    at, hashed = [a, start], [sums.of(a, b), sums.of(start, start + GRAM)]
+    for size in BEGINNINGS:
+        longer = a[b - a > size]
+        at.append(longer)
+        hashed.append(sums.of(longer, longer + size) * np.uint64(0x9E3779B97F4A7C15))
+    at, bucket = np.concatenate(at), (np.concatenate(hashed) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    if keep is not None:
+        at, bucket = at[keep[bucket]], bucket[keep[bucket]]
+    row = np.searchsorted(offsets, at, "right") - 1
+    key, times = np.unique(row * (2 * BUCKETS) + bucket, return_counts=True)
+    key = np.concatenate([key, key[times >= OFTEN] + BUCKETS])
+    key.sort()
+    return key // (2 * BUCKETS), key % (2 * BUCKETS)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -55,13 +71,13 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+    sums, n = np.zeros((2, 2 * BUCKETS), np.int32), np.zeros(2, np.int64)
     for batch in batches:
         side = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, data, offsets in _slices(batch):
             row, bucket = features(data, offsets)
             for s in (0, 1):
-                sums[s] += np.bincount(bucket[side[lo + row] == s], minlength=BUCKETS).astype(np.int32)
+                sums[s] += np.bincount(bucket[side[lo + row] == s], minlength=2 * BUCKETS).astype(np.int32)
         n += np.bincount(side, minlength=2)
     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sums, n)], names=["sums", "n"])
 
@@ -79,12 +95,20 @@ def _chosen(sums: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
     return np.sort(far[np.argsort(-z[far], kind="stable")[:most]])
 
 
+def _marked(chosen: np.ndarray) -> np.ndarray:
+    keep = np.zeros(BUCKETS, bool)
+    keep[chosen % BUCKETS] = True
+    return keep
+
+
 def _presence(chosen: np.ndarray):
+    keep = _marked(chosen)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
             for lo, hi, data, offsets in _slices(batch):
-                row, bucket = features(data, offsets)
+                row, bucket = features(data, offsets, keep)
                 at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1) if len(chosen) else np.zeros(len(bucket), np.int64)
                 hit = chosen[at] == bucket if len(chosen) else np.zeros(len(bucket), bool)
                 found += np.split(at[hit].astype(np.int32), np.searchsorted(row[hit], np.arange(1, hi - lo)))
@@ -139,10 +163,11 @@ class Model:
 
     def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0):
         self.chosen, self.weights, self.bias, self.slope, self.offset = chosen, weights, bias, slope, offset
+        self.keep = _marked(chosen)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        row, bucket = features(data, offsets)
+        row, bucket = features(data, offsets, self.keep)
         margin = np.full(n, self.bias)
         if len(self.chosen) and len(row):
             at = np.minimum(np.searchsorted(self.chosen, bucket), len(self.chosen) - 1)
@@ -167,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
     wanted = rows.written(toxic.select("doc_id", "toxic", F.lit(True).alias("positive")).unionByName(rest.select("doc_id", "toxic", F.lit(False).alias("positive"))))
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic", "positive").agg(F.min("text").alias("text"))
     sample = rows.written(sample.select("positive", "toxic", "text").repartition(PARTS))
-    sums, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    sums, n = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
     for r in sample.mapInArrow(_sum_parts, "sums binary, n binary").collect():
-        sums += np.frombuffer(r.sums, np.int32).reshape(2, BUCKETS)
+        sums += np.frombuffer(r.sums, np.int32).reshape(2, 2 * BUCKETS)
         n += np.frombuffer(r.n, np.int64)
     chosen = _chosen(sums, n, FEATURES)
     got = sample.mapInArrow(_presence(chosen), "positive boolean, toxic int, found array<int>").collect()
