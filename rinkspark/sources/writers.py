@@ -81,3 +81,9 @@ def stored_once(new: DataFrame, store: DataFrame, key: str, order: Iterable[str]
     rest = [c for c in new.columns if c != key]
     first = new.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*").select(*new.columns)
     return first.join(store.select(key), key, "left_anti").select(*new.columns)
+
+
+def write_seasons(ratings: DataFrame, path: str) -> None:
+    """Ratings as Parquet by league and season; the seasons in the frame are replaced, others stay."""
+    partitions = ratings.repartition("league_id", "season")
+    partitions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league_id", "season").parquet(path)

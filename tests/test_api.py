@@ -95,3 +95,31 @@ def test_recruitment(rink):
     assert tally.count() == 1 and [r.username for r in recruits.collect()] == ["user2", "user3"]
     assert rink.recruitment.lineage("ann").count() == 2
     rink.recruitment.refresh()
+
+
+def test_command_line(rink, tmp_path, capsys):
+    import json
+
+    from rinkspark.__main__ import main
+
+    assert main(["flows"]) == 0 and "recruitment" in capsys.readouterr().out
+    assert main(["export", rink.path, str(tmp_path / "p.json"), "--positions", "C,LW"]) == 0
+    assert [p["name"] for p in json.loads((tmp_path / "p.json").read_text())] == ["Ann", "ann2"]
+    assert main(["export", rink.path, str(tmp_path / "p.csv")]) == 0
+    head = (tmp_path / "p.csv").read_text("utf-8-sig").splitlines()[0].split(",")
+    assert "name" in head and "_n" not in head
+    assert main(["export", rink.path, str(tmp_path / "x.csv"), "--positions", "Q"]) == 1
+    assert main(["ratings", rink.path, "72", "--league", "nobody", "--output", str(tmp_path / "r")]) == 1
+
+
+def test_rating_files(rink, spark, tmp_path):
+    from rinkspark.__main__ import main
+
+    path = rink.path
+    games = [("s1", 1, 72, 0, DAY.date(), 10, 11, 3, 1, True, False, False, 2), ("s2", 2, 72, 0, DAY.date(), 11, 10, 2, 1, True, True, False, 2)]
+    spark.createDataFrame(games, schemas.GAMES).write.mode("overwrite").parquet(f"{path}/game_results.parquet")
+    for league in ("first LEAGUE",):
+        assert main(["ratings", path, "72", "--league", league, "--score", "overtime", "--output", str(tmp_path / "r-{season}.csv")]) == 0
+        assert main(["ratings", path, "72", "--league", league, "--format", "parquet", "--output", str(tmp_path / "r")]) == 0
+    assert (tmp_path / "r-72.csv").read_text("utf-8-sig").splitlines()[:3] == ["BUF", "1000", "1050"]
+    assert spark.read.parquet(str(tmp_path / "r")).where("season = 72").count() == 5
