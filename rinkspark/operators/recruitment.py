@@ -39,26 +39,36 @@ def classified(users: DataFrame, members: DataFrame) -> DataFrame:
     return out.select(*users.columns, category.alias("category"), key.alias("recruiter_key"))
 
 
-def lineage(edges: DataFrame, roots: DataFrame | None = None, checkpoint: bool = True) -> DataFrame:
+def lineage(edges: DataFrame, roots: DataFrame | None = None, checkpoint: bool = True, hops: int = 4) -> DataFrame:
     """(category, recruiter_key, user_id, depth): all members that each recruiter reaches, each once.
 
-    The frontier is joined to the players' recruits in rounds and what was seen is taken out, so
-    cycles end. A recruiter on a cycle reaches itself again, and counts. ``roots`` restricts the
-    recruiters; only members that recruit as players have recruits of their own.
+    Each round joins the frontier to the players' recruits ``hops`` times in one plan, takes out what
+    was seen and cuts the plan off, so cycles end and depth costs few rounds. A recruiter on a cycle
+    reaches itself again, and counts. ``roots`` restricts the recruiters; only members that recruit
+    as players have recruits of their own.
     """
-    seen = edges.select("category", "recruiter_key", "user_id", "username").withColumn("depth", F.lit(1))
+    by = ["category", "recruiter_key", "user_id"]
+    seen = edges.select(*by, "username").withColumn("depth", F.lit(1))
     if roots is not None:
         seen = seen.join(roots.select("category", "recruiter_key"), ["category", "recruiter_key"], "left_semi")
     kids = edges.where(F.col("category") == PLAYER).select(F.lower("recruiter_key").alias("_low"), F.col("user_id").alias("_kid"), F.col("username").alias("_name"))
-    frontier, by = seen, ["category", "recruiter_key", "user_id"]
+    frontier, reached = seen, 1
     while True:
-        nxt = frontier.withColumn("_low", F.lower("username")).join(kids, "_low")
-        nxt = nxt.select("category", "recruiter_key", F.col("_kid").alias("user_id"), F.col("_name").alias("username"), (F.col("depth") + 1).alias("depth"))
-        nxt = nxt.dropDuplicates(by).join(seen.select(*by), by, "left_anti")
-        nxt = nxt.checkpoint() if checkpoint else nxt
-        if nxt.isEmpty():
+        steps = []
+        for _ in range(hops):
+            frontier = frontier.withColumn("_low", F.lower("username")).join(kids, "_low")
+            frontier = frontier.select("category", "recruiter_key", F.col("_kid").alias("user_id"), F.col("_name").alias("username"), (F.col("depth") + 1).alias("depth"))
+            steps.append(frontier)
+        new = steps[0]
+        for step in steps[1:]:
+            new = new.unionByName(step)
+        new = new.groupBy(*by).agg(F.min(F.struct("depth", "username")).alias("_n")).select(*by, "_n.username", "_n.depth")
+        new = new.join(seen.select(*by), by, "left_anti")
+        new = new.checkpoint() if checkpoint else new.persist()
+        if new.isEmpty():
             return seen.drop("username")
-        seen, frontier = seen.unionByName(nxt), nxt
+        reached += hops
+        seen, frontier = seen.unionByName(new), new.where(F.col("depth") == reached)
 
 
 def tallies(edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
