@@ -20,7 +20,7 @@ def contains(columns: Iterable[str], term: str | None) -> Column | None:
     if not term or not term.strip():
         return None
     low = term.strip().lower()
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(low)) for c in columns])
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(c)), F.lit(low)) for c in columns])
 
 
 def one_of(column: str, values: Iterable | None) -> Column | None:

@@ -45,3 +45,21 @@ def test_query_runs(spark, name):
 def test_flagship(spark):
     df = catalogue.flagship(spark, SF)
     assert df.columns == ["c_custkey", "c_name", "c_mktsegment", "c_acctbal", "recreates"] and 0 < df.count() <= 25
+
+
+def _plan(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = _plan(catalogue.queries()["f09_range_only"](spark, SF))
+    assert "GreaterThanOrEqual(p_size,10)" in plan and "LessThanOrEqual(p_retailprice,1000.0)" in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_size:int,p_retailprice:double>" in plan
+    page = _plan(catalogue.queries()["l04_search_page"](spark, SF))
+    assert "In(c_mktsegment" in page and "TakeOrderedAndProject" in page
+
+
+def test_first_and_last_rows_need_one_shuffle_and_no_join(spark):
+    for name in ("j01_latest_value", "j03_recreate", "j04_most_recent"):
+        plan = _plan(catalogue.queries()[name](spark, SF)).split("(1)")[0]
+        assert "Join" not in plan and plan.count("Exchange") == 1, name
