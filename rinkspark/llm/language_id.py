@@ -21,8 +21,9 @@ from rinkspark.llm.hashing import LOWER, apart
 
 BUCKETS = 2048
 GRAMS = (2, 3)
-#: Documents to learn a language from, the first by hash of the id, and how many in all.
-PER_LANGUAGE = 1500
+#: Documents to learn a language from, the first by hash of the id, and how many in all. Up to a
+#: thousand a language, every task keeps only its own first ones before they meet.
+PER_LANGUAGE = 1000
 LABELLED = 12_000
 RIDGE = 0.05
 PARTS = 8
