@@ -51,3 +51,9 @@ def sign_bits(column: str) -> Column:
     """The signs of a vector column as 64-bit words of 63 components each, the first in the highest bit."""
     bit = "shiftleft(n, 1) | (case when x > 0 then 1L else 0L end)"
     return F.expr(f"transform(sequence(0, (size({column}) - 1) div 63), w -> aggregate(slice({column}, w * 63 + 1, 63), 0L, (n, x) -> {bit}))")
+
+
+def all_equal(a: Column, b: Column) -> Column:
+    """Whether two arrays are alike place by place; arrays of different lengths are not."""
+    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
+    return (F.size(a) == F.size(b)) & F.forall(pairs, lambda p: p["x"].eqNullSafe(p["y"]))

@@ -113,3 +113,9 @@ def new_captures(t):
 
     hashed = t.documents.select(F.sha2("text", 256).alias("content_hash"), "doc_id")
     return once(hashed, hashed.where("doc_id % 5 = 0"), "content_hash", ["doc_id"])
+
+
+@query("x38_changed_ratings", "SELECT o_orderkey, o_orderkey % 4 = 1 OR o_orderkey % 6 = 5 AS changed FROM orders")
+def changed_ratings(t):
+    rows = t.orders.select("o_orderkey", F.struct(F.col("o_custkey").alias("speed"), F.when(F.col("o_orderkey") % 4 != 1, F.col("o_totalprice")).alias("shot")).alias("_t"), F.struct((F.col("o_custkey") + F.when(F.col("o_orderkey") % 6 == 5, 1).otherwise(0)).alias("speed"), F.col("o_totalprice").alias("shot")).alias("_s"))
+    return rows.select("o_orderkey", merge.differs(["speed", "shot"]).alias("changed"))

@@ -221,3 +221,17 @@ SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 7 > o_orderkey % 5 THEN (CASE WHE
 def outcomes(t):
     a, b = F.col("o_orderkey") % 7, F.col("o_orderkey") % 5
     return t.orders.select("o_orderkey", elo.win_loss_overtime(a, b, F.col("o_orderkey") % 2 == 0).alias("wlo"), F.round(elo.score_share(a, b), 9).alias("share"))
+
+
+@query("x31_pixel_boxes", "SELECT p_partkey, CAST(least(greatest(round_even(200 * (p_size / 50.0), 0), 0), 199) AS INT) AS left_, CAST(least(greatest(round_even(200 * 0.3, 0), 1), 200 - least(greatest(round_even(200 * (p_size / 50.0), 0), 0), 199)) AS INT) AS width FROM part")
+def pixel_boxes(t):
+    from rinkspark.sources.files import pixel_box
+
+    box = pixel_box(F.lit(200), F.lit(100), F.col("p_size") / 50.0, F.lit(0.1), F.lit(0.3), F.lit(0.2))
+    return t.part.select("p_partkey", box.alias("b")).select("p_partkey", F.col("b.left").alias("left_"), "b.width")
+
+
+@query("x33_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS short, strftime(ts, '%B %-d, %Y') AS long, strftime(ts, '%-m/%-d/%Y %-I:%M %p') AS clock FROM events")
+def display_dates(t):
+    ts = F.col("ts")
+    return t.events.select("event_id", text.short_date(ts).alias("short"), text.long_date(ts).alias("long"), text.short_date_time(ts).alias("clock"))

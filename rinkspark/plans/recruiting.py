@@ -98,3 +98,11 @@ def dot_lines(t):
 @query("k12_chart_data", f"SELECT * FROM (SELECT category, recruiter_key, count(*) AS users, CAST(sum(career_tpe) AS BIGINT) AS tpe FROM {_EDGES} WHERE category <> 3 GROUP BY ALL) ORDER BY users DESC, lower(recruiter_key), category LIMIT 20")
 def chart_data(t):
     return writers.chart_data(recruitment.tallies(_edges(t)))["users"]
+
+
+@query("t06_edge_order", f"SELECT recruiter_key, user_id, row_number() OVER (PARTITION BY category, recruiter_key ORDER BY career_tpe DESC, lower(username), user_id) AS place FROM {_EDGES}")
+def edge_order(t):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("category", "recruiter_key").orderBy(F.col("career_tpe").desc(), F.lower("username"), "user_id")
+    return _edges(t).select("recruiter_key", "user_id", F.row_number().over(by).cast("long").alias("place"))

@@ -110,3 +110,22 @@ def season_ratings(t):
     games = season_games(t)
     teams = games.select("league_id", "season", F.col("home_team_id").alias("team_id")).distinct()
     return rating.season_ratings(games, teams)
+
+
+@query("x18_distance", "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] - b.embedding[i] AS DOUBLE), 2))), 5) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def distance(t):
+    other = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return t.embeddings.join(other, "vec_id").select("vec_id", F.round(vectors.squared_distance(F.col("embedding"), F.col("other")), 5).alias("d"))
+
+
+@query("x20_bit_strings", "SELECT p_partkey, substr(repeat('1101', 30), 1, 1 + p_size) AS bits, CAST((1 + p_size + 31) // 32 AS INT) AS words FROM part")
+def bit_strings(t):
+    bits = F.substring(F.repeat(F.lit("1101"), 30), F.lit(1), F.col("p_size") + 1)
+    rows = t.part.select("p_partkey", bits.alias("b")).withColumn("w", vectors.bit_string_words(F.col("b")))
+    return rows.select("p_partkey", vectors.words_bit_string(F.col("w"), F.length("b")).alias("bits"), F.size("w").alias("words"))
+
+
+@query("u08_all_equal", "SELECT o_orderkey, o_orderkey % 3 = 0 AS same FROM orders")
+def all_equal(t):
+    second = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1)
+    return t.orders.select("o_orderkey", vectors.all_equal(F.array("o_orderkey", "o_custkey"), F.array(F.col("o_orderkey"), second)).alias("same"))
