@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rinkspark.llm import rows
+
 CHUNK = 1 << 15
 OVERLAP = 512
 #: Characters after a match that may still change it: a contraction is three characters long.
@@ -160,6 +162,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     result. Texts of more than ``chunk`` characters are dealt out as overlapping chunks. ``text`` is
     null unless ``keep_text``.
     """
+    rows.bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).alias("text")
     short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= chunk).select("doc_id", text).mapInArrow(_encode_short(path, pattern, keep_text), _IDS)
     long = docs.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", text)

@@ -27,7 +27,7 @@ class Prefixes:
             self._tables[which] = mixed(np.arange(1, 257, dtype=np.uint64) * base)
         up, down = self._powers.get(which, (np.ones(1, np.uint64), np.ones(1, np.uint64)))
         if len(up) < len(data) + 1:
-            n = max(len(data) + 1, (1 << 21) + 1024)
+            n = max(len(data) + 1, 2 * len(up), 1 << 16)
             inverse = np.uint64(pow(int(base), -1, 1 << 64))
             up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, inverse))
             self._powers[which] = up, down

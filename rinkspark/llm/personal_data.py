@@ -148,6 +148,7 @@ def scan(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ``added`` marks what the bootstrapped patterns found. A null or empty text has no spans. Ids,
     null ones too, and repeated rows pass through; an empty table gives an empty result.
     """
+    rows.bounded_batches(docs.sparkSession)
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scanned = rows.written(keyed.mapInArrow(_scan, _SCAN))
     found = scored_instances(scanned, rounds)

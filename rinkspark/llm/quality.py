@@ -25,7 +25,8 @@ WIDTH = 4.0
 RIDGE = 1e-2
 PARTS = 8
 SEED = 5
-_SLICE = 1 << 20
+#: Bytes handled at once: arrays of eight bytes for each, several at a time.
+_SLICE = 1 << 18
 
 STATISTICS = (
     "log_bytes", "letters", "digits", "upper", "spaces", "high_bytes", "marks", "odd_marks", "bangs", "pipes",
@@ -173,6 +174,7 @@ def _ridge(sums: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
     """A model of ``labels(doc_id, quality)`` from rows that are not held out; the sample is bounded."""
+    rows.bounded_batches(docs.sparkSession)
     learn = ~rows.is_held_out("doc_id", modulus, held_out)
     known = labels.where(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     wanted = rows.written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
 
 _scratch: dict[str, SparkSession] = {}
 
@@ -68,6 +70,11 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes, so that long texts do not add up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores after it, so that no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

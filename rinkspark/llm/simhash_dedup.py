@@ -52,6 +52,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row."""
+    rows.bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 

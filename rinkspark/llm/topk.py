@@ -154,6 +154,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, query_every: int = 50, sc
     smaller id. Repeated rows are candidates as often as they are there; a repeated query row
     counts once. Queries without candidates have no rows, and an empty table gives none.
     """
+    rows.bounded_batches(vectors.sparkSession)
     vecs = rows.written(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_scaled(scale), "vec_id long, v array<double>, norm double, dim int"))
     spark = vecs.sparkSession
     dims = [r.dim for r in vecs.select("dim").distinct().collect()]

@@ -32,7 +32,8 @@ POSITIVES = 4000
 UNLABELLED = 8000
 #: Sample tables are summed in so many parts.
 PARTS = 8
-_SLICE = 1 << 20
+#: Bytes handled at once: arrays of eight bytes for each, several at a time.
+_SLICE = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +179,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
     """A model of ``labels(doc_id, toxic)`` from rows that are not held out; samples are bounded."""
+    rows.bounded_batches(docs.sparkSession)
     learn = ~rows.is_held_out("doc_id", modulus, held_out)
     known = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = rows.written(known)
