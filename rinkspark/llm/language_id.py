@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark.llm import rows
@@ -21,9 +21,8 @@ from rinkspark.llm.hashing import LOWER, apart
 
 BUCKETS = 2048
 GRAMS = (2, 3)
-#: Documents to learn a language from, the first by hash of the id, and how many in all. Up to a
-#: thousand a language, every task keeps only its own first ones before they meet.
-PER_LANGUAGE = 1000
+#: Documents to learn a language from, about, and how many in all: the first by hash of the id.
+PER_LANGUAGE = 1500
 LABELLED = 12_000
 RIDGE = 0.05
 PARTS = 8
@@ -32,7 +31,8 @@ CLEAR = 0.2
 #: Loss difference that counts as e times likelier.
 SCALE = 0.25
 NONE = "und"
-_SLICE = 1 << 20
+#: Bytes handled at once: arrays of eight bytes for each, several at a time.
+_SLICE = 1 << 18
 
 
 def codewords(n: int) -> np.ndarray:
@@ -115,10 +115,14 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
     """A model of the languages of documents that are not held out; the sample is bounded."""
+    rows.bounded_batches(docs.sparkSession)
     learn = ~rows.is_held_out("doc_id", modulus, held_out)
     known = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    wanted = known.withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).orderBy("nth", "lang").limit(LABELLED).select("doc_id", "lang")
+    # each language's share of the hash range holds about PER_LANGUAGE of its documents, and all if it has fewer
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    wanted = known.join(rows.small(sizes), "lang").where(place * F.col("n").cast("double") < float(PER_LANGUAGE << 40))
+    wanted = wanted.orderBy(place, "doc_id", "lang").limit(LABELLED).select("doc_id", "lang")
     wanted = rows.written(wanted)
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sample.select("lang", "text").repartition(PARTS).mapInArrow(_sample, "lang string, x binary").toArrow()
