@@ -34,7 +34,7 @@ GRAM = 100
 #: Suffixes of one block of the third pass: windows whose gram starts at the same distance // BLOCK.
 BLOCK = 20
 #: Bytes handled at once; longer texts are cut into stretches that overlap by one run.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 
 def _minima(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each ``n`` neighbours, from running minima of blocks of ``n``."""
@@ -153,14 +153,19 @@ def _cut_runs(depth: int, block: int):
     return cut
 
 
+def _beside(keyed: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts with their lists, by shuffle at any size; only texts that have a list move."""
+    return keyed.join(rows.small(lists.select(*keys)), keys, "left_semi").join(lists.hint("merge"), keys)
+
+
 def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int) -> DataFrame:
     """The pieces of ``parts``, cut from the texts of their rows.
 
     A row is named by its id and its text. Rows alike in both give the pieces of a settled run more
     than once, which changes nothing; open runs are of rows without their like.
     """
-    lists = parts.groupBy(*_ROW).agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "settled")).alias("parts"))
-    texts = keyed.join(rows.small(lists, parts.count()), list(_ROW))
+    lists = rows.written(parts.groupBy(*_ROW).agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "settled")).alias("parts")))
+    texts = _beside(keyed, lists, list(_ROW))
     schema = ", ".join(f"{n} long" for n in ("d", "k1", "k2", "lo", "hi", "gram", "at")) + ", settled boolean, h1 long, h2 long, core long"
     return texts.select(*_ROW, "text", "parts").mapInArrow(_cut_runs(depth, block), schema)
 
@@ -244,10 +249,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     shorter than ``depth`` stay whole; repeated rows repeat each other, null ids too; an empty table
     gives an empty result; other columns are not read.
     """
+    rows.bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     # one list of distinct ranges for a distinct text, however many rows hold it
     ranges = rows.written(repeated_ranges(docs, depth, gram).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    n = ranges.count()
-    keyed = docs.select("doc_id", "text", *rows.text_key())
-    joined = keyed.join(F.broadcast(ranges) if n <= rows.BROADCAST_ROWS // 4 else ranges, ["k1", "k2"], "left")
+    keyed, keys = docs.select("doc_id", "text", *rows.text_key()), ["k1", "k2"]
+    whole = keyed.join(rows.small(ranges.select(*keys)), keys, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
+    joined = _beside(keyed, ranges, keys).select(*whole.columns).unionByName(whole)
     return joined.select("doc_id", "text", "ranges").mapInArrow(_remove(depth), _OUT)

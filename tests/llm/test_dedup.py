@@ -5,7 +5,7 @@ import re
 import numpy as np
 import xxhash
 
-from rinkspark.llm import components, simhash_dedup, suffix_dedup
+from rinkspark.llm import components, rows, simhash_dedup, suffix_dedup
 
 
 def _naive_removal(texts, depth):
@@ -57,6 +57,13 @@ def test_long_texts_are_cut_into_stretches(docs_of, monkeypatch):
     assert got == [(i, *w) for i, w in enumerate(_naive_removal(texts, 60))]
 
 
+def test_repeats_without_broadcasts(docs_of, monkeypatch):
+    monkeypatch.setattr(rows, "BROADCAST_ROWS", 0)
+    texts = _near_copies(8)
+    got = suffix_dedup.remove_repeats(docs_of(list(enumerate(texts))), 40, 10).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *w) for i, w in enumerate(_naive_removal(texts, 40)))
+
+
 def test_no_documents(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([(1, "x")]).limit(0)).count() == 0
     assert simhash_dedup.near_duplicates(docs_of([(1, "x")]).limit(0)).count() == 0
