@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkspark.llm import byte_bpe, decontaminate, personal_data, quality, rows, simhash_dedup
+from rinkspark.llm import byte_bpe, decontaminate, near_copies, personal_data, quality, rows
 from rinkspark.llm.queries import RANKS
 
 #: Documents scored below this are rejected.
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id; rows without an id stay."""
-    found = simhash_dedup.near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id; rows without an id stay."""
+    found = near_copies.near_copies(docs)
     others = rows.written(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(rows.small(others), "doc_id", "left_anti").select(*docs.columns)
 
