@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations alone.
 
-A window is as many words long as the benchmark item it is held against. Items and windows get a
+A window is as many words long as the benchmark item it is held against, or the whole text where that
+is shorter. Items and windows get a
 64-bit SimHash of their five-word shingles. Multi-index Hamming blocks (nine of at most eight bits,
 one wrong bit allowed in a block) find every item of the window's size within 16 bits, by the
 pigeonhole principle; the exact similarity of the shingles, weighted by how often each occurs,
@@ -88,8 +89,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     Takes ``docs(doc_id, text, ...)`` and ``benchmark(item_id, text, ...)``. ``similarity`` is the
     best window's, ``start`` the first word (from 0) of the first such window, ``n_windows`` how many
     windows pass. Words are runs of letters and digits, lower-cased. Null and empty texts have none;
-    texts with fewer words than the item are one window of their own size, and are held against items
-    of that size. Repeated rows give one result an id; a null id is a value like any other. Either
+    texts with fewer words than the item are one window of their own size, held against the whole
+    item. Repeated rows give one result an id; a null id is a value like any other. Either
     table may be empty.
     """
     items = rows.written(benchmark_items(benchmark))
@@ -120,17 +121,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
         "size",
         "near",
     )
-    windows = windows.select("doc_id", "start", F.expr("slice(near, start - nearest + 1, size)").alias("window"))
-    windows = windows.select("doc_id", "start", "window", F.size("window").alias("size"), F.expr(_simhash("window")).alias("fp"))
+    windows = windows.select("doc_id", "start", "size", F.expr("slice(near, start - nearest + 1, size)").alias("window"))
+    # a text shorter than the item is one clipped window; under this length none reaches the similarity
+    windows = windows.where(F.size("window") / F.col("size") >= similar)
+    windows = windows.select("doc_id", "start", "window", "size", F.expr(_simhash("window")).alias("fp"))
     blocks = ", ".join(f"struct({i} as block, {_block(i)} as value)" for i in range(BLOCKS))
     probes = windows.select("*", F.explode(F.expr(f"array({blocks})")).alias("k")).select("doc_id", "start", "window", "size", "fp", "k.block", "k.value")
     keys = _item_keys(items).withColumnRenamed("fp", "item_fp")
     near = probes.join(rows.small(keys, n_items * 72), ["size", "block", "value"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")
     near = near.drop("block", "value", "fp", "item_fp")
-    # both sides have ``size`` shingles: of their weights the lesser sum to ``both``, the greater to 2 size - both
+    # of both sides' weights the lesser sum to ``both``, the greater to the rest of the two sizes
     both = "aggregate(map_entries(weights), 0L, (n, e) -> n + least(e.value, size(filter(window, h -> h = e.key))))"
-    checked = near.join(rows.small(items.select("item_id", "weights"), n_items), "item_id").select("doc_id", "item_id", "start", "size", F.expr(both).alias("both"))
-    checked = checked.select("doc_id", "item_id", "start", (F.col("both") / (2 * F.col("size") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similar)
+    checked = near.join(rows.small(items.select("item_id", "weights"), n_items), "item_id").select("doc_id", "item_id", "start", (F.col("size") + F.size("window")).alias("sizes"), F.expr(both).alias("both"))
+    checked = checked.select("doc_id", "item_id", "start", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similar)
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
     return checked.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"), F.countDistinct("start").alias("n_windows"))
 
