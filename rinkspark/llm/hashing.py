@@ -15,6 +15,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longest tables of powers that a worker keeps.
+KEPT_POWERS = 1 << 21
+
+
 class Prefixes:
     """Hashes of any byte range of one stretch, from prefix sums of a polynomial modulo 2^64."""
 
@@ -31,9 +35,12 @@ class Prefixes:
             inverse = np.uint64(pow(int(base), -1, 1 << 64))
             up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, inverse))
             self._powers[which] = up, down
+            if len(up) > KEPT_POWERS:  # of a very long stretch: not kept for the life of the worker
+                self._powers.pop(which)
         self.down = down
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._tables[which][data] * up[: len(data)], out=self.sums[1:])
+        values = self._tables[which][data] if data.dtype == np.uint8 else mixed(data * base)
+        np.cumsum(values * up[: len(data)], out=self.sums[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mixed((self.sums[hi] - self.sums[lo]) * self.down[lo] ^ (hi - lo).astype(np.uint64))
@@ -48,18 +55,30 @@ class Prefixes:
 WORD = np.zeros(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     WORD[_lo:_hi] = True
+#: ASCII white space.
+GAP = np.zeros(256, bool)
+GAP[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-last places of the words in ``data``."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = WORD[data]
+def _ranges(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(of) + 2, np.int8)
+    inside[1:-1] = of
     edge = np.diff(inside)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last places of the words in ``data``."""
+    return _ranges(WORD[data])
+
+
+def between_gaps(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last places of what ASCII white space parts in ``data``."""
+    return _ranges(~GAP[data])
+
+
 def apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a blank after each, so that no word spans two, and their new offsets."""
     n = len(offsets) - 1

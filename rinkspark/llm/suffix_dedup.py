@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark.llm import rows
-from rinkspark.llm.hashing import Prefixes, mixed
+from rinkspark.llm.hashing import GAP, Prefixes, apart, between_gaps, mixed
 
 DEPTH = 400
 GRAM = 100
@@ -35,6 +35,9 @@ GRAM = 100
 BLOCK = 20
 #: Bytes handled at once; longer texts are cut into stretches that overlap by one run.
 STRETCH = 1 << 20
+#: Words of a passage that documents share, and of its gram.
+PASSAGE_WORDS = 51
+PASSAGE_GRAM = 17
 
 def _minima(x: np.ndarray, n: int) -> np.ndarray:
     """The least of each ``n`` neighbours, from running minima of blocks of ``n``."""
@@ -72,9 +75,28 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int
     return row[first], starts[first], starts[last], at[first]
 
 
-def _stretches(batch_text: pa.Array, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, bytes, offsets, bytes of the text before): rows together, or parts of a long one."""
+def _as_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word between ASCII white space, and where each text's words begin."""
+    hashed, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for lo, hi in rows.pieces(offsets, STRETCH):
+        part, at = apart(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        # a long text is taken in parts that end where a word does
+        blank = np.flatnonzero(GAP[part])
+        cuts = np.unique(np.append(blank[np.searchsorted(blank, np.arange(STRETCH, len(part), STRETCH))] + 1, [0, len(part)]))
+        begins = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            begin, end = between_gaps(part[a:b])
+            hashed.append(Prefixes(part[a:b]).of(begin, end))
+            begins.append(begin + a)
+        first.append(np.searchsorted(np.concatenate(begins), at[1:]) + first[-1][-1])
+    return np.concatenate(hashed), np.concatenate(first)
+
+
+def _stretches(batch_text: pa.Array, depth: int, words: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, symbols, offsets, symbols of the text before): rows together, or parts of a long one."""
     data, offsets = rows.utf8(batch_text)
+    if words:
+        data, offsets = _as_words(data, offsets)
     for lo, hi in rows.pieces(offsets, STRETCH):
         part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if len(part) <= STRETCH:
@@ -92,11 +114,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _find_runs(depth: int, gram: int):
+def _find_runs(depth: int, gram: int, words: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "k1", "k2"))
-            for row0, data, offsets, before in _stretches(batch.column("text"), depth):
+            for row0, data, offsets, before in _stretches(batch.column("text"), depth, words):
                 row, lo, hi, at = runs_of(data, offsets, depth, gram)
                 if not len(row):
                     continue
@@ -113,7 +135,7 @@ _PART = pa.schema([(n, pa.int64()) for n in ("d", "k1", "k2", "lo", "hi", "gram"
 _ROW = ("d", "k1", "k2")
 
 
-def _cut_runs(depth: int, block: int):
+def _cut_runs(depth: int, block: int, words: bool):
     """Cuts the runs listed in ``parts`` at multiples of ``block`` of the distance to their gram.
 
     A piece is named by its bytes and its place around the gram; its core are the bytes that every
@@ -125,6 +147,8 @@ def _cut_runs(depth: int, block: int):
             who = [batch.column(c).to_pylist() for c in _ROW]
             for i, parts in enumerate(batch.column("parts").to_pylist()):
                 data = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
+                if words:
+                    data, _ = _as_words(data, np.array([0, len(data)], np.int64))
                 by: dict[int, list] = {}
                 for p in parts:
                     by.setdefault(p["lo"] // STRETCH, []).append(p)
@@ -158,7 +182,7 @@ def _beside(keyed: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(rows.small(lists.select(*keys)), keys, "left_semi").join(lists.hint("merge"), keys)
 
 
-def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int) -> DataFrame:
+def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int, words: bool) -> DataFrame:
     """The pieces of ``parts``, cut from the texts of their rows.
 
     A row is named by its id and its text. Rows alike in both give the pieces of a settled run more
@@ -167,55 +191,72 @@ def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int) -> DataFram
     lists = rows.written(parts.groupBy(*_ROW).agg(F.collect_list(F.struct("lo", "hi", "at", "gram", "settled")).alias("parts")))
     texts = _beside(keyed, lists, list(_ROW))
     schema = ", ".join(f"{n} long" for n in ("d", "k1", "k2", "lo", "hi", "gram", "at")) + ", settled boolean, h1 long, h2 long, core long"
-    return texts.select(*_ROW, "text", "parts").mapInArrow(_cut_runs(depth, block), schema)
+    return texts.select(*_ROW, "text", "parts").mapInArrow(_cut_runs(depth, block, words), schema)
 
 
-def _classes(runs: DataFrame, names: list[str], *more) -> DataFrame:
-    """Groups of equal runs: how many, and one of them."""
+def _classes(runs: DataFrame, names: list[str], among: str, *more) -> DataFrame:
+    """Groups of equal runs: one of them, and whether they ``repeat``, which ``among`` tells in SQL."""
     one = F.min(F.struct(*_ROW, "lo", "hi", "at")).alias("r")
-    return runs.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("gram").alias("gram"), one, *more)
+    return runs.groupBy(*names).agg(F.expr(among).alias("repeat"), F.min("gram").alias("gram"), one, *more)
+
 
+def _repeating(runs: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
+    return runs.join(rows.small(classes.where("repeat").select(*names)), names, "left_semi").select("k1", "k2", "lo", "hi")
 
-def _in_many(runs: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
-    return runs.join(rows.small(classes.where("n > 1").select(*names)), names, "left_semi").select("k1", "k2", "lo", "hi")
 
+def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, words: bool = False, across: bool = False) -> DataFrame:
+    """Rows (k1, k2, lo, hi): starts lo to hi of repeated windows of the distinct text (k1, k2).
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """Rows (k1, k2, lo, hi): starts lo to hi of repeated windows of the distinct text (k1, k2)."""
+    Windows count bytes, or ``words`` between white space. With ``across`` only windows that another
+    document has too are repeated, and of those that one document has more than once at least one is
+    listed. Rows alike in id and text are one document.
+    """
+    # a settled representative stands for runs of several documents
+    many = "count(1) > 1"
+    apart_ = "min(d) <> max(d) or min(k1) <> max(k1)"
+    among, among_settled = (f"{many} and ({apart_})", f"{many} and ({apart_} or bool_or(settled))") if across else (many, many)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), "text", *rows.text_key())
     schema = ", ".join(f"{f.name} long" for f in _RUN)
-    runs = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram), schema))
-    # a gram that occurs once leaves the sort, and one whose runs are all equal is settled
+    runs = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram, words), schema))
+    # a gram that does not repeat leaves the sort, and one whose runs are all equal is settled
     span = [f("span" + n).alias(f.__name__ + n) for n in ("", "2") for f in (F.min, F.max)]
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *span).where("n > 1")
+    grams = runs.groupBy("gram").agg(F.expr(among).alias("repeat"), *span).where("repeat")
     grams = rows.written(grams.select("gram", F.expr("min <> max or min2 <> max2").alias("mixed")))
     left = runs.join(rows.small(grams), "gram")
     found = [left.where("not mixed").select("k1", "k2", "lo", "hi")]
     left = rows.written(left.where("mixed").drop("mixed"))
-    spans = rows.written(_classes(left, ["span", "span2"]))
-    found.append(_in_many(left, spans, ["span", "span2"]))
-    open_grams = spans.where("n = 1").select("gram").distinct()
+    spans = rows.written(_classes(left, ["span", "span2"], among))
+    found.append(_repeating(left, spans, ["span", "span2"]))
+    open_grams = spans.where("not repeat").select("gram").distinct()
     parts = spans.join(rows.small(open_grams), "gram", "left_semi")
-    parts = rows.written(parts.select("gram", "r.*", (F.col("n") > 1).alias("settled")))
+    parts = rows.written(parts.select("gram", "r.*", F.col("repeat").alias("settled")))
 
-    cut = rows.written(_cut(keyed, parts, depth, BLOCK))
-    blocks = rows.written(_classes(cut, ["h1", "h2"], F.min("core").alias("core"), F.max("settled").alias("settled")))
-    found.append(_in_many(cut.where("not settled"), blocks, ["h1", "h2"]))
-    blocks = blocks.withColumn("settled", F.col("settled") | (F.col("n") > 1))
+    cut = rows.written(_cut(keyed, parts, depth, min(BLOCK, depth // 2), words))
+    blocks = rows.written(_classes(cut, ["h1", "h2"], among_settled, F.min("core").alias("core"), F.max("settled").alias("settled")))
+    found.append(_repeating(cut.where("not settled"), blocks, ["h1", "h2"]))
+    blocks = blocks.withColumn("settled", F.col("settled") | F.col("repeat"))
     shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where("n > 1 and not all")
     parts = blocks.join(rows.small(shared.select("core")), "core", "left_semi")
     parts = rows.written(parts.select("gram", "r.*", "settled"))
 
-    cut = rows.written(_cut(keyed, parts, depth, 1))
-    windows = cut.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-    found.append(_in_many(cut.where("not settled"), windows, ["h1", "h2"]))
+    cut = rows.written(_cut(keyed, parts, depth, 1, words))
+    windows = cut.groupBy("h1", "h2").agg(F.expr(among_settled).alias("repeat"))
+    found.append(_repeating(cut.where("not settled"), windows, ["h1", "h2"]))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def sharing_texts(docs: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """Distinct (k1, k2) of the texts with a passage of ``words`` words that another document has too.
+
+    Words are what ASCII white space parts, as they are written.
+    """
+    return repeated_ranges(docs, words, gram, words=True, across=True).select("k1", "k2").distinct()
+
+
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int"
 
 
 def _remove(depth: int):
@@ -236,24 +277,29 @@ def _remove(depth: int):
                 kept = text[~gone] if ranges else text
                 for x, y in zip(got, (len(text), int(gone.sum()), int(begins.sum()), hashlib.sha256(kept.tobytes()).hexdigest())):
                     x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in got[:3]), pa.array(got[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in got[:3]), pa.array(got[3], pa.string()), batch.column("shares_passage")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, passage: int = PASSAGE_WORDS) -> DataFrame:
     """For each row of ``docs(doc_id, text, ...)`` what is left once repeated windows are removed.
 
     Every byte goes that is covered by a ``depth``-byte string which also starts anywhere else.
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text is an empty one; texts
-    shorter than ``depth`` stay whole; repeated rows repeat each other, null ids too; an empty table
-    gives an empty result; other columns are not read.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and shares_passage: 1 if the document
+    has a passage of ``passage`` words that another document has too, which may be shorter than
+    ``depth`` bytes and stays. A null text is an empty one; texts shorter than ``depth`` stay whole;
+    texts of any length are hashed in stretches; repeated rows repeat each other, null ids too; an
+    empty table gives an empty result; other columns are not read.
     """
     rows.bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     # one list of distinct ranges for a distinct text, however many rows hold it
-    ranges = rows.written(repeated_ranges(docs, depth, gram).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    ranges = repeated_ranges(docs, depth, gram).select("k1", "k2", F.struct("lo", "hi").alias("range"), F.lit(0).alias("shares"))
+    sharing = sharing_texts(docs, passage, max(1, passage // 3)).select("k1", "k2", F.lit(None).cast(ranges.schema["range"].dataType).alias("range"), F.lit(1).alias("shares"))
+    lists = ranges.unionByName(sharing).groupBy("k1", "k2").agg(F.collect_set("range").alias("ranges"), F.max("shares").alias("shares_passage"))
+    lists = rows.written(lists)
     keyed, keys = docs.select("doc_id", "text", *rows.text_key()), ["k1", "k2"]
-    whole = keyed.join(rows.small(ranges.select(*keys)), keys, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    joined = _beside(keyed, ranges, keys).select(*whole.columns).unionByName(whole)
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_remove(depth), _OUT)
+    whole = keyed.join(rows.small(lists.select(*keys)), keys, "left_anti").select("*", F.lit(None).cast(lists.schema["ranges"].dataType).alias("ranges"), F.lit(0).alias("shares_passage"))
+    joined = _beside(keyed, lists, keys).select(*whole.columns).unionByName(whole)
+    return joined.select("doc_id", "text", "ranges", "shares_passage").mapInArrow(_remove(depth), _OUT)

@@ -25,6 +25,15 @@ def _naive_removal(texts, depth):
     return out
 
 
+def _naive_sharing(docs, words):
+    seen = {}
+    docs = [(i, t, (t or "").encode().split()) for i, t in docs]
+    for i, t, w in docs:
+        for k in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[k : k + words]), set()).add((i, t))
+    return [int(any(len(seen[tuple(w[k : k + words])]) > 1 for k in range(len(w) - words + 1))) for _, _, w in docs]
+
+
 def _near_copies(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 6)))
@@ -41,8 +50,10 @@ def _near_copies(seed):
 def test_repeats_match_brute_force(docs_of):
     for seed, depth, gram in ((1, 40, 10), (2, 64, 16)):
         texts = _near_copies(seed)
-        got = suffix_dedup.remove_repeats(docs_of([(i if i % 9 else None, t) for i, t in enumerate(texts)]), depth, gram).collect()
-        want = [(i if i % 9 else None, *w) for i, w in enumerate(_naive_removal(texts, depth))]
+        got = suffix_dedup.remove_repeats(docs_of([(i if i % 9 else None, t) for i, t in enumerate(texts)]), depth, gram, 9).collect()
+        shares = _naive_sharing([(i if i % 9 else None, t) for i, t in enumerate(texts)], 9)
+        assert {0, 1} == set(shares)
+        want = [(i if i % 9 else None, *w, s) for i, (w, s) in enumerate(zip(_naive_removal(texts, depth), shares))]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
@@ -53,15 +64,28 @@ def test_long_texts_are_cut_into_stretches(docs_of, monkeypatch):
     texts = [text, "x" + text[1300:2600], text[100:3000] + "y"]
     data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     assert all(len(d) > 700 for d in data)
-    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(list(enumerate(texts))), 60, 15).collect())
-    assert got == [(i, *w) for i, w in enumerate(_naive_removal(texts, 60))]
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(list(enumerate(texts))), 60, 15, 7).collect())
+    assert got == [(i, *w, s) for i, (w, s) in enumerate(zip(_naive_removal(texts, 60), _naive_sharing(enumerate(texts), 7)))]
 
 
 def test_repeats_without_broadcasts(docs_of, monkeypatch):
     monkeypatch.setattr(rows, "BROADCAST_ROWS", 0)
     texts = _near_copies(8)
     got = suffix_dedup.remove_repeats(docs_of(list(enumerate(texts))), 40, 10).collect()
-    assert sorted(tuple(r) for r in got) == sorted((i, *w) for i, w in enumerate(_naive_removal(texts, 40)))
+    assert sorted(tuple(r)[:5] for r in got) == sorted((i, *w) for i, w in enumerate(_naive_removal(texts, 40)))
+
+
+def test_depth_of_production_matches_brute_force(docs_of):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    long, passage, short = prose(90), prose(55), prose(50)
+    texts = [prose(40) + " " + long, long + prose(5), prose(70) + " " + passage + " " + prose(30), passage, prose(9) + " " + short, short + " " + prose(3), prose(60), long[3:403], long[3:402], passage + " " + prose(4) + " " + passage]
+    twice = prose(60)
+    texts += [twice + " " + twice, "w " * 300]
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs_of(list(enumerate(texts)))).collect())
+    shares = _naive_sharing(enumerate(texts), 51)
+    assert shares == [1, 1, 1, 1, 0, 0, 0, 1, 1, 1, 0, 0]
+    assert got == [(i, *w, s) for i, (w, s) in enumerate(zip(_naive_removal(texts, 400), shares))]
 
 
 def test_no_documents(docs_of):
