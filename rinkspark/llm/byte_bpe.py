@@ -105,7 +105,7 @@ def _kept(texts: pa.Array, keep: bool) -> pa.Array:
 def _encode_short(path: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path, pattern)
-        for batch in batches:
+        for batch in rows.released(batches):
             ids = [np.array(enc.encode_ordinary(t.as_py() or ""), np.int32) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _kept(batch.column("text"), keep), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
 
@@ -117,7 +117,7 @@ _PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.in
 
 def _cut(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             for i, text in enumerate(batch.column("text")):
                 text, row, doc = text.as_py(), batch.column("row")[i].as_py(), batch.column("doc_id")[i].as_py()
                 n = -(-len(text) // chunk)
@@ -132,7 +132,7 @@ def _pretokenise(pattern: str, chunk: int, overlap: int):
     places = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             heads, tails = [], []
             for number, last, text in zip(batch.column("chunk").to_pylist(), batch.column("last").to_pylist(), batch.column("text").to_pylist()):
                 found = boundaries(text, pattern, last)
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
 def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path, pattern)
-        for batch in batches:
+        for batch in rows.released(batches):
             yield batch.append_column("decoded", pa.array([enc.decode_bytes(ids.values.to_pylist() if ids.is_valid else []) for ids in batch.column("ids")], pa.binary()))
 
     return run

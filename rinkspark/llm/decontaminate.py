@@ -1,21 +1,20 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations alone.
 
 A window is as many words long as the benchmark item it is held against, or the whole text where that
-is shorter. Items and windows get a
-64-bit SimHash of their five-word shingles. Multi-index Hamming blocks (nine of at most eight bits,
-one wrong bit allowed in a block) find every item of the window's size within 16 bits, by the
-pigeonhole principle; the exact similarity of the shingles, weighted by how often each occurs,
-decides.
+is shorter. Items and windows get a 64-bit SimHash of their five-word shingles. Multi-index Hamming
+blocks (ten of at most seven bits, one wrong bit allowed in a block) find every item of the window's
+size within 19 bits, by the pigeonhole principle; the exact similarity of the shingles, weighted by
+how often each occurs, decides.
 
 A window that shares no shingle with any item has similarity zero, so windows start only at shared
 shingles: sliding a window right up to its first shared shingle, or to the end of the text, never
-lowers its similarity, and no document loses its best window.
+lowers its similarity, and no document loses its best window. Shared shingles come from one join of
+all places of all texts with the benchmark's shingles: by broadcast in the scan itself while the
+benchmark is small, else by shuffle of hashes alone, after which the texts that hold one are read again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +22,11 @@ from rinkspark.llm import rows
 
 WORDS = 5
 SIMILAR = 0.8
-RADIUS = 16
+RADIUS = 19
 #: Blocks of the fingerprint; RADIUS // BLOCKS bits may differ in the best of them.
-BLOCKS = 9
-#: Shingles of the benchmark that one pass over the documents looks for.
-PASS_SHINGLES = 20_000
+BLOCKS = 10
+#: Shingles of the benchmark up to which their places are found in the scan of the texts itself.
+KNOWN_SHINGLES = rows.BROADCAST_ROWS
 
 
 def _shingles(words: str, n: int = WORDS) -> str:
@@ -71,16 +70,18 @@ def _made(df: DataFrame, expression: str, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(F.expr(expression))).alias(name))
 
 
-def _passes(items: DataFrame) -> Iterator[list[int]]:
-    """The benchmark's distinct shingles in lists of bounded length."""
-    part: list[int] = []
-    for r in items.select(F.explode("hashes").alias("h")).distinct().toLocalIterator():
-        part.append(r.h)
-        if len(part) == PASS_SHINGLES:
-            yield part
-            part = []
-    if part:
-        yield part
+def _anchors(hashed: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
+    """(doc_id, hashes, p, h) of the places p of ``hashed(doc_id, text, hashes)`` that hold a known shingle."""
+    if n_known <= KNOWN_SHINGLES:
+        at = hashed.select("doc_id", "hashes", F.posexplode("hashes").alias("p", "h"))
+        return at.join(F.broadcast(known), "h").select("doc_id", "hashes", "p", "h")
+    keys = ["id", "k1", "k2"]
+    keyed = hashed.select(F.col("doc_id").alias("id"), *rows.text_key(), "hashes")
+    hits = keyed.select(*keys, F.posexplode("hashes").alias("p", "h")).join(known, "h").distinct()
+    hits = rows.written(hits.groupBy(*keys).agg(F.collect_list(F.struct("p", "h")).alias("at")))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2"))
+    there = keyed.join(rows.small(hits.toDF("i", "l1", "l2", "at")), same)
+    return there.select(F.col("id").alias("doc_id"), "hashes", F.explode("at").alias("a")).select("doc_id", "hashes", "a.p", "a.h")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -90,29 +91,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     best window's, ``start`` the first word (from 0) of the first such window, ``n_windows`` how many
     windows pass. Words are runs of letters and digits, lower-cased. Null and empty texts have none;
     texts with fewer words than the item are one window of their own size, held against the whole
-    item. Repeated rows give one result an id; a null id is a value like any other. Either
+    item; long texts are one array of words. Repeated rows give one result an id; a null id is a value like any other. Either
     table may be empty.
     """
     items = rows.written(benchmark_items(benchmark))
     longest = items.agg(F.max("size")).first()[0]
     if longest is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_windows long")
-    hashed = _made(_made(docs.select("doc_id", "text"), _words(), "w"), _shingles("w"), "hashes").select("doc_id", "hashes")
+    hashed = _made(_made(docs.select("doc_id", "text"), _words(), "w"), _shingles("w"), "hashes").select("doc_id", "text", "hashes")
     n_items = items.count()
     # the sizes of the items that a shingle is from, to know how long a window starts at it
     sizes = rows.written(items.select(F.explode("hashes").alias("h"), "size").distinct())
     n_sizes = sizes.count()
-    found = []
-    for part in _passes(items):
-        known = ", ".join(f"{h}L" for h in part)
-        hit = _made(hashed, f"filter(transform(hashes, (h, i) -> case when h in ({known}) then i end), i -> i is not null)", "at").where("size(at) > 0")
-        # the item-sized window's shingles are at most ``longest`` from the shared one on, or at the end
-        cut = f"transform(at, i -> struct(i as p, hashes[i] as h, size(hashes) as n, slice(hashes, greatest(1, least(i, size(hashes) - {longest}) + 1), {longest}) as near))"
-        anchors = hit.select("doc_id", F.explode(F.expr(cut)).alias("a")).select("doc_id", "a.*")
-        found.append(anchors)
-    anchors = found[0]
-    for more in found[1:]:
-        anchors = anchors.unionByName(more)
+    known = rows.written(sizes.select("h").distinct())
+    # the item-sized window's shingles are at most ``longest`` from the shared one on, or at the end
+    near = f"slice(hashes, greatest(1, least(p, size(hashes) - {longest}) + 1), {longest})"
+    anchors = _anchors(hashed, known, known.count()).select("doc_id", "p", "h", F.expr("size(hashes)").alias("n"), F.expr(near).alias("near"))
     # near starts at nearest; the window of ``size`` shingles starts at p, or earlier where the text ends
     windows = anchors.join(rows.small(sizes, n_sizes), "h").select(
         "doc_id",

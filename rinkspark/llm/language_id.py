@@ -21,9 +21,9 @@ from rinkspark.llm.hashing import LOWER, apart
 
 BUCKETS = 2048
 GRAMS = (2, 3)
-#: Documents to learn a language from, about, and how many in all: the first by hash of the id.
-PER_LANGUAGE = 1500
+#: Documents to learn from, about, and of one language at most: each language's first by hash of the id.
 LABELLED = 12_000
+PER_LANGUAGE = 1500
 RIDGE = 0.05
 PARTS = 8
 #: Probability by which the best language has to lead the second.
@@ -107,7 +107,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in rows.released(batches):
         x = [features(data, offsets).astype(np.float16).tobytes() for _, _, data, offsets in _slices(batch)]
         raw, size = b"".join(x), BUCKETS * 2
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([raw[i * size : (i + 1) * size] for i in range(batch.num_rows)], pa.binary())], names=["lang", "x"])
@@ -118,12 +118,13 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
     rows.bounded_batches(docs.sparkSession)
     learn = ~rows.is_held_out("doc_id", modulus, held_out)
     known = docs.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang").distinct()
-    # each language's share of the hash range holds about PER_LANGUAGE of its documents, and all if it has fewer
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # each language has an equal part in the sample: that share of the hash range holds about so many of its documents, and all if it has fewer
+    sizes = rows.written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n_languages = sizes.count()
+    most = min(PER_LANGUAGE, LABELLED / max(1, n_languages))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    wanted = known.join(rows.small(sizes), "lang").where(place * F.col("n").cast("double") < float(PER_LANGUAGE << 40))
-    wanted = wanted.orderBy(place, "doc_id", "lang").limit(LABELLED).select("doc_id", "lang")
-    wanted = rows.written(wanted)
+    wanted = known.join(rows.small(sizes, n_languages), "lang").where(place * F.col("n").cast("double") < most * float(1 << 40))
+    wanted = rows.written(wanted.select("doc_id", "lang"))
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sample.select("lang", "text").repartition(PARTS).mapInArrow(_sample, "lang string, x binary").toArrow()
     names = got.column("lang").to_pylist()
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             names, scores, unclear = [], [], []
             for _, _, data, offsets in _slices(batch):
                 n = len(offsets) - 1
@@ -161,9 +162,12 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) of every row of ``docs(doc_id, text, lang, ...)``.
 
     Languages are learnt from rows whose crc32 of the id modulo ``modulus`` is not ``held_out`` and
-    whose lang is not null. A text that is null or has no letter is ``und`` with score 0, as all are
-    if no language can be learnt. Null ids and repeated rows pass through; an empty table gives an
-    empty result.
+    whose lang is not null; about ``LABELLED`` documents, as many of each language as there are or as
+    its equal part allows. A document's rows of one lang teach by one of their texts. A text that is
+    null or has no letter is ``und`` with score 0, as all are if no language can be learnt. Of
+    codewords that lose alike the language first in order is chosen, flagged as ambiguous. The
+    counts of a long text are of all of it. Null ids and repeated rows pass through; an empty table
+    gives an empty result; other columns are not read.
     """
     model = fit(docs, modulus, held_out)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")

@@ -92,7 +92,7 @@ def _lists(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 
 def _signed(words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             for lo, hi, hashes, begin, node in _slices(batch, words):
                 keys = _lists(_band_keys(hashes, begin).ravel(), np.concatenate([[0], np.cumsum(np.diff(begin) > 0)]) * BANDS)
                 ids = batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64())
@@ -103,7 +103,7 @@ def _signed(words: int):
 
 def _sets(words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             for lo, hi, hashes, begin, node in _slices(batch, words):
                 owner = np.repeat(np.arange(hi - lo), np.diff(begin))
                 order = np.lexsort((hashes, owner))

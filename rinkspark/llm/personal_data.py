@@ -3,8 +3,9 @@
 The fixed patterns' matches are seed entities. The words around a seed make lexical patterns, and
 tokens in the same places that no fixed pattern matches are instances still unknown. Spark scores
 the graph of patterns and instances in rounds: a pattern is as sure as the distinct instances it
-surrounds, an instance as the patterns around it (noisy-or). Instances of patterns that end up
-confident are reported under the pattern's kind.
+surrounds, an instance as the patterns around it (noisy-or). Instances of confident patterns are
+reported under the pattern's kind, and from the next round on they count as seeds, wherever else they
+stand, so that they induce patterns that no seed of the fixed patterns has.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from rinkspark.llm import rows
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: What a pattern needs: distinct seeds of its kind around it, and its share of sure instances.
+#: What a pattern needs: distinct seeds or accepted instances of its kind, and its share of sure instances.
 SUPPORT = 5
 CONFIDENT = 0.8
 #: Score from which an unknown instance is reported.
@@ -32,8 +33,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\s,;:!?\"'<>()\[\]{}|]+")
-_WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
-_WORD_AFTER = re.compile(r"[^\w\n]{0,3}([^\W\d_]+)")
+# A context's words are whole words of at most 36 letters, with at most three marks or blanks between.
+_WORD_BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,36})[^\w\n]{0,3}$")
+_WORD_AFTER = re.compile(r"[^\w\n]{0,3}([^\W\d_]{1,36})(?![^\W\d_])")
+_NUMBER = re.compile(r"\+?[0-9][0-9./-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -82,8 +85,8 @@ def _emails(text: str) -> Iterator[re.Match]:
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: the word before, the words on either side."""
-    before = _WORD_BEFORE.search(text[max(0, start - 40) : start])
-    after = _WORD_AFTER.match(text[end : end + 40])
+    before = _WORD_BEFORE.search(text, max(0, start - 39), start)
+    after = _WORD_AFTER.match(text, end)
     out = []
     if before:
         out.append("< " + before[1].lower())
@@ -93,14 +96,23 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def unknowns(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with four digits or more, or an at sign, that no fixed pattern touches."""
-    out = []
+    """Tokens with four digits or more, or an at sign, that no fixed pattern touches.
+
+    Numbers that single blanks join are one token.
+    """
+    out: list[tuple[int, int]] = []
     if not _DIGIT.search(text) and "@" not in text:
         return out
+    joined: list[tuple[int, int, bool]] = []
     for m in _TOKEN.finditer(text):
         word = m[0].rstrip(".")
-        a, b = m.start(), m.start() + len(word)
-        if (len(_DIGIT.findall(word)) >= 4 or "@" in word[1:-1]) and not any(x < b and a < y for _, x, y in taken):
+        a, b, number = m.start(), m.start() + len(word), _NUMBER.fullmatch(word) is not None
+        if number and joined and joined[-1][2] and joined[-1][1] == a - 1 and text[a - 1] == " ":
+            joined[-1] = joined[-1][0], b, True
+        elif number or _DIGIT.search(word) or "@" in word:
+            joined.append((a, b, number))
+    for a, b, _ in joined:
+        if (len(_DIGIT.findall(text, a, b)) >= 4 or "@" in text[a + 1 : b - 1]) and not any(x < b and a < y for _, x, y in taken):
             out.append((a, b))
     return out
 
@@ -111,7 +123,7 @@ _SEEN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in rows.released(batches):
         base, seen = [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
@@ -122,37 +134,54 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(base, _BASE), pa.array(seen, _SEEN)], names=["row", "doc_id", "base", "seen"])
 
 
+def _noisy_or(sure: str):
+    return 1 - F.exp(F.sum(F.log(1 - F.least(sure, F.lit(0.999)))))
+
+
 def scored_instances(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, instance, kind, sure): unknown instances with confident patterns, after the last round."""
+    """(i, kind, score): hashes of unknown instances that confident patterns surround, with the round's score."""
     edges = scanned.select(F.explode("seen").alias("s")).select("s.kind", F.xxhash64("s.instance").alias("i"), F.explode("s.patterns").alias("p"))
     edges = rows.written(edges.select("kind", "i", F.xxhash64("p").alias("p")).distinct())
-    # a pattern can be confident only with enough seeds of one kind
-    able = edges.where("kind <> ''").groupBy("p", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    sizes = edges.groupBy("p").agg(F.count(F.lit(1)).alias("all"))
-    able = rows.written(able.join(sizes, "p"))
-    unknown = rows.written(edges.where("kind = ''").select("i", "p").join(rows.small(able.select("p").distinct()), "p"))
-    patterns = able.withColumn("sure", F.col("seeds") / F.col("all"))
+    sizes = rows.written(edges.groupBy("p").agg(F.countDistinct("i").alias("all")))
+    seeds, unknown = edges.where("kind <> ''"), edges.where("kind = ''").select("i", "p")
+    accepted = rows.written(seeds.select("i", "kind", F.lit(1.0).alias("score")).limit(0))
+    patterns = seeds.limit(0).select("p", "kind", F.lit(0.0).alias("sure"))
     for _ in range(rounds):
+        # a pattern can be confident only with enough seeds and accepted instances of one kind
+        told = seeds.select("kind", "i", "p").unionByName(unknown.join(rows.small(accepted), "i").select("kind", "i", "p")).distinct()
+        able = told.groupBy("p", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
+        able = able.join(sizes, "p").join(patterns, ["p", "kind"], "left").select("p", "kind", "seeds", "all", F.coalesce("sure", F.col("seeds") / F.col("all")).alias("sure"))
+        able = rows.written(able)
+        left = rows.written(unknown.join(rows.small(accepted.select("i")), "i", "left_anti").join(rows.small(able.select("p").distinct()), "p", "left_semi"))
+        if not left.count():
+            break
         # an instance's score for a kind is the noisy-or of its patterns of that kind
-        scores = unknown.join(patterns, "p").groupBy("i", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("sure", F.lit(0.999)))))).alias("score"))
-        gained = unknown.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("gained"))
-        patterns = rows.written(able.join(gained, ["p", "kind"], "left").select("p", "kind", "seeds", "all", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0)) * F.col("seeds") / F.col("all")) / F.col("all")).alias("sure")))
-    good = patterns.where(F.col("sure") >= CONFIDENT)
-    return unknown.join(good, "p").groupBy("i", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("sure", F.lit(0.999)))))).alias("score")).where(F.col("score") >= ACCEPT)
+        scores = left.join(able, "p").groupBy("i", "kind").agg(_noisy_or("sure").alias("score"))
+        gained = left.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("gained"))
+        sure = F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0)) * F.col("seeds") / F.col("all")) / F.col("all"))
+        patterns = rows.written(able.join(gained, ["p", "kind"], "left").select("p", "kind", sure.alias("sure")))
+        good = patterns.where(F.col("sure") >= CONFIDENT)
+        new = left.join(rows.small(good), "p").groupBy("i", "kind").agg(_noisy_or("sure").alias("score")).where(F.col("score") >= ACCEPT)
+        # the kind that fits best; of equals the last in the alphabet
+        new = new.groupBy("i").agg(F.max(F.struct("score", "kind")).alias("b")).select("i", "b.kind", "b.score")
+        accepted = rows.written(accepted.unionByName(new))
+    return accepted
 
 
 def scan(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, spans) of every row of ``docs(doc_id, text, ...)``; spans are {kind, start, end, added}.
 
     Places are code points of the whole text, ends exclusive, in order of kind and then start.
-    ``added`` marks what the bootstrapped patterns found. A null or empty text has no spans. Ids,
-    null ones too, and repeated rows pass through; an empty table gives an empty result.
+    ``added`` marks what the bootstrapped patterns found. A null or empty text has no spans; very
+    long texts are searched whole. Ids, null ones too, and repeated rows pass through (an instance
+    counts once for a pattern, however often it is there); an empty table gives an empty result;
+    other columns are not read.
     """
     rows.bounded_batches(docs.sparkSession)
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scanned = rows.written(keyed.mapInArrow(_scan, _SCAN))
     found = scored_instances(scanned, rounds)
-    best = rows.written(found.groupBy("i").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")))
+    best = found.select("i", "kind")
     unknown = scanned.select("row", F.explode("seen").alias("s")).where("s.kind = ''").select("row", F.xxhash64("s.instance").alias("i"), "s.start", "s.end")
     added = unknown.join(rows.small(best), "i").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(True).alias("added"))).alias("more"))
     out = scanned.select("row", "doc_id", "base").join(added, "row", "left")
@@ -194,7 +223,7 @@ def _without(text: str, spans: list[dict]) -> str:
 
 def _masker(found: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             texts = [_without(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column(found).to_pylist())]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in batch.schema.names:

@@ -140,7 +140,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in rows.released(batches):
         x = [statistics(data, offsets) for _, _, data, offsets in _slices(batch)]
         x = np.concatenate(x) if x else np.zeros((0, len(STATISTICS)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
@@ -179,6 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     known = labels.where(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     wanted = rows.written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").mapInArrow(_statistics, "doc_id long, quality int, x array<double>")
+    # one text an id, however many rows have it
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
     sample = sample.withColumn("fold", (F.abs(F.xxhash64("doc_id", F.lit(3))) % 2).cast("int"))
     sample = rows.written(sample.repartition(PARTS))
     got = sample.orderBy("doc_id").select("quality", "fold", "x").toArrow()
@@ -197,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
 
 def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             out = [model.scores(data, offsets) for _, _, data, offsets in _slices(batch)]
             yield batch.append_column(name, pa.array(np.concatenate(out) if out else np.zeros(0)))
 
@@ -213,9 +215,11 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     """(doc_id, held_out, score, predicted) of every row of ``docs(doc_id, text, ...)``.
 
     Labels are learnt from rows whose crc32 of the id modulo ``modulus`` is not ``held_out``; a null
-    id or label teaches nothing, a document labelled both ways counts as 0. A null or empty text has
-    statistics of zero. With one kind of label, or none, every score is the labels' mean (0.5).
-    Repeated rows pass through; an empty table gives an empty result.
+    id or label teaches nothing, a document labelled both ways counts as 0, and an id with several
+    rows teaches by one of them, that of the least statistics. A null or empty text has statistics of
+    zero; those of a long text are of all of it, held in one task. With one kind of label, or none,
+    every score is the labels' mean (0.5). Equal scores stay equal. Repeated rows pass through; an
+    empty table gives an empty result; other columns are not read.
     """
     model = fit(docs, labels, modulus, held_out)
     scored = with_score(docs.select("doc_id", "text"), model)

@@ -90,14 +90,14 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-#: Every window of an item's size that shares a five-word shingle with it; items have five words or more.
+#: Every window of an item's size, or the whole text where it is shorter, that shares a five-word shingle with it; items have five words or more.
 OP9 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
  b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
  ds AS (SELECT doc_id, p, len(w) - 4 AS nd, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
  bs AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(w) - 4 AS n, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM b)) GROUP BY ALL),
- k AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(1, p - n + 1), least(p, nd - n + 1) + 1)) AS start FROM ds JOIN bs USING (s) WHERE nd >= n),
- h AS (SELECT k.doc_id, k.item_id, k.n, k.start, ds.s, count(*) AS c FROM k JOIN ds ON ds.doc_id = k.doc_id AND ds.p BETWEEN k.start AND k.start + k.n - 1 GROUP BY ALL),
- m AS (SELECT doc_id, item_id, h.n, start, sum(least(h.c, bs.c)) AS shared FROM h JOIN bs USING (item_id, s) GROUP BY ALL)
-SELECT doc_id, item_id, round(max(CAST(shared AS DOUBLE) / (2 * n - shared)), 9) AS similarity FROM m WHERE CAST(shared AS DOUBLE) / (2 * n - shared) >= 0.8 GROUP BY ALL
+ k AS (SELECT DISTINCT doc_id, item_id, n, least(n, nd) AS m, unnest(range(greatest(1, p - least(n, nd) + 1), least(p, nd - least(n, nd) + 1) + 1)) AS start FROM ds JOIN bs USING (s)),
+ h AS (SELECT k.doc_id, k.item_id, k.n, k.m, k.start, ds.s, count(*) AS c FROM k JOIN ds ON ds.doc_id = k.doc_id AND ds.p BETWEEN k.start AND k.start + k.m - 1 GROUP BY ALL),
+ m AS (SELECT doc_id, item_id, h.n + h.m AS sizes, start, sum(least(h.c, bs.c)) AS shared FROM h JOIN bs USING (item_id, s) GROUP BY ALL)
+SELECT doc_id, item_id, round(max(CAST(shared AS DOUBLE) / (sizes - shared)), 9) AS similarity FROM m WHERE CAST(shared AS DOUBLE) / (sizes - shared) >= 0.8 GROUP BY ALL
 """

@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted and has at most this many rows.
+#: A side of a join is broadcast only when it was counted and has at most so many rows, and when the
+#: values of its columns without a fixed size were added up and have at most so many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20
 
@@ -21,10 +23,12 @@ _scratch: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named."""
+    """The shared folder that the cluster names; a local one only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -65,13 +69,26 @@ def _delete_all() -> None:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to be small; otherwise the planner decides."""
+    """``df`` marked for broadcast if it was measured to be small; otherwise the planner decides.
+
+    ``rows`` is its number of rows, or a bound of it, where that is known.
+    """
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    if rows > BROADCAST_ROWS:
+        return df
+    loose = [c for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
+    if loose:
+        taken = F.sum(F.octet_length(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in loose)))))
+        if (df.agg(taken).first()[0] or 0) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session by bytes, so that long texts do not add up in memory."""
+    """Bounds the Arrow batches of the session by bytes, so that long texts do not add up in memory.
+
+    It stays set, since the bound has to hold when the frames made here run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -105,6 +122,14 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow has kept of them goes back to the system after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each, or of one longer row."""
     lo, n = 0, len(offsets) - 1

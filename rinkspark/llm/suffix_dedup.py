@@ -116,7 +116,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _find_runs(depth: int, gram: int, words: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             d, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "k1", "k2"))
             for row0, data, offsets, before in _stretches(batch.column("text"), depth, words):
                 row, lo, hi, at = runs_of(data, offsets, depth, gram)
@@ -143,7 +143,7 @@ def _cut_runs(depth: int, block: int, words: bool):
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             who = [batch.column(c).to_pylist() for c in _ROW]
             for i, parts in enumerate(batch.column("parts").to_pylist()):
                 data = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
@@ -261,7 +261,7 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 def _remove(depth: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             data, offsets = rows.utf8(batch.column("text"))
             got = ([], [], [], [])
             for i, ranges in enumerate(batch.column("ranges")):

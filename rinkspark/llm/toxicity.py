@@ -3,7 +3,8 @@
 Confirmed toxic documents are the positives; all others, labelled or not, are unlabelled. A linear
 classifier is fitted in numpy by gradient steps on the class-prior-corrected risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``. The prior is the share of toxic rows among
-the labels that may be learnt from.
+the labels that may be learnt from; labels say nothing else about the unlabelled rows. The same risk,
+on margins that weights of the other fold give, calibrates the scores.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ GRAM = 6
 #: Bytes of the word beginnings that are features, and how often is often.
 BEGINNINGS = (6, 7, 8)
 OFTEN = 3
-#: Documents to fit on: confirmed toxic ones, and unlabelled ones, the first by hash of the id.
+#: The bounded sample to fit on: confirmed toxic documents, and unlabelled ones, the first by hash of the id.
 POSITIVES = 4000
 UNLABELLED = 8000
 #: Sample tables are summed in so many parts.
@@ -73,7 +74,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums, n = np.zeros((2, 2 * BUCKETS), np.int32), np.zeros(2, np.int64)
-    for batch in batches:
+    for batch in rows.released(batches):
         side = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi, data, offsets in _slices(batch):
             row, bucket = features(data, offsets)
@@ -106,14 +107,14 @@ def _presence(chosen: np.ndarray):
     keep = _marked(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             found: list[np.ndarray] = []
             for lo, hi, data, offsets in _slices(batch):
                 row, bucket = features(data, offsets, keep)
                 at = np.minimum(np.searchsorted(chosen, bucket), len(chosen) - 1) if len(chosen) else np.zeros(len(bucket), np.int64)
                 hit = chosen[at] == bucket if len(chosen) else np.zeros(len(bucket), bool)
                 found += np.split(at[hit].astype(np.int32), np.searchsorted(row[hit], np.arange(1, hi - lo)))
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "toxic", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("fold"), pa.array(found, pa.list_(pa.int32()))], names=["positive", "fold", "found"])
 
     return run
 
@@ -143,20 +144,13 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prio
     return w[:d], float(w[d])
 
 
-def _calibrated(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit (Newton steps), with the usual smoothed targets."""
-    pos, neg = label.sum(), (1 - label).sum()
-    if not pos or not neg:
-        return 1.0, 0.0
-    target = np.where(label == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([margin, np.ones_like(margin)], axis=1)
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - q) - 1e-6 * beta)
-        beta = beta + np.clip(step, -2, 2)
-    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
+def _calibrated(margin: np.ndarray, positive: np.ndarray, weights: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and offset of margins under the same risk: no row is taken for a confirmed negative."""
+    centre, spread = float(weights @ margin), max(float(margin.std()), 1e-6)
+    x = ((margin - centre) / spread)[:, None]
+    slope, offset = nnpu(x[positive], x, weights, prior, steps=400, decay=0.0)
+    slope = float(slope[0]) / spread
+    return (slope, offset - slope * centre) if slope > 0 else (1.0, 0.0)
 
 
 class Model:
@@ -190,16 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
     order = [F.xxhash64("doc_id"), "doc_id"]
     toxic = known.where("toxic = 1").orderBy(*order).limit(POSITIVES)
     rest = docs.select("doc_id").where(learn).distinct().join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_anti").orderBy(*order).limit(UNLABELLED)
-    rest = rest.join(known, "doc_id", "left")
-    wanted = rows.written(toxic.select("doc_id", "toxic", F.lit(True).alias("positive")).unionByName(rest.select("doc_id", "toxic", F.lit(False).alias("positive"))))
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic", "positive").agg(F.min("text").alias("text"))
-    sample = rows.written(sample.select("positive", "toxic", "text").repartition(PARTS))
+    wanted = rows.written(toxic.select("doc_id", F.lit(True).alias("positive")).unionByName(rest.select("doc_id", F.lit(False).alias("positive"))))
+    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    sample = rows.written(sample.select("positive", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))).cast("int").alias("fold"), "text").repartition(PARTS))
     sums, n = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
     for r in sample.mapInArrow(_sum_parts, "sums binary, n binary").collect():
         sums += np.frombuffer(r.sums, np.int32).reshape(2, 2 * BUCKETS)
         n += np.frombuffer(r.n, np.int64)
     chosen = _chosen(sums, n, FEATURES)
-    got = sample.mapInArrow(_presence(chosen), "positive boolean, toxic int, found array<int>").collect()
+    got = sample.mapInArrow(_presence(chosen), "positive boolean, fold int, found array<int>").collect()
     x = np.zeros((len(got), len(chosen)), np.float32)
     for i, r in enumerate(got):
         x[i, r.found] = 1
@@ -211,14 +204,20 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
     confirmed = min(counts.toxic / max(1, docs.where(learn).count()), prior)
     weights = np.where(positive, confirmed / positive.sum(), (1 - confirmed) / (~positive).sum())
     w, b = nnpu(x[positive], x, weights, prior)
-    label = np.array([-1 if r.toxic is None else r.toxic for r in got])
-    slope, offset = _calibrated(x[label >= 0] @ w + b, label[label >= 0])
-    return Model(chosen, w, b, slope, offset)
+    # margins for the calibration come from weights of the other fold
+    fold, margin = np.array([r.fold for r in got]), x @ w + b
+    for f in (0, 1):
+        here, other = fold == f, fold != f
+        if not (positive & other).any() or not here.any() or positive[other].all():
+            continue
+        v, c = nnpu(x[positive & other], x[other], weights[other] / weights[other].sum(), prior)
+        margin[here] = x[here] @ v + c
+    return Model(chosen, w, b, *_calibrated(margin, positive, weights, prior))
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows.released(batches):
             out = [model.scores(data, offsets) for _, _, data, offsets in _slices(batch)]
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores)], names=["doc_id", "score"])
@@ -230,10 +229,11 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     """(doc_id, held_out, score, predicted) of every row of ``docs(doc_id, text, ...)``.
 
     Labels are learnt from rows whose crc32 of the id modulo ``modulus`` is not ``held_out``; a null
-    id or label teaches nothing, a document labelled both ways counts as toxic. A null or empty text
-    gets the score of a text without any feature. Without two kinds of labels every score is the
-    labels' share. Repeated rows pass through; an empty table gives an empty result; other columns
-    are not read.
+    id or label teaches nothing, a document labelled both ways counts as toxic, and an id with several
+    rows teaches by the least of its texts. A null or empty text gets the score of a text without any
+    feature; the features of a long text are of all of it, held in one task. Without two kinds of
+    labels every score is the labels' share. Equal features give equal scores. Repeated rows pass
+    through; an empty table gives an empty result; other columns are not read.
     """
     model = fit(docs, labels, modulus, held_out)
     scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")

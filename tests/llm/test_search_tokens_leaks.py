@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from rinkspark.llm import byte_bpe, decontaminate, topk
@@ -103,14 +104,18 @@ def _naive_leaks(docs, items):
             n = len(want)
             for s in range(max(1, len(have) - n + 1)):
                 window = have[s : s + n]
-                if n and len(window) == n:
+                if n and window:
                     both = sum(min(window.count(x), want.count(x)) for x in set(want))
-                    if both / (2 * n - both) >= 0.8:
-                        out[(i, item)] = max(out.get((i, item), 0), both / (2 * n - both))
+                    alike = both / (n + len(window) - both)
+                    if alike >= 0.8:
+                        out[(i, item)] = max(out.get((i, item), 0), alike)
     return out
 
 
-def test_leaks_match_brute_force(spark, docs_of):
+@pytest.mark.parametrize("by_shuffle", [False, True])
+def test_leaks_match_brute_force(spark, docs_of, monkeypatch, by_shuffle):
+    if by_shuffle:
+        monkeypatch.setattr(decontaminate, "KNOWN_SHINGLES", 0)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
     prose = lambda n: [word() for _ in range(n)]
@@ -126,22 +131,43 @@ def test_leaks_match_brute_force(spark, docs_of):
         if rng.random() < 0.3 and len(part) > 20:
             part.insert(rng.randrange(len(part)), word())
         at = rng.randint(0, len(body))
+        if i % 5 == 0:  # a copy cut short at the text's start and end
+            body, part = [], part[rng.randint(0, 2) : len(part) - rng.randint(0, 2)]
+            at = 0
         joined = body[:at] + part + body[at:] if i % 3 else body
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(joined).capitalize()))
-    docs += [(900, None), (901, ""), (902, "One, two"), (None, " ".join(items[0][1])), (903, " ".join(items[1][1] * 3))]
+    docs += [(900, None), (901, ""), (902, "One, two"), (None, " ".join(items[0][1])), (903, " ".join(items[1][1] * 3)), (904, " ".join(items[2][1][:-1])), (904, " ".join(items[2][1][2:]))]
     table = spark.createDataFrame([(k, " ".join(w), 1.0) for k, w in items] + [(None, "x y", 0.0), (60, None, 0.0)], "item_id long, text string, size double")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs_of(docs), table).collect()}
     want = _naive_leaks(docs, [(k, " ".join(w)) for k, w in items])
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert (904, 2) in want
     kept = {r.doc_id for r in decontaminate.clean(docs_of(docs), table).collect()}
     assert kept == {i for i, _ in docs if i is None or not any(k[0] == i for k in want)}
 
 
-def test_passes_over_a_large_benchmark(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(decontaminate, "PASS_SHINGLES", 7)
+def test_starts_and_empty_tables(spark, docs_of):
     items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(5)]
     table = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.start) for r in decontaminate.leaks(docs_of([(k, "intro here " + t) for k, t in items]), table).collect())
     assert got == [(k, k, 2) for k in range(5)]
     assert decontaminate.leaks(docs_of([(1, "x")]), table.limit(0)).count() == 0
     assert decontaminate.leaks(docs_of([(1, "x")]).limit(0), table).count() == 0
+
+
+def test_blocks_find_all_within_the_radius(spark):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    prints = [base]
+    for n in range(64):
+        x = base
+        for b in rng.sample(range(64), n):
+            x ^= 1 << b
+        prints.append(x)
+    signed = [(i, p - (1 << 64) if p >> 63 else p, 9) for i, p in enumerate(prints)]
+    items = spark.createDataFrame([signed[0]], "item_id long, fp long, size int")
+    keys = {(r.block, r.value) for r in decontaminate._item_keys(items).collect()}
+    blocks = spark.createDataFrame(signed, "item_id long, fp long, size int").selectExpr("fp", *(f"{decontaminate._block(i)} as b{i}" for i in range(decontaminate.BLOCKS))).collect()
+    for r in blocks:
+        if ((r.fp ^ signed[0][1]) & (2**64 - 1)).bit_count() <= decontaminate.RADIUS:
+            assert any((i, r[f"b{i}"]) in keys for i in range(decontaminate.BLOCKS))
