@@ -95,19 +95,30 @@ def encode_pieces(pieces: Iterable[str], enc: tiktoken.Encoding) -> list[int]:
     return ids
 
 
-_IDS = "doc_id long, text string, ids array<int>"
+_IDS = "doc_id long, text string, ids array<int>, decoded binary"
 
 
-def _kept(texts: pa.Array, keep: bool) -> pa.Array:
-    return texts.cast(pa.string()) if keep else pa.nulls(len(texts), pa.string())
+def _encoded(docs: list, texts: list[str], every: Iterable[list[int]], enc: tiktoken.Encoding, keep: bool, decode: bool) -> list[pa.Array]:
+    """The columns of ``_IDS``; decoding starts from the ids alone."""
+    ids, back = [], []
+    for some in every:
+        ids.append(np.array(some, np.int32))
+        back.append(enc.decode_bytes(some) if decode else None)
+    return [pa.array(docs, pa.int64()), pa.array(texts, pa.string()) if keep else pa.nulls(len(ids), pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
 
 
-def _encode_short(path: str, pattern: str, keep: bool):
+_NAMES = ["doc_id", "text", "ids", "decoded"]
+
+
+def _encode_single(path: str, pattern: str, keep: bool, decode: bool):
+    """Texts of one chunk: stitching it with no neighbour gives the text itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path, pattern)
         for batch in rows.released(batches):
-            ids = [np.array(enc.encode_ordinary(t.as_py() or ""), np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _kept(batch.column("text"), keep), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+            texts = batch.column("text").to_pylist()
+            ids = (encode_pieces(stitch([(0, t, [], [])], pattern), enc) for t in texts)
+            yield pa.RecordBatch.from_arrays(_encoded(batch.column("doc_id").to_pylist(), texts, ids, enc, keep, decode), names=_NAMES)
 
     return run
 
@@ -143,32 +154,43 @@ def _pretokenise(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _stitch_and_encode(path: str, pattern: str, chunk: int, keep: bool):
+def _stitch_and_encode(path: str, pattern: str, chunk: int, keep: bool, decode: bool):
     def run(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         chunks = [(r["chunk"] * chunk, r["text"], r["head"], r["tail"]) for r in parts]
-        ids = encode_pieces(stitch(chunks, pattern), codec(path, pattern))
+        enc = codec(path, pattern)
+        ids = encode_pieces(stitch(chunks, pattern), enc)
         text = "".join(r["text"][:chunk] for r in parts) if keep else None
-        return pa.table([pa.array([parts[0]["doc_id"]], pa.int64()), pa.array([text], pa.string()), pa.array([np.array(ids, np.int32)], pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+        return pa.table(_encoded([parts[0]["doc_id"]], [text], [ids], enc, keep, decode), names=_NAMES)
 
     return run
 
 
+def _pieces_of(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, keep: bool, decode: bool) -> DataFrame:
+    rows.bounded_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    one = docs.where(size <= chunk).select(F.col("doc_id").cast("long"), text).mapInArrow(_encode_single(path, pattern, keep, decode), _IDS)
+    many = docs.where(size > chunk).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text)
+    cut = many.mapInArrow(_cut(chunk, overlap), "row long, doc_id long, chunk long, last boolean, text string").repartition("row", "chunk")
+    marked = cut.mapInArrow(_pretokenise(pattern, chunk, overlap), "row long, doc_id long, chunk long, last boolean, text string, head array<long>, tail array<long>")
+    return one.unionByName(marked.groupBy("row").applyInArrow(_stitch_and_encode(path, pattern, chunk, keep, decode), _IDS))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_text: bool = False) -> DataFrame:
     """(doc_id, text, ids) of every row of ``docs(doc_id, text, ...)``, as one pass over each whole text gives.
 
     ``path`` names a rank file that every executor has (a line a token: base64 and rank). A null or
-    empty text has no ids. Ids and repeated rows pass through; an empty table gives an empty
-    result. Texts of more than ``chunk`` characters are dealt out as overlapping chunks. ``text`` is
-    null unless ``keep_text``.
+    empty text has no ids. Ids, null ones too, and repeated rows pass through; an empty table gives an
+    empty result; other columns are not read. Every text is taken as overlapping chunks of ``chunk``
+    characters; those of a text that has several are dealt out. ``text`` is null unless ``keep_text``.
     """
-    rows.bounded_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit("")).alias("text")
-    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= chunk).select("doc_id", text).mapInArrow(_encode_short(path, pattern, keep_text), _IDS)
-    long = docs.where(F.char_length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", text)
-    cut = long.mapInArrow(_cut(chunk, overlap), "row long, doc_id long, chunk long, last boolean, text string").repartition("row", "chunk")
-    marked = cut.mapInArrow(_pretokenise(pattern, chunk, overlap), "row long, doc_id long, chunk long, last boolean, text string, head array<long>, tail array<long>")
-    return short.unionByName(marked.groupBy("row").applyInArrow(_stitch_and_encode(path, pattern, chunk, keep_text), _IDS))
+    return _pieces_of(docs, path, pattern, chunk, overlap, keep_text, False).drop("decoded")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_text: bool = False) -> DataFrame:
+    """What ``encode`` gives, and ``decoded`` as ``decode`` gives it, from one Python process a task."""
+    return _pieces_of(docs, path, pattern, chunk, overlap, keep_text, True)
 
 
 def _decode(path: str, pattern: str):

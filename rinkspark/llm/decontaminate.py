@@ -26,7 +26,7 @@ RADIUS = 19
 #: Blocks of the fingerprint; RADIUS // BLOCKS bits may differ in the best of them.
 BLOCKS = 10
 #: Shingles of the benchmark up to which their places are found in the scan of the texts itself.
-KNOWN_SHINGLES = rows.BROADCAST_ROWS
+KNOWN_SHINGLES = 1_000_000
 
 
 def _shingles(words: str, n: int = WORDS) -> str:

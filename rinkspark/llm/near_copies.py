@@ -1,8 +1,12 @@
-"""Near copies of whole texts: shingle sets of Jaccard similarity 0.8 or more, found with MinHash bands.
-
-A text's set holds the hashes of its five-word shingles. Texts that agree on all ROWS minima of one
-of BANDS bands meet; the exact similarity of the sets decides. A pair of similarity s meets in no
-band with probability (1 - s^ROWS)^BANDS: below 1e-9 at 0.8, and less above.
+"""Near copies of whole texts: shingle sets of Jaccard similarity 0.8 or more, by SimHash and, beyond its radius, MinHash.
+
+A text's set holds the hashes of its five-word shingles. Fingerprints of the shingles within two bits
+are linked by deletion-variant signatures (``simhash_dedup``); what meets is verified by the exact
+similarity of the sets. Texts of similarity 0.8 differ in about ten of 64 bits, further than
+one-wildcard segments can search: by the pigeonhole principle a radius of 20 takes eleven segments
+of six bits, which any two texts share. So what two bits leave apart meets in MinHash bands: texts
+that agree on all ROWS minima of one of BANDS bands are verified in the same way. A pair of
+similarity s meets in no band with probability (1 - s^ROWS)^BANDS: below 1e-9 at 0.8, and less above.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkspark.llm import hashing, rows
+from rinkspark.llm import hashing, rows, simhash_dedup
 from rinkspark.llm.components import components
 
 SEED = 42
@@ -27,8 +31,6 @@ SLICE = 1 << 18
 #: Members of a band's value up to which all its pairs are verified at once; beyond it stars come first.
 CROWD = 24
 
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -41,10 +43,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     """
     data, offsets = hashing.apart(data, offsets)
     data = hashing.LOWER[data]
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_GAP[data]
-    edge = np.diff(inside)
-    lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    lo, hi = hashing.between_gaps(data)
     first = np.searchsorted(lo, offsets)
     n_words = np.diff(first)
     n = np.where(n_words > 0, np.maximum(1, n_words - words + 1), 0)
@@ -80,6 +79,16 @@ def _band_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fingerprints(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each text that has shingles: a bit is set if over half of them have it."""
+    starts = begin[:-1][np.diff(begin) > 0]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
+    size = np.diff(np.append(starts, begin[-1]))
+    return np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def _slices(batch: pa.RecordBatch, words: int) -> Iterator[tuple]:
     data, offsets = rows.utf8(batch.column("text"))
     for lo, hi in rows.pieces(offsets, SLICE):
@@ -94,9 +103,11 @@ def _signed(words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows.released(batches):
             for lo, hi, hashes, begin, node in _slices(batch, words):
+                fp = np.zeros(hi - lo, np.uint64)
+                fp[np.diff(begin) > 0] = _fingerprints(hashes, begin)
                 keys = _lists(_band_keys(hashes, begin).ravel(), np.concatenate([[0], np.cumsum(np.diff(begin) > 0)]) * BANDS)
                 ids = batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(node.view(np.int64)), keys], names=["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), keys], names=["doc_id", "node", "fp", "keys"])
 
     return find
 
@@ -142,45 +153,62 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFram
     return head.join(other, "h").where("node < v and root <> r").where(near).select(F.col("node").alias("u"), "v")
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``nodes(node, fp)`` to verify: representatives of fingerprints within two bits, and each node with its own."""
+    least = rows.written(nodes.groupBy("fp").agg(F.min("node").alias("u")))
+    own = nodes.join(least, "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    near = simhash_dedup.links(least.select("fp")).select(F.col("u").alias("fp"), F.col("v").alias("other"))
+    near = near.join(least, "fp").join(least.select(F.col("fp").alias("other"), F.col("u").alias("v")), "other")
+    return own.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def links(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """Edges (u, v) that connect what chains of similar pairs connect, for ``signed(node, keys)`` of distinct nodes.
+    """Edges (u, v) that connect what chains of similar pairs connect, for ``signed(node, fp, keys)`` of distinct nodes.
 
-    All pairs of a value of few members are verified. In a crowded value every member is held against
-    one; of what that leaves in different components, all similar pairs are found by the rarest
-    shingles of each, so no link between components is lost.
+    Fingerprints link first. Of what they leave in different components, all pairs of a band's value
+    of few members are verified. In a crowded value every member is held against one; of what that
+    leaves in different components, all similar pairs are found by the rarest shingles of each, so no
+    link between components is lost.
     """
     keyed = signed.select("node", F.explode("keys").alias("key"))
     met = rows.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = rows.written(keyed.join(rows.small(met), "key"))
-    needed = rows.written(members.select("node").distinct())
+    close = rows.written(_by_fingerprint(signed.select("node", "fp")).distinct())
+    needed = members.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    needed = rows.written(needed)
     n_needed = needed.count()
     rows.bounded_batches(docs.sparkSession)
     sets = docs.select("text").mapInArrow(_sets(words), "node long, set array<long>").join(rows.small(needed, n_needed), "node").dropDuplicates(["node"])
     sets = rows.written(sets.select("node", F.size("set").alias("size"), "set"))
-    few = members.where(f"n <= {CROWD}").select("key", F.col("node").alias("u"))
-    few = few.join(few.select("key", F.col("u").alias("v")), "key").where("u < v").select("u", "v")
-    crowds = members.where(f"n > {CROWD}").select("key", "node")
-    least = crowds.groupBy("key").agg(F.min("node").alias("u"))
-    stars = crowds.join(least, "key").select("u", F.col("node").alias("v")).where("u <> v")
-    edges = rows.written(_similar(few.unionByName(stars), sets, similar))
-    parts = crowds.join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    first = rows.written(_similar(close, sets, similar))
+    members = rows.written(members.join(components(first), "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
+    few = members.where(f"n <= {CROWD}").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
+    few = few.join(few.select("key", F.col("u").alias("v"), F.col("ru").alias("rv")), "key").where("u < v and ru <> rv").select("u", "v")
+    crowds = members.where(f"n > {CROWD}").select("key", "node", "root")
+    least = crowds.groupBy("key").agg(F.min(F.struct("node", "root")).alias("m"))
+    stars = crowds.join(least, "key").where("root <> m.root").select(F.col("m.node").alias("u"), F.col("node").alias("v"))
+    edges = rows.written(_similar(few.unionByName(stars), sets, similar).unionByName(first))
+    parts = crowds.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     nodes = rows.written(parts.join(mixed, "key").select("node", "root").distinct())
-    return edges.unionByName(_similar(_prefix_pairs(nodes, sets, similar), sets, similar))
+    out = rows.written(edges.unionByName(_similar(_prefix_pairs(nodes, sets, similar), sets, similar)))
+    rows.dropped(met, close, needed, sets, first, members, edges, nodes)
+    return out
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id) for each row of ``docs(doc_id, text, ...)``.
 
     component_id is the smallest doc_id that chains of texts of at least ``similar`` reach, the
-    document itself included. Texts without words are copies of each other. Rows with a null id keep
-    their component's id, which is null only if no row of it has one. Repeated rows come back as
-    often as they are there; an empty table gives an empty result.
+    document itself included. Texts without words are copies of each other; very long texts are one
+    set, held in one task. Rows with a null id keep their component's id, which is null only if no
+    row of it has one. Repeated rows come back as often as they are there; an empty table gives an
+    empty result; other columns are not read.
     """
     rows.bounded_batches(docs.sparkSession)
-    signed = rows.written(docs.select("doc_id", "text").mapInArrow(_signed(words), "doc_id long, node long, keys array<long>"))
-    each = rows.written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("keys").alias("keys")))
-    roots = components(links(docs, each.select("node", "keys"), words, similar))
+    signed = rows.written(docs.select("doc_id", "text").mapInArrow(_signed(words), "doc_id long, node long, fp long, keys array<long>"))
+    each = rows.written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    roots = components(links(docs, each.where("size(keys) > 0").select("node", "fp", "keys"), words, similar))
     linked = each.select("node", "first").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = linked.join(least, "root").select("node", "component_id")

@@ -27,8 +27,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), path, pattern)
-    return bpe_digests(byte_bpe.decode(encoded, path, pattern))
+    return bpe_digests(byte_bpe.encode_and_decode(_read(spark, sf_dir, "documents"), path, pattern))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows, and when the
 #: values of its columns without a fixed size were added up and have at most so many bytes.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20

@@ -71,7 +71,8 @@ def links(prints: DataFrame) -> DataFrame:
     share one, all of them within two bits, and a star over those four keeps what is connected. The
     rows grow with the members, never with their square, and no link between components is lost.
     """
-    keyed = _variants(prints)
+    # few files may hold many fingerprints: they are spread before each becomes 64 rows
+    keyed = _variants(prints.repartition("fp"))
     met = rows.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
     close = f"bit_count(u ^ v) <= {RADIUS}"
     two = met.where("n = 2").where(close).select("u", "v")

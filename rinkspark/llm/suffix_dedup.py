@@ -217,31 +217,40 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, words
     among, among_settled = (f"{many} and ({apart_})", f"{many} and ({apart_} or bool_or(settled))") if across else (many, many)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), "text", *rows.text_key())
     schema = ", ".join(f"{f.name} long" for f in _RUN)
-    runs = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram, words), schema))
-    # a gram that does not repeat leaves the sort, and one whose runs are all equal is settled
-    span = [f("span" + n).alias(f.__name__ + n) for n in ("", "2") for f in (F.min, F.max)]
-    grams = runs.groupBy("gram").agg(F.expr(among).alias("repeat"), *span).where("repeat")
-    grams = rows.written(grams.select("gram", F.expr("min <> max or min2 <> max2").alias("mixed")))
-    left = runs.join(rows.small(grams), "gram")
-    found = [left.where("not mixed").select("k1", "k2", "lo", "hi")]
-    left = rows.written(left.where("mixed").drop("mixed"))
+    every = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram, words), schema))
+    # a gram that does not repeat leaves the sort
+    repeating = rows.written(every.groupBy("gram").agg(F.expr(among).alias("repeat")).where("repeat").select("gram"))
+    runs = rows.written(every.join(rows.small(repeating), "gram", "left_semi"))
+    rows.dropped(every)
+    # and one whose runs are all equal is settled
+    equal = runs.groupBy("gram").agg(F.expr("min(span) = max(span) and min(span2) = max(span2)").alias("equal"))
+    equal = rows.written(equal.where("equal").select("gram"))
+    equal_, of = rows.small(equal), ["k1", "k2", "lo", "hi"]
+    found = [rows.written(runs.join(equal_, "gram", "left_semi").select(*of))]
+    left = rows.written(runs.join(equal_, "gram", "left_anti"))
+    rows.dropped(runs, repeating, equal)
     spans = rows.written(_classes(left, ["span", "span2"], among))
-    found.append(_repeating(left, spans, ["span", "span2"]))
+    found.append(rows.written(_repeating(left, spans, ["span", "span2"])))
+    rows.dropped(left)
     open_grams = spans.where("not repeat").select("gram").distinct()
     parts = spans.join(rows.small(open_grams), "gram", "left_semi")
     parts = rows.written(parts.select("gram", "r.*", F.col("repeat").alias("settled")))
+    rows.dropped(spans)
 
     cut = rows.written(_cut(keyed, parts, depth, min(BLOCK, depth // 2), words))
     blocks = rows.written(_classes(cut, ["h1", "h2"], among_settled, F.min("core").alias("core"), F.max("settled").alias("settled")))
-    found.append(_repeating(cut.where("not settled"), blocks, ["h1", "h2"]))
-    blocks = blocks.withColumn("settled", F.col("settled") | F.col("repeat"))
-    shared = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where("n > 1 and not all")
-    parts = blocks.join(rows.small(shared.select("core")), "core", "left_semi")
+    found.append(rows.written(_repeating(cut.where("not settled"), blocks, ["h1", "h2"])))
+    rows.dropped(parts, cut)
+    told = blocks.withColumn("settled", F.col("settled") | F.col("repeat"))
+    shared = told.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where("n > 1 and not all")
+    parts = told.join(rows.small(shared.select("core")), "core", "left_semi")
     parts = rows.written(parts.select("gram", "r.*", "settled"))
+    rows.dropped(blocks)
 
     cut = rows.written(_cut(keyed, parts, depth, 1, words))
     windows = cut.groupBy("h1", "h2").agg(F.expr(among_settled).alias("repeat"))
-    found.append(_repeating(cut.where("not settled"), windows, ["h1", "h2"]))
+    found.append(rows.written(_repeating(cut.where("not settled"), windows, ["h1", "h2"])))
+    rows.dropped(parts, cut)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -253,7 +262,7 @@ def sharing_texts(docs: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSA
 
     Words are what ASCII white space parts, as they are written.
     """
-    return repeated_ranges(docs, words, gram, words=True, across=True).select("k1", "k2").distinct()
+    return rows.written(repeated_ranges(docs, words, gram, words=True, across=True).select("k1", "k2").distinct())
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int"
@@ -294,9 +303,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, passag
     """
     rows.bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    # one list of distinct ranges for a distinct text, however many rows hold it
+    # what documents share comes first, so that only its small result stays while bytes are sorted
+    sharing = sharing_texts(docs, passage, max(1, passage // 3))
     ranges = repeated_ranges(docs, depth, gram).select("k1", "k2", F.struct("lo", "hi").alias("range"), F.lit(0).alias("shares"))
-    sharing = sharing_texts(docs, passage, max(1, passage // 3)).select("k1", "k2", F.lit(None).cast(ranges.schema["range"].dataType).alias("range"), F.lit(1).alias("shares"))
+    sharing = sharing.select("k1", "k2", F.lit(None).cast(ranges.schema["range"].dataType).alias("range"), F.lit(1).alias("shares"))
+    # one list of distinct ranges for a distinct text, however many rows hold it
     lists = ranges.unionByName(sharing).groupBy("k1", "k2").agg(F.collect_set("range").alias("ranges"), F.max("shares").alias("shares_passage"))
     lists = rows.written(lists)
     keyed, keys = docs.select("doc_id", "text", *rows.text_key()), ["k1", "k2"]

@@ -3,8 +3,9 @@
 Confirmed toxic documents are the positives; all others, labelled or not, are unlabelled. A linear
 classifier is fitted in numpy by gradient steps on the class-prior-corrected risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``. The prior is the share of toxic rows among
-the labels that may be learnt from; labels say nothing else about the unlabelled rows. The same risk,
-on margins that weights of the other fold give, calibrates the scores.
+the labels that may be learnt from; labels say nothing else about the unlabelled rows. Scores are
+placed so that the prior's share of all rows reaches the cut, by margins that weights of the other
+fold give.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ OFTEN = 3
 #: The bounded sample to fit on: confirmed toxic documents, and unlabelled ones, the first by hash of the id.
 POSITIVES = 4000
 UNLABELLED = 8000
+#: Share of the confirmed documents that may score below the cut where all others stay far from it.
+MISSED = 0.02
 #: Sample tables are summed in so many parts.
 PARTS = 8
 #: Bytes handled at once: arrays of eight bytes for each, several at a time.
@@ -144,20 +147,22 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prio
     return w[:d], float(w[d])
 
 
-def _calibrated(margin: np.ndarray, positive: np.ndarray, weights: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and offset of margins under the same risk: no row is taken for a confirmed negative."""
-    centre, spread = float(weights @ margin), max(float(margin.std()), 1e-6)
-    x = ((margin - centre) / spread)[:, None]
-    slope, offset = nnpu(x[positive], x, weights, prior, steps=400, decay=0.0)
-    slope = float(slope[0]) / spread
-    return (slope, offset - slope * centre) if slope > 0 else (1.0, 0.0)
+def _calibrated(margin: np.ndarray, positive: np.ndarray, weights: np.ndarray, prior: float, cut: float) -> float:
+    """The offset of margins that places the cut where the prior's share of all rows reaches it.
+
+    Where confirmed rows stand so far out that the cut would fall below nearly all of them, only the
+    MISSED share of them stays below it.
+    """
+    order = np.argsort(-margin, kind="stable")
+    at = min(int(np.searchsorted(np.cumsum(weights[order]), prior)), len(order) - 1)
+    return float(np.log(cut / (1 - cut)) - max(margin[order[at]], np.quantile(margin[positive], MISSED)))
 
 
 class Model:
     """Chosen buckets with their weights; gives each text a probability."""
 
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, slope: float = 1.0, offset: float = 0.0):
-        self.chosen, self.weights, self.bias, self.slope, self.offset = chosen, weights, bias, slope, offset
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float):
+        self.chosen, self.weights, self.bias = chosen, weights, bias
         self.keep = _marked(chosen)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -168,10 +173,10 @@ class Model:
             at = np.minimum(np.searchsorted(self.chosen, bucket), len(self.chosen) - 1)
             hit = self.chosen[at] == bucket
             margin += np.bincount(row[hit], self.weights[at[hit]], n)
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, cut: float = 0.7) -> Model:
     """A model of ``labels(doc_id, toxic)`` from rows that are not held out; samples are bounded."""
     rows.bounded_batches(docs.sparkSession)
     learn = ~rows.is_held_out("doc_id", modulus, held_out)
@@ -212,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1)
             continue
         v, c = nnpu(x[positive & other], x[other], weights[other] / weights[other].sum(), prior)
         margin[here] = x[here] @ v + c
-    return Model(chosen, w, b, *_calibrated(margin, positive, weights, prior))
+    return Model(chosen, w, b + _calibrated(margin, positive, weights, prior, cut))
 
 
 def _score(model: Model):
@@ -235,6 +240,6 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     labels every score is the labels' share. Equal features give equal scores. Repeated rows pass
     through; an empty table gives an empty result; other columns are not read.
     """
-    model = fit(docs, labels, modulus, held_out)
+    model = fit(docs, labels, modulus, held_out, cut)
     scored = docs.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", rows.is_held_out("doc_id", modulus, held_out).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -21,16 +21,19 @@ def test_stages_keep_the_columns_until_the_last(steps):
 
 
 def test_stages_do_what_their_operators_say(spark, steps):
-    from rinkspark.llm import decontaminate, personal_data, quality, simhash_dedup
+    from test_near_copies import _naive
+    from test_search_tokens_leaks import _naive_leaks
+
+    from rinkspark.llm import personal_data, quality
 
     ids = [{r.doc_id for r in s.select("doc_id").collect()} for s in steps]
     labels, benchmark = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("labels", "benchmark"))
     scored = quality.score(steps[0], labels)
     assert ids[1] == {r.doc_id for r in scored.where("predicted = 1").collect()}
-    groups = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(steps[1]).collect()}
-    assert ids[2] == {d for d, c in groups.items() if d == c}
-    dirty = {r.doc_id for r in decontaminate.leaks(steps[2], benchmark).collect()}
-    assert ids[3] == ids[2] - dirty
+    texts = {r.doc_id: r.text for r in steps[1].collect()}
+    assert ids[2] == {d for d, c in zip(texts, _naive(list(texts), list(texts.values()))) if d == c}
+    found = _naive_leaks([(r.doc_id, r.text) for r in steps[2].collect()], [(r.item_id, r.text) for r in benchmark.collect()])
+    assert found and ids[3] == ids[2] - {d for d, _ in found}
     assert ids[4] == ids[3] and ids[5] == ids[4]
     assert not any(personal_data.base_spans(r.text) for r in steps[4].collect())
     assert all(r.round_trip for r in steps[5].collect())
