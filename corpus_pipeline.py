@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +21,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id; rows without an id stay."""
+    """One document of each group of near-duplicates (SimHash links and what lies beyond their radius, verified: five-word shingles, similarity 0.8).
+
+    It is the one with the smallest id; rows without an id stay.
+    """
     found = near_copies.near_copies(docs)
     others = rows.written(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(rows.small(others), "doc_id", "left_anti").select(*docs.columns)
@@ -42,7 +43,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, round_trip): every document's tokens, and whether decoding gives its bytes back."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, pattern, keep_text=True), path, pattern)
+    decoded = byte_bpe.encode_and_decode(docs, path, pattern, keep_text=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
@@ -60,10 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each stage's result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, each stage's result written to the shared folder and read again, and deleted once the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        path = f"{rows.scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = rows.written(stage(spark, docs, sf_dir))
+        if before is not None:
+            rows.dropped(before)
+        before = docs
     return docs
