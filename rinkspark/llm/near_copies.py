@@ -138,26 +138,35 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs (u, v) of ``nodes(node, root)`` with other roots: all that are similar, and others.
+    """Pairs (u, v) of ``nodes(node, root)`` with other roots: all that are similar, and few others.
 
     With every set in one order, rare shingles first, similar sets share one of the first
-    size - ceil(similar size) + 1 of each.
+    size - ceil(similar size) + 1 of each. A pair counts at the first that it shares, and only if what
+    comes after it in both sets can still make them similar.
     """
     each = nodes.join(sets, "node").select("node", "root", "size", F.explode("set").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     order = each.join(often, "h").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("all"))
-    head = order.select("node", "root", "size", F.explode(F.expr(f"slice(all, 1, cast(size - ceil({similar}D * size - 1e-9D) + 1 as int))")).alias("s"))
-    head = rows.written(head.where("s.c > 1").select("s.h", "node", "root", "size"))
-    other = head.select("h", F.col("node").alias("v"), F.col("root").alias("r"), F.col("size").alias("n"))
-    near = F.least("size", "n") / F.greatest("size", "n") >= similar
-    return head.join(other, "h").where("node < v and root <> r").where(near).select(F.col("node").alias("u"), "v")
+    head = f"transform(slice(all, 1, cast(size - ceil({similar}D * size - 1e-9D) + 1 as int)), x -> x.h)"
+    head = order.select("node", "root", "size", F.expr(head).alias("head"))
+    head = rows.written(head.select("*", F.posexplode("head").alias("at", "h")))
+    # a shingle whose sets are all of one root tells nothing
+    across = head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    head = head.join(rows.small(across), "h")
+    other = head.select("h", F.col("node").alias("v"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("head").alias("heads"), F.col("at").alias("place"))
+    pairs = head.join(other, "h").where("node < v and root <> r").where(F.least("size", "n") / F.greatest("size", "n") >= similar)
+    pairs = pairs.where(f"least(size - at, n - place) >= {similar / (1 + similar)}D * (size + n) - 1e-6D").where("get(array_intersect(head, heads), 0) = h")
+    return pairs.select(F.col("node").alias("u"), "v")
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of ``nodes(node, fp)`` to verify: representatives of fingerprints within two bits, and each node with its own."""
+    """Pairs (u, v) of ``nodes(node, fp)`` to verify: representatives of fingerprints within two bits, and each node with its own.
+
+    Of a crowded variant the members meet the least one alone: the bands find what that leaves apart.
+    """
     least = rows.written(nodes.groupBy("fp").agg(F.min("node").alias("u")))
     own = nodes.join(least, "fp").where("node <> u").select("u", F.col("node").alias("v"))
-    near = simhash_dedup.links(least.select("fp")).select(F.col("u").alias("fp"), F.col("v").alias("other"))
+    near = simhash_dedup.links(least.select("fp"), whole=False).select(F.col("u").alias("fp"), F.col("v").alias("other"))
     near = near.join(least, "fp").join(least.select(F.col("fp").alias("other"), F.col("u").alias("v")), "other")
     return own.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
 

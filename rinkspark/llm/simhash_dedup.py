@@ -63,13 +63,15 @@ def _variants(prints: DataFrame) -> DataFrame:
     return out.select(F.expr(f"shiftleft(cast(k as bigint), 32) | ({half} & ~shiftleft(1L, k % 32))").alias("key"), "fp")
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, whole: bool = True) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct ``fp`` values within two bits of each other.
 
     Pairs that meet in a variant of few members are verified one by one. The members of a crowded
     variant meet again on variants of the whole fingerprint with two wildcards: at most four values
     share one, all of them within two bits, and a star over those four keeps what is connected. The
     rows grow with the members, never with their square, and no link between components is lost.
+    Unless ``whole``, for a caller with another way to the rest, members of a crowded variant only
+    meet the least of them.
     """
     # few files may hold many fingerprints: they are spread before each becomes 64 rows
     keyed = _variants(prints.repartition("fp"))
@@ -80,6 +82,9 @@ def links(prints: DataFrame) -> DataFrame:
     members = rows.written(keyed.join(rows.small(more), "key"))
     few = members.where(f"n <= {CROWD}").select("key", F.col("fp").alias("u"))
     few = few.join(few.select("key", F.col("u").alias("v")), "key").where("u < v").where(close).select("u", "v")
+    if not whole:
+        crowd = members.where(f"n > {CROWD}").join(met.select("key", "u"), "key").where("fp <> u").select("u", F.col("fp").alias("v")).where(close)
+        return two.unionByName(few).unionByName(crowd).distinct()
     crowd = members.where(f"n > {CROWD}").select("fp").distinct()
     crowd = crowd.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i"))
     crowd = crowd.select("fp", "i", F.explode(F.expr("sequence(i + 1, 63)")).alias("j"))
