@@ -9,18 +9,28 @@ from pyspark.sql import functions as F
 
 from rinkspark.api import Rink
 from rinkspark.functions.codecs import game_ending
-from rinkspark.functions.elo import SEASON, STANDARD, score_share, win_draw_loss, win_loss_overtime
+from rinkspark.functions.elo import SEASON, STANDARD, inverted, score_share, win_draw_loss, win_loss_overtime
 from rinkspark.operators import rating
 from rinkspark.plans import flows
 from rinkspark.session import session
 from rinkspark.sources import writers
 
-_SCORES = {
-    "win-draw-loss": lambda g: win_draw_loss(g["home_score"], g["away_score"]),
-    "overtime": lambda g: win_loss_overtime(g["home_score"], g["away_score"], game_ending(g["played"], g["overtime"], g["shootout"]) == "Regulation"),
-    "two-point": lambda g: win_loss_overtime(g["home_score"], g["away_score"], game_ending(g["played"], g["overtime"], g["shootout"]) == "Regulation", True),
-    "share": lambda g: score_share(g["home_score"], g["away_score"]),
-}
+
+
+def _overtime(two_point: bool):
+    def both(g):
+        regulation = game_ending(g["played"], g["overtime"], g["shootout"]) == "Regulation"
+        return tuple(win_loss_overtime(g["home_score"], g["away_score"], regulation, two_point, other) for other in (False, True))
+
+    return both
+
+
+def _summing(score):
+    return lambda g: (score(g["home_score"], g["away_score"]), inverted(score(g["home_score"], g["away_score"])))
+
+
+#: Scores of the home and the away side.
+_SCORES = {"win-draw-loss": _summing(win_draw_loss), "overtime": _overtime(False), "two-point": _overtime(True), "share": _summing(score_share)}
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -55,7 +65,9 @@ def _ratings(rink: Rink, a: argparse.Namespace) -> None:
     for season in a.seasons:
         games, teams = rink.leagues.ratings_input(a.league, season)
         # games of one date keep the order of their ids
-        games = games.withColumn("ordinal", F.coalesce(F.col("game_id"), F.lit(0))).withColumn("score", _SCORES[a.score](games))
+        games = games.withColumn("ordinal", F.coalesce(F.col("game_id"), F.lit(0)))
+        home, away = _SCORES[a.score](games)
+        games = games.withColumns({"score": home, "away_score": away})
         rated = rating.season_ratings(games, teams, SEASON if a.strategy == "season" else STANDARD)
         if a.format == "parquet":
             writers.write_seasons(rated, a.output)

@@ -31,14 +31,16 @@ def updated(rating: Column, factor: Column, score: Column, expectation: Column)
     return F.greatest(rating + factor * (score - expectation), F.lit(float(FLOOR))).cast("int")
 
 
-# outcomes from the first side's view; ``inverted`` gives the other side's
+# outcomes from the first side's view; ``inverted`` tells the other side's score of the inverted outcome
 def win_draw_loss(own: Column, other: Column) -> Column:
     return F.when(own > other, 1.0).when(own < other, 0.0).otherwise(0.5)
 
 
-def win_loss_overtime(own: Column, other: Column, regulation: Column, two_point: bool = False) -> Column:
+def win_loss_overtime(own: Column, other: Column, regulation: Column, two_point: bool = False, inverted: bool = False) -> Column:
+    """Scores of a win or loss in regulation time or later; both sides' need not sum to one."""
     win, lose = (1.0, 0.5) if two_point else (0.666, 0.333)
-    return F.when(own > other, F.when(regulation, 1.0).otherwise(win)).otherwise(F.when(regulation, 0.0).otherwise(lose))
+    won = ~(own > other) if inverted else own > other
+    return F.when(won, F.when(regulation, 1.0).otherwise(win)).otherwise(F.when(regulation, 0.0).otherwise(lose))
 
 
 def score_share(own: Column, other: Column) -> Column:
@@ -46,9 +48,15 @@ def score_share(own: Column, other: Column) -> Column:
 
 
 def inverted(score: Column) -> Column:
+    """The other side's score of an outcome whose scores sum to one: win, draw and loss, or a share."""
     return 1 - score
 
 
+def by_rating(rating: Column, descending: bool = True) -> Column:
+    """Order of ratings: by value, and a missing rating is below all others."""
+    return rating.desc_nulls_last() if descending else rating.asc_nulls_first()
+
+
 @dataclass(frozen=True)
 class Strategy:
     """How ratings move: the scale of expectations, and the factor by rating and games played."""

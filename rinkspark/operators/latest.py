@@ -22,8 +22,13 @@ def nth_of(keys: list[str], order: list[str]) -> Column:
 
 
 def with_recreate(df: DataFrame, owner: str, created: str, key: str) -> DataFrame:
-    """Adds ``recreate``: whether the owner has an earlier row (by creation, then key)."""
-    return df.withColumn("recreate", nth_of([owner], [created, key]) > 1)
+    """Adds ``recreate``: whether the owner has an earlier row (by creation, then key).
+
+    Owners' first rows are partial aggregates joined back, so no task gathers all rows of one owner.
+    """
+    first = df.groupBy(F.col(owner).alias("_owner")).agg(F.min(F.struct(F.col(created).alias("created"), F.col(key).alias("key"))).alias("_first"))
+    own = F.struct(F.col(created).alias("created"), F.col(key).alias("key"))
+    return df.join(first, F.col(owner).eqNullSafe(F.col("_owner"))).withColumn("recreate", own > F.col("_first")).drop("_owner", "_first")
 
 
 def with_value(df: DataFrame, values: DataFrame, keys: list[str], value: str, default=0) -> DataFrame:
@@ -59,5 +64,10 @@ def aligned(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return df.join(first, keys).join(F.broadcast(earliest_)).withColumn("aligned", moved).drop("_first", "_zero")
 
 
+def longest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many rows the longest of the keys' series has."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("longest"))
+
+
 def counter(df: DataFrame, keys: list[str], order: list[str], name: str = "games_played") -> DataFrame:
     return df.withColumn(name, nth_of(keys, order))

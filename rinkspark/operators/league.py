@@ -15,12 +15,17 @@ def current_seasons(of_seasons: DataFrame) -> DataFrame:
     return of_seasons.groupBy("league_id").agg(F.max("season").alias("season"))
 
 
+def last_season(of_seasons: DataFrame, season: str = "season") -> DataFrame:
+    """One row: the latest season, null of an empty table."""
+    return of_seasons.agg(F.max(season).alias("season"))
+
+
 def team_rows(teams: DataFrame, conferences: DataFrame, divisions: DataFrame, of_seasons: DataFrame, leagues: DataFrame) -> DataFrame:
     """Teams with what they belong to: a conference always, a division where there is one."""
-    out = teams.join(F.broadcast(conferences.withColumnRenamed("name", "conference")), ["conference_id", "league_id", "season"])
-    out = out.join(F.broadcast(divisions.select("division_id", "season", "league_id", "conference_id", F.col("name").alias("division"))), ["division_id", "season", "league_id", "conference_id"], "left")
+    out = teams.join(conferences.withColumnRenamed("name", "conference"), ["conference_id", "league_id", "season"])
+    out = out.join(divisions.select("division_id", "season", "league_id", "conference_id", F.col("name").alias("division")), ["division_id", "season", "league_id", "conference_id"], "left")
     named = of_seasons.join(leagues.select("league_id", F.col("abbreviation").alias("league")), "league_id")
-    return out.join(F.broadcast(named), ["league_id", "season"])
+    return out.join(named, ["league_id", "season"])
 
 
 def team_card(rows: DataFrame, league: str, abbreviation: str, season: int | None = None) -> DataFrame:
@@ -31,6 +36,6 @@ def team_card(rows: DataFrame, league: str, abbreviation: str, season: int | Non
 
 
 def games_with_teams(games: DataFrame, teams: DataFrame) -> DataFrame:
-    """Games with the names of both teams; the same small table is broadcast twice."""
-    side = lambda who: F.broadcast(teams.select("league_id", "season", F.col("team_id").alias(f"{who}_team_id"), F.col("name").alias(f"{who}_team")))
+    """Games with the names of both teams; the planner broadcasts teams while they are small."""
+    side = lambda who: teams.select("league_id", "season", F.col("team_id").alias(f"{who}_team_id"), F.col("name").alias(f"{who}_team"))
     return games.join(side("home"), ["league_id", "season", "home_team_id"]).join(side("away"), ["league_id", "season", "away_team_id"])

@@ -46,6 +46,11 @@ def by_ids(table: DataFrame, id_column: str, ids: list[int], order: list[str], m
     return table.where(F.col(id_column).isin(ids)).orderBy(*order)
 
 
+def by_many_ids(table: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """Rows of any number of ids, held in a frame ``ids(id)``: one join, where a list would be asked for in chunks."""
+    return table.join(ids.select(F.col("id").alias("_id")).distinct(), F.col(id_column) == F.col("_id"), "left_semi")
+
+
 def union_first_seen(first: DataFrame, second: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Distinct keys of both, in the order in which they came, all of the first before the second."""
     both = first.select(key, F.lit(0).alias("_side"), ordinal).unionByName(second.select(key, F.lit(1).alias("_side"), ordinal))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,45 +64,111 @@ def temporal(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.struct(*columns).alias("item"), "valid_from", "valid_to")
 
 
+class Conflict(Exception):
+    """Another writer has published the next version first."""
+
+
+#: Buckets of a table that merges rewrite in parts.
+BUCKETS = 16
+_BUCKET = "_bucket"
+
+
 class Store:
-    """Versioned Parquet tables of one folder that one small pointer file publishes together.
+    """Versioned Parquet tables of one folder that numbered pointer files publish together.
 
-    Writers stage any number of tables in a fresh version folder; ``publish`` moves the pointer with
-    one rename. Readers see all of a version or none of it; failed stages leave the pointer alone.
+    Writers stage any number of tables in a fresh folder; ``publish`` makes them current with one
+    rename to the next number. A pointer is never changed or replaced, so readers see all of one
+    version, a failed stage leaves the last one current, and of two writers that read the same version
+    one gets a ``Conflict``. Merged tables are kept in buckets of their keys, and a merge rewrites
+    only the buckets that it touches.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _tables(self) -> dict[str, str]:
-        pointer = self._Path(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
-            return {}
-        lines = self.spark.read.text(f"{self.path}/CURRENT").collect()
-        return dict(r.value.split("\t") for r in lines if r.value)
-
-    def read(self, name: str) -> DataFrame | None:
-        where = self._tables().get(name)
-        return None if where is None else self.spark.read.parquet(where)
+        self._fs = self._Path(self.path).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._Path(self.path).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri(), conf)
+        self._no_option = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+
+    def versions(self) -> list[int]:
+        found = self._fs.globStatus(self._Path(f"{self.path}/VERSION-*"))
+        return sorted(int(f.getPath().getName().partition("-")[2]) for f in found or [])
+
+    def _pointer(self, version: int) -> str:
+        return f"{self.path}/VERSION-{version:012d}"
+
+    def _tables(self, version: int | None) -> dict[str, dict[str, str]]:
+        """Folders by table and bucket; tables without buckets have one folder, under no name."""
+        out: dict[str, dict[str, str]] = {}
+        if version is not None:
+            for r in self.spark.read.text(self._pointer(version)).collect():
+                name, bucket, where = r.value.split("\t")
+                out.setdefault(name, {})[bucket] = where
+        return out
+
+    def _latest(self) -> int | None:
+        return max(self.versions(), default=None)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        """A table as the last version has it, or one before."""
+        where = self._tables(self._latest() if version is None else version).get(name)
+        folders = [w for b, w in (where or {}).items() if b != "#"]
+        return self.spark.read.parquet(*folders).drop("change", _BUCKET) if folders else None
+
+    def _move(self, version: int | None, tables: dict[str, dict[str, str]]) -> None:
+        fresh = self._Path(f"{self.path}/.{uuid.uuid4().hex}")
+        out = self._fs.create(fresh, True)
+        out.write("".join(f"{n}\t{b}\t{w}\n" for n, parts in sorted(tables.items()) for b, w in sorted(parts.items())).encode())
+        out.close()
+        try:
+            self._context.rename(fresh, self._Path(self._pointer((version or 0) + 1)), self._no_option)
+        except Py4JJavaError as e:
+            self._fs.delete(fresh, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {(version or 0) + 1} is there") from e
+            raise
 
     def publish(self, tables: dict[str, DataFrame]) -> None:
         """Writes all tables, then makes them current at once; other tables keep their version."""
-        version = uuid.uuid4().hex
-        now = self._tables()
+        version, folder = self._latest(), f"{self.path}/{uuid.uuid4().hex}"
+        now = self._tables(version)
         for name, df in tables.items():
-            where = f"{self.path}/{version}/{name}"
-            df.write.parquet(where)
-            now[name] = where
-        fresh, pointer = self._Path(f"{self.path}/CURRENT.{version}"), self._Path(f"{self.path}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write("".join(f"{n}\t{w}\n" for n, w in sorted(now.items())).encode())
-        out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
+            df.write.parquet(f"{folder}/{name}")
+            now[name] = {"": f"{folder}/{name}"}
+        self._move(version, now)
+
+    def merge(self, name: str, source: DataFrame, keys: list[str], compared: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+        """Merges ``source`` (one row a key) into a table of buckets and publishes it; returns counts by change.
+
+        Only buckets that have keys of the source are read and rewritten. The first merge makes the table.
+        """
+        version, folder = self._latest(), f"{self.path}/{uuid.uuid4().hex}"
+        tables = self._tables(version)
+        now = dict(tables.get(name, {}))
+        if "" in now:
+            raise ValueError(f"{name} has no buckets")
+        buckets = int(now.get("#", buckets))
+        place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = {str(r[0]) for r in source.select(place).distinct().collect()}
+        there = [now[b] for b in sorted(touched & now.keys())]
+        target = self.spark.read.schema(source.schema).parquet(*there) if there else source.limit(0)
+        result = merged(target, source, keys, compared).withColumn(_BUCKET, place)
+        result.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{folder}/{name}")
+        now |= {b: f"{folder}/{name}/{_BUCKET}={b}" for b in touched}
+        self._move(version, tables | {name: now | {"#": str(buckets)}})
+        return changes(self.spark.read.parquet(f"{folder}/{name}"))
+
+    def prune(self, keep: int = 2) -> None:
+        """Deletes all but the last ``keep`` versions, and the folders that none of those has."""
+        versions = self.versions()
+        used = {w for v in versions[-keep:] for parts in self._tables(v).values() for w in parts.values()}
+        for v in versions[:-keep]:
+            self._fs.delete(self._Path(self._pointer(v)), False)
+        for f in self._fs.listStatus(self._Path(self.path)):
+            where = f.getPath()
+            if f.isDirectory() and not any(f"/{where.getName()}/" in w for w in used):
+                self._fs.delete(where, True)
 
 
 def in_stages(store: Store, stages: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]]) -> None:

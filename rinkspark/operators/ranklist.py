@@ -133,6 +133,49 @@ def thread(comments: DataFrame, entry_id=None, entry: str = "entry_id") -> DataF
     return comments.where(F.col(entry).eqNullSafe(F.lit(entry_id).cast(comments.schema[entry].dataType)))
 
 
+def with_assignee(entries: DataFrame, users: DataFrame) -> DataFrame:
+    """Entries with the name of whom they are assigned to; null where no one is, or is no user any more."""
+    return entries.join(users.select(F.col("user_id").alias("assigned_to"), F.col("username").alias("assignee")), "assigned_to", "left").select(*entries.columns, "assignee")
+
+
+def with_author(comments: DataFrame, users: DataFrame) -> DataFrame:
+    """Comments with their author's name, in order of time."""
+    return comments.join(users.select(F.col("user_id").alias("author_id"), F.col("username").alias("author")), "author_id", "left").select(*comments.columns, "author").orderBy("created_at", "comment_id")
+
+
+def edited_comments(comments: DataFrame, edits: DataFrame, members: DataFrame) -> DataFrame:
+    """Comments after ``edits(comment_id, user_id, text, action)``, and whether each edit was ``allowed``.
+
+    ``action`` is add, edit or delete. Viewers and outsiders may do nothing; authors edit and delete
+    their own, owners delete any. Returns the edits with ``allowed``; ``applied_comments`` takes them.
+    """
+    role = members.select("team_id", F.col("user_id"), "role")
+    asked = edits.join(role, ["team_id", "user_id"], "left").join(comments.select("comment_id", F.col("author_id").alias("_author")), "comment_id", "left")
+    writes = F.col("role").isin("Owner", "Editor")
+    own = F.col("_author").eqNullSafe(F.col("user_id"))
+    allowed = F.when(F.col("action") == "add", writes & F.col("_author").isNull()).when(F.col("action") == "edit", writes & own).when(F.col("action") == "delete", F.col("_author").isNotNull() & (own & writes | (F.col("role") == "Owner")))
+    return asked.select(*edits.columns, F.coalesce(allowed, F.lit(False)).alias("allowed"))
+
+
+def applied_comments(comments: DataFrame, judged: DataFrame) -> DataFrame:
+    """(comment_id, author_id, text) after the allowed edits, one a comment."""
+    ok = judged.where("allowed").select("comment_id", F.col("user_id").alias("_user"), F.col("text").alias("_text"), "action")
+    both = comments.join(ok, "comment_id", "full_outer").where(~F.col("action").eqNullSafe(F.lit("delete")))
+    return both.select("comment_id", F.coalesce("author_id", "_user").alias("author_id"), F.when(F.col("action").isNotNull(), F.col("_text")).otherwise(F.col("text")).alias("text"))
+
+
+def membership(members: DataFrame, changes: DataFrame) -> DataFrame:
+    """Members after ``changes(team_id, user_id, role)``; a null role takes a member out.
+
+    Changes that would leave a team without an owner are not made, all of that team's together.
+    """
+    both = members.join(changes.select("team_id", "user_id", F.col("role").alias("_role"), F.lit(True).alias("_asked")), ["team_id", "user_id"], "full_outer")
+    both = both.withColumn("_new", F.when(F.col("_asked"), F.col("_role")).otherwise(F.col("role")))
+    owned = both.groupBy("team_id").agg(F.coalesce(F.bool_or(F.col("_new") == "Owner"), F.lit(False)).alias("_owned"))
+    out = both.join(owned, "team_id").withColumn("role", F.when(F.col("_owned"), F.col("_new")).otherwise(F.col("role")))
+    return out.where(F.col("role").isNotNull()).select("team_id", "user_id", "role")
+
+
 def view(entries: DataFrame, name: str | None = None, positions: list[int] | None = None, name_column: str = "name", position_column: str = "position") -> DataFrame:
     """What a board shows: no rejected entries, a name in any case, positions."""
     out = entries.where(F.col("status") != REJECTED)

@@ -15,10 +15,12 @@ def season_ratings(games: DataFrame, teams: DataFrame, strategy: Strategy = STAN
     """(league_id, season, team_id, games_played, rating), each team's start included.
 
     Takes ``games(league_id, season, sim_date, ordinal, home_team_id, away_team_id, score, played)``,
-    ``score`` the home side's outcome, and ``teams(league_id, season, team_id)``. A game moves both
-    teams from their ratings before it, so seasons are folded one by one and are independent.
+    ``score`` the home side's outcome, and ``teams(league_id, season, team_id)``. ``away_score`` is the
+    away side's, the rest to one where the games have none. A game moves both teams from their ratings
+    before it, so seasons are folded one by one and are independent.
     """
-    columns = ["league_id", "season", "sim_date", "ordinal", "home_team_id", "away_team_id", "score"]
+    games = games if "away_score" in games.columns else games.withColumn("away_score", 1 - F.col("score"))
+    columns = ["league_id", "season", "sim_date", "ordinal", "home_team_id", "away_team_id", "score", "away_score"]
     played = games.where("played").select(*columns)
 
     def fold(key, season_games: pd.DataFrame, season_teams: pd.DataFrame) -> pd.DataFrame:
@@ -28,7 +30,7 @@ def season_ratings(games: DataFrame, teams: DataFrame, strategy: Strategy = STAN
             (a, n), (b, m) = state.get(g.home_team_id, (START, 0)), state.get(g.away_team_id, (START, 0))
             share = 1 / (1 + 10 ** ((b - a) / strategy.scale))
             up = int(math.trunc(max(a + strategy.factor(a, n) * (g.score - share), FLOOR)))
-            down = int(math.trunc(max(b + strategy.factor(b, m) * ((1 - g.score) - (1 - share)), FLOOR)))
+            down = int(math.trunc(max(b + strategy.factor(b, m) * (g.away_score - (1 - share)), FLOOR)))
             state[g.home_team_id], state[g.away_team_id] = (up, n + 1), (down, m + 1)
             out += [(*key, g.home_team_id, n + 1, up), (*key, g.away_team_id, m + 1, down)]
         return pd.DataFrame(out, columns=["league_id", "season", "team_id", "games_played", "rating"])
@@ -40,5 +42,5 @@ def season_ratings(games: DataFrame, teams: DataFrame, strategy: Strategy = STAN
 
 def wide(ratings: DataFrame, teams: DataFrame, abbreviations: list[str]) -> DataFrame:
     """One column a team, one row a number of games; blank past a team's last game. One season."""
-    named = ratings.join(F.broadcast(teams.select("league_id", "season", "team_id", "abbreviation")), ["league_id", "season", "team_id"])
+    named = ratings.join(teams.select("league_id", "season", "team_id", "abbreviation"), ["league_id", "season", "team_id"])
     return named.groupBy("games_played").pivot("abbreviation", abbreviations).agg(F.first("rating")).orderBy("games_played")

@@ -105,6 +105,39 @@ def autocomplete(df: DataFrame, term: str | None, limit: int, name: str, usernam
     return df.withColumn("match_rank", rank).where("match_rank is not null").orderBy("match_rank", *by).limit(limit)
 
 
+# Keys that a profile's players are sorted by, and their columns.
+PROFILE_KEYS = {
+    "created": "creation_time",
+    "name": "name",
+    "status": "status",
+    "position": "position",
+    "tpe": "total_tpe",
+    "bank": "bank_balance",
+    "season": "draft_season",
+    "league": "current_league",
+}
+
+
+def profile_ordered(players: DataFrame, key: str = "created", descending: bool = True, last: str = "player_id") -> DataFrame:
+    """A user's players by one of eight keys, the newest first unless another is given; names in any case."""
+    if key not in PROFILE_KEYS:
+        raise ValueError(f"not a sort key: {key}")
+    column = F.col(PROFILE_KEYS[key])
+    return ordered(players, F.lower(column) if key == "name" else column, descending, last)
+
+
+def to_query_string(values: Mapping[str, object], defaults: Mapping[str, list[str]], every: str = "all") -> str:
+    """The way back from ``from_query_string``: keys at their default are left out, an emptied default is ``every``."""
+    from urllib.parse import urlencode
+
+    out: list[tuple[str, str]] = []
+    for key, value in values.items():
+        given = [str(v) for v in (value if isinstance(value, (list, tuple)) else [] if value is None else [value])]
+        if given != list(defaults.get(key, [])):
+            out += [(key, v) for v in given or [every]]
+    return urlencode(out)
+
+
 def from_query_string(query: str, defaults: Mapping[str, list[str]], every: str = "all") -> dict[str, list[str]]:
     """Values of a query string by lower-cased key; a key not given has its default, ``every`` means no filter."""
     from urllib.parse import parse_qsl

@@ -14,7 +14,7 @@ from rinkspark.functions.vectors import hamming
 #: A reading is sure within this share of differing bits, and this far from any other label.
 DISTANCE = 0.18
 MARGIN = 0.02
-#: Templates are broadcast; more of them than this are taken in blocks.
+#: Templates go to every task; more of them than this are refused.
 TEMPLATES = 100_000
 GLYPH = (12, 20)
 LEAST_INK = 3
@@ -32,8 +32,8 @@ def nearest(samples: DataFrame, templates: DataFrame, key: str, bits: int, dista
     listed = templates.agg(F.sort_array(F.collect_list(F.struct("ordinal", "label", "words"))).alias("_templates"))
     each = samples.join(F.broadcast(listed))
     scored = F.transform("_templates", lambda t: F.struct((hamming(F.col("words"), t["words"]) / bits).alias("score"), t["ordinal"].alias("ordinal"), t["label"].alias("label")))
-    each = each.select(key, F.array_sort(scored).alias("_s"))
-    best = F.try_element_at("_s", F.lit(1))
+    each = each.select(key, scored.alias("_s"))
+    best = F.array_min("_s")
     each = each.select(key, best["label"].alias("label"), best["score"].alias("score"), "_s")
     each = each.withColumn("other", F.array_min(F.transform(F.filter("_s", lambda t: t["label"] != F.col("label")), lambda t: t["score"])))
     sure = (F.col("score") <= distance) & (F.col("other").isNull() | (F.col("other") - F.col("score") >= margin))
@@ -52,13 +52,15 @@ def leave_one_out(templates: DataFrame, bits: int) -> DataFrame:
 
     ``same`` is the distance to the nearest other template of its label, ``other`` of another label.
     """
+    if templates.count() > TEMPLATES:
+        raise ValueError(f"more than {TEMPLATES} templates")
     listed = templates.agg(F.collect_list(F.struct("ordinal", "label", "words")).alias("_all"))
     each = templates.join(F.broadcast(listed))
     rest = F.filter("_all", lambda t: t["ordinal"] != F.col("ordinal"))
-    scored = F.array_sort(F.transform(rest, lambda t: F.struct((hamming(F.col("words"), t["words"]) / bits).alias("d"), t["ordinal"].alias("o"), t["label"].alias("l"))))
+    scored = F.transform(rest, lambda t: F.struct((hamming(F.col("words"), t["words"]) / bits).alias("d"), t["ordinal"].alias("o"), t["label"].alias("l")))
     each = each.select("ordinal", "label", scored.alias("_s"))
     least = lambda of: F.array_min(F.transform(F.filter("_s", of), lambda t: t["d"]))
-    return each.select("ordinal", "label", F.try_element_at("_s", F.lit(1))["l"].alias("predicted"), least(lambda t: t["l"] == F.col("label")).alias("same"), least(lambda t: t["l"] != F.col("label")).alias("other"))
+    return each.select("ordinal", "label", F.array_min("_s")["l"].alias("predicted"), least(lambda t: t["l"] == F.col("label")).alias("same"), least(lambda t: t["l"] != F.col("label")).alias("other"))
 
 
 def evaluation(one_out: DataFrame) -> DataFrame:

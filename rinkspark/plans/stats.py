@@ -66,12 +66,12 @@ def nearest_template(t):
 
 
 @query("v05_leave_one_out", f"""
-WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, {_BITS} AS b FROM embeddings WHERE vec_id < 60),
+WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, {_BITS} AS b FROM embeddings),
  d AS (SELECT a.vec_id AS ordinal, a.label, t.vec_id AS o, t.label AS l, {_HAM} / 63.0 AS d FROM v a JOIN v t ON a.vec_id <> t.vec_id),
  n AS (SELECT ordinal, label, arg_min(l, (d, o)) AS predicted, min(d) FILTER (WHERE l = label) AS same, min(d) FILTER (WHERE l <> label) AS other FROM d GROUP BY ALL)
 SELECT label, count(*) AS samples, round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(same), 6) AS mean_same, round(sum(coalesce(other, 0)) / count(*), 6) AS mean_other FROM n GROUP BY label""")
 def leave_one_out(t):
-    out = templates.evaluation(templates.leave_one_out(_signs(t).where("ordinal < 60"), 63))
+    out = templates.evaluation(templates.leave_one_out(_signs(t), 63))
     return out.select("label", "samples", *[F.round(c, 6).alias(c) for c in ("accuracy", "mean_same", "mean_other")])
 
 
@@ -87,10 +87,9 @@ def distinct_templates(t):
     return templates.distinct_templates(rows.select("ordinal", "label", vectors.sign_bits("v").alias("words"))).select("ordinal", "label")
 
 
-@query("v06_routed", "SELECT o_orderkey, CAST(o_orderkey AS INT) AS speed, 'x ' || o_custkey AS birthplace FROM orders WHERE o_orderkey < 2000")
+@query("v06_routed", "SELECT o_orderkey, CAST(o_orderkey AS INT) AS speed, 'x ' || o_custkey AS birthplace FROM orders")
 def routed(t):
-    few = t.orders.where("o_orderkey < 2000")
-    row = lambda kind, name, first, second: few.select("o_orderkey", F.lit(kind).alias("kind"), F.lit(name).alias("name"), first.alias("recognised"), second.alias("ocr"))
+    row = lambda kind, name, first, second: t.orders.select("o_orderkey", F.lit(kind).alias("kind"), F.lit(name).alias("name"), first.alias("recognised"), second.alias("ocr"))
     fields = row("attribute", "speed", F.lit(None).cast("string"), F.col("o_orderkey").cast("string")).union(row("attribute", "lost", F.lit("?"), F.lit("1"))).union(row("text", "birthplace", F.concat(F.lit(" x  "), "o_custkey"), F.lit("no")))
     out = templates.routed(fields, "o_orderkey")
     return out.select("o_orderkey", F.col("attributes")["speed"].alias("speed"), F.col("texts")["birthplace"].alias("birthplace"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -23,10 +24,15 @@ ENDPOINTS = {
     "leagues": ("leagues", ()),
     "seasons": ("leagues/seasons", ("league",)),
     "conferences": ("conferences", ("league", "season")),
+    "conference": ("conferences/{id}", ("id", "league", "season")),
     "divisions": ("divisions", ("league", "season", "conference")),
     "teams": ("teams", ("league", "conference", "division", "season")),
+    "team": ("teams/{id}", ("id", "league", "season")),
+    "roster": ("teams/{id}/roster", ("id", "league", "season")),
     "schedule": ("schedule", ("league", "season")),
     "players": ("players", ()),
+    "player": ("players/{id}", ("id", "league", "season")),
+    "player_stats": ("players/stats", ("league", "season", "type")),
     "timeline": ("tpetimeline", ("pid",)),
     "earned": ("tpeevents/season", ("pid", "season", "league", "team", "draft", "user")),
 }
@@ -50,12 +56,13 @@ class Bucket:
 
 
 def retried(call: Callable[[], str], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> str:
-    """Calls again after 1, 2, 4 ... seconds; the last error is raised."""
+    """Calls again after 1, 2, 4 ... seconds; the last error is raised, and at once what asking again can't mend."""
     for n in range(attempts):
         try:
             return call()
-        except OSError:
-            if n == attempts - 1:
+        except OSError as e:
+            refused = isinstance(e, urllib.error.HTTPError) and 400 <= e.code < 500 and e.code not in (408, 429)
+            if refused or n == attempts - 1:
                 raise
             sleep(FIRST_DELAY * 2**n)
     raise AssertionError
@@ -66,6 +73,14 @@ def fetch(url: str) -> str:
         return answer.read().decode()
 
 
+#: One bucket a Python worker and rate: all requests of the worker's tasks go through it.
+_buckets: dict[tuple[float, float], Bucket] = {}
+
+
+def shared_bucket(size: float, rate: float) -> Bucket:
+    return _buckets.setdefault((size, rate), Bucket(size, rate))
+
+
 class _Request(InputPartition):
     def __init__(self, url: str):
         super().__init__(url)
@@ -74,15 +89,21 @@ class _Request(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, get: Callable[[str], str]):
         self.urls, self.get = json.loads(options["urls"]), get
-        self.rate = float(options.get("rate", PER_SECOND)) / max(1, int(options.get("parallel", 1)))
+        # as many workers as requests run at a time share the burst and the rate
+        parallel = max(1, int(options.get("parallel", 1)))
+        self.size, self.rate = max(1.0, float(options.get("burst", BUCKET)) / parallel), float(options.get("rate", PER_SECOND)) / parallel
 
     def partitions(self) -> list[InputPartition]:
         return [_Request(u) for u in self.urls]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        Bucket(rate=self.rate).take()
-        url = partition.value
-        yield url, retried(lambda: self.get(url))
+        bucket, url = shared_bucket(self.size, self.rate), partition.value
+
+        def ask() -> str:
+            bucket.take()
+            return self.get(url)
+
+        yield url, retried(ask)
 
 
 class RestSource(DataSource):
@@ -108,8 +129,9 @@ def request_urls(base: str, endpoint: str, parameters: list[dict]) -> list[str]:
     for p in parameters or [{}]:
         if wrong := set(p) - set(known):
             raise ValueError(f"{endpoint} has no {', '.join(sorted(wrong))}")
-        query = urllib.parse.urlencode([(k, p[k]) for k in known if p.get(k) is not None])
-        out.append(f"{base.rstrip('/')}/{path}" + (f"?{query}" if query else ""))
+        query = urllib.parse.urlencode([(k, p[k]) for k in known if p.get(k) is not None and f"{{{k}}}" not in path])
+        place = path.format(**{k: urllib.parse.quote(str(v), safe="") for k, v in p.items()})
+        out.append(f"{base.rstrip('/')}/{place}" + (f"?{query}" if query else ""))
     return out
 
 

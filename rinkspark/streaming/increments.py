@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +55,15 @@ def backfill(stored: DataFrame, done: DataFrame, batch: DataFrame, fetched: Data
     return merge.merged(stored, rows, keys).drop("change"), done.unionByName(marks.join(done.select(keys[0]), keys[0], "left_anti"))
 
 
+#: Seasons up to this one have no index data.
+SEASON_FLOOR = 65
+
+
+def above_floor(df: DataFrame, season: str = "season", floor: int = SEASON_FLOOR) -> DataFrame:
+    """Rows of seasons after the floor."""
+    return df.where(F.col(season) > floor)
+
+
 def recent_seasons(last: int, n: int = REFRESHED_SEASONS) -> list[int]:
     return [s for s in range(last, last - n, -1) if s >= 1]
 
@@ -86,17 +98,77 @@ def overlap_stream(source: DataFrame, store: merge.Store, table: str, key: str,
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# How long results of a known and of an unknown data version are kept, and a directory.
+KNOWN_SECONDS = 12 * 3600
+UNKNOWN_SECONDS = 60
+DIRECTORY_SECONDS = 6 * 3600
+
+
 class VersionCache:
-    """Frames by data version: a new version drops what the old one held."""
+    """Frames by data version: a new version drops what the old one held, as does age.
+
+    A version of None is not known, and what is held under it is soon too old. One thread at a time
+    makes a frame, and others wait for it.
+    """
+
+    def __init__(self, version: Callable[[], str | None], known: float = KNOWN_SECONDS, unknown: float = UNKNOWN_SECONDS, clock: Callable[[], float] = time.monotonic):
+        self.version, self.known, self.unknown, self.clock = version, known, unknown, clock
+        self.held: dict[str, tuple[float, DataFrame]] = {}
+        self.at: str | None = None
+        self.lock = threading.Lock()
 
-    def __init__(self, version: Callable[[], str]):
-        self.version, self.held, self.at = version, {}, None
+    def _fresh(self, name: str) -> DataFrame | None:
+        made, df = self.held.get(name, (None, None))
+        return df if made is not None and self.clock() - made < (self.unknown if self.at is None else self.known) else None
 
     def get(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if (now := self.version()) != self.at:
-            for df in self.held.values():
-                df.unpersist()
-            self.held, self.at = {}, now
-        if name not in self.held:
-            self.held[name] = make().persist()
-        return self.held[name]
+        now = self.version()
+        if now == self.at and (df := self._fresh(name)) is not None:
+            return df
+        with self.lock:
+            if now != self.at:
+                for _, df in self.held.values():
+                    df.unpersist()
+                self.held, self.at = {}, now
+            if (df := self._fresh(name)) is None:
+                if name in self.held:
+                    self.held[name][1].unpersist()
+                df = make().persist()
+                self.held[name] = self.clock(), df
+            return df
+
+
+def directory_cache(clock: Callable[[], float] = time.monotonic) -> VersionCache:
+    """A cache for lists of names that are asked for often and change seldom."""
+    return VersionCache(lambda: "", DIRECTORY_SECONDS, DIRECTORY_SECONDS, clock)
+
+
+class Once:
+    """Runs an action at most once, whichever thread asks first; a failed run may be tried again."""
+
+    def __init__(self):
+        self.done, self.lock = False, threading.Lock()
+
+    def run(self, action: Callable[[], None]) -> bool:
+        """Whether this call ran it."""
+        if self.done:
+            return False
+        with self.lock:
+            if self.done:
+                return False
+            action()
+            self.done = True
+            return True
+
+
+def every(seconds: float, action: Callable[[], None], rounds: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Runs ``action`` each ``seconds``, one run after the other; starts that a long run misses are left out."""
+    start, n = clock(), 0
+    while rounds is None or n < rounds:
+        action()
+        n += 1
+        late = clock() - start
+        start += seconds * max(1, math.ceil(late / seconds))
+        if rounds is None or n < rounds:
+            sleep(max(0.0, start - clock()))
+    return n

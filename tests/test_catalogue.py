@@ -59,7 +59,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "In(c_mktsegment" in page and "TakeOrderedAndProject" in page
 
 
+def test_first_generation_flags_gather_no_owner_in_one_task(spark):
+    plan = _plan(catalogue.queries()["j03_recreate"](spark, SF))
+    assert "Window" not in plan and "partial_min" in plan
+
+
 def test_first_and_last_rows_need_one_shuffle_and_no_join(spark):
-    for name in ("j01_latest_value", "j03_recreate", "j04_most_recent"):
+    for name in ("j01_latest_value", "j04_most_recent"):
         plan = _plan(catalogue.queries()[name](spark, SF)).split("(1)")[0]
         assert "Join" not in plan and plan.count("Exchange") == 1, name

@@ -209,3 +209,52 @@ def test_export_shapes(spark):
     assert flat.columns == ["n", "s.a", "s.b", "l"]
     assert export.seen_columns(flat, "n") == ["s.b", "l", "s.a"]
     assert [r.label for r in export.unpivoted(df.select("n", F.col("n").alias("topSpeed")), ["n"], ["topSpeed"]).collect()] == ["Top Speed"] * 2
+
+
+def test_store_merges_touched_buckets_and_refuses_a_second_writer(spark, tmp_path):
+    store = merge.Store(spark, str(tmp_path / "merged"))
+    rows = lambda pairs: spark.createDataFrame(pairs, "k long, v string")
+    first = {r.change: r.n for r in store.merge("t", rows([(i, "a") for i in range(40)]), ["k"], buckets=4).collect()}
+    assert first == {"inserted": 40}
+    before = store._tables(store.versions()[-1])["t"]
+    counts = {r.change: r.n for r in store.merge("t", rows([(3, "b"), (99, "c")]), ["k"]).collect()}
+    after = store._tables(store.versions()[-1])["t"]
+    assert counts["updated"] == 1 and counts["inserted"] == 1
+    assert 2 <= sum(before[b] == after[b] for b in before)  # untouched buckets and their number stay
+    got = {r.k: r.v for r in store.read("t").collect()}
+    assert got == {i: "b" if i == 3 else "a" for i in range(40)} | {99: "c"}
+    assert {r.k: r.v for r in store.read("t", 1).collect()} == {i: "a" for i in range(40)}
+    stale = store.versions()[-1] - 1
+    with pytest.raises(merge.Conflict):
+        store._move(stale, {})
+    assert store.versions() == [1, 2]
+    store.prune(1)
+    assert store.versions() == [2] and store.read("t").count() == 41
+
+
+def test_hot_owner_flags_need_no_window(spark):
+    df = spark.createDataFrame([(1, 5, 10), (1, 4, 11), (None, 1, 12), (None, 1, 13), (2, 1, 14)], "owner int, created int, id int")
+    out = latest.with_recreate(df, "owner", "created", "id")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.recreate for r in out.collect()} == {10: True, 11: False, 12: False, 13: True, 14: False}
+
+
+def test_ratings_of_outcomes_that_do_not_sum_to_one(spark):
+    games = spark.createDataFrame([(0, 1, 1, 1, 7, 8, 0.666, 0.333, True)], "league_id int, season int, sim_date int, ordinal long, home_team_id long, away_team_id long, score double, away_score double, played boolean")
+    teams = spark.createDataFrame([(0, 1, 7), (0, 1, 8)], "league_id int, season int, team_id long")
+    got = {r.team_id: r.rating for r in rating.season_ratings(games, teams).where("games_played = 1").collect()}
+    assert got == {7: 1016, 8: 983}
+
+
+def test_query_strings_both_ways():
+    defaults = {"status": ["2"], "page": ["1"]}
+    values = {"status": [], "page": ["1"], "name": ["a b"], "position": ["C", "LW"]}
+    text = search.to_query_string(values, defaults)
+    assert text == "status=all&name=a+b&position=C&position=LW"
+    assert search.from_query_string(text, defaults) == values
+
+
+def test_comments_after_edits(spark):
+    comments = spark.createDataFrame([(1, 5, "a"), (2, 6, "b"), (3, 6, "c")], "comment_id int, author_id int, text string")
+    judged = spark.createDataFrame([(1, 5, "A", "edit", True), (2, 5, None, "delete", True), (3, 5, "no", "edit", False), (4, 5, "d", "add", True)], "comment_id int, user_id int, text string, action string, allowed boolean")
+    assert sorted(map(tuple, ranklist.applied_comments(comments, judged).collect())) == [(1, 5, "A"), (3, 6, "c"), (4, 5, "d")]

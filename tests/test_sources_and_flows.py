@@ -147,3 +147,29 @@ def test_export_recipe(spark):
     df = spark.createDataFrame(rows, "player_id int, position int, total_tpe int, attributes array<double>")
     assert [r.player_id for r in flows.export_players(df, "C", "l1").collect()] == [1, 3, 5, 7]
     assert flows.centroid_recipe(df, 2, "C").agg(F.sum("members")).first()[0] == 3
+
+
+def test_requests_of_a_worker_share_one_bucket():
+    reader = rest._Reader({"urls": "[]", "rate": "20", "burst": "2", "parallel": "1"}, lambda url: url)
+    rest._buckets.clear()
+    import time
+
+    began = time.monotonic()
+    for i in range(6):
+        assert list(reader.read(rest._Request(f"u{i}"))) == [(f"u{i}", f"u{i}")]
+    assert time.monotonic() - began >= 0.19  # two at once, four at 20 a second
+    assert rest.request_urls("http://h", "roster", [{"id": 7, "season": 70}]) == ["http://h/teams/7/roster?season=70"]
+
+
+def test_client_errors_are_not_retried():
+    import urllib.error
+
+    calls = []
+
+    def refused():
+        calls.append(1)
+        raise urllib.error.HTTPError("u", 404, "no", None, None)
+
+    with pytest.raises(urllib.error.HTTPError):
+        rest.retried(refused, sleep=lambda s: None)
+    assert len(calls) == 1

@@ -75,3 +75,30 @@ def test_version_cache(spark):
     assert cache.get("x", lambda: spark.range(2)) is first
     version[0] = "b"
     assert cache.get("x", lambda: spark.range(2)).count() == 2
+
+
+def test_cache_lifetimes_once_and_schedule(spark):
+    now, version = [0.0], [None]
+    cache = increments.VersionCache(lambda: version[0], clock=lambda: now[0])
+    first = cache.get("x", lambda: spark.range(1))
+    now[0] = 59
+    assert cache.get("x", lambda: spark.range(2)) is first
+    now[0] = 61
+    second = cache.get("x", lambda: spark.range(2))
+    assert second.count() == 2
+    version[0] = "v"
+    third = cache.get("x", lambda: spark.range(3))
+    now[0] += 12 * 3600 - 1
+    assert cache.get("x", lambda: spark.range(4)) is third
+    now[0] += 1
+    assert cache.get("x", lambda: spark.range(4)).count() == 4
+    ran, once = [], increments.Once()
+    assert [once.run(lambda: ran.append(1)) for _ in range(3)] == [True, False, False] and ran == [1]
+    clock, starts = [0.0], []
+
+    def action():
+        starts.append(clock[0])
+        clock[0] += 25 if len(starts) == 1 else 1
+
+    increments.every(10, action, 3, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    assert starts == [0.0, 30.0, 40.0]
