@@ -97,3 +97,97 @@ def test_without_labels_or_rows(spark, docs_of):
     assert all(r.lang_pred == "und" for r in language_id.identify(docs).collect())
     empty = docs.limit(0)
     assert quality.score(empty, labels).count() == toxicity.score(empty, labels).count() == language_id.identify(empty).count() == 0
+
+
+def test_isotonic_fit_matches_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        x = rng.permutation(30).astype(float)
+        y = (rng.random(30) < x / 30).astype(float)
+        by = y[np.argsort(x)]
+        want = [max(min(by[a : b + 1].mean() for b in range(i, 30)) for a in range(i + 1)) for i in range(30)]
+        steps, values = quality.isotonic(x, y)
+        assert np.allclose(np.interp(np.arange(30.0), steps, values), want)
+
+
+def _raw(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def test_quality_weights_match_dense_equations_and_repeated_rows_change_nothing(spark, docs_of):
+    rng = random.Random(5)
+    texts = {i: _prose(rng, 30) if i % 3 else _prose(rng, 20).upper() + "!!" for i in range(90)}
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in texts], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs_of(list(texts.items())), labels)
+    again = quality.fit(docs_of(list(texts.items()) + [(7, texts[7])] * 200), labels)
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 5]
+    x = np.concatenate([quality.statistics(*_raw(texts[i])) for i in learnt])
+    z = quality.Model.cosines(x, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3))
+    y = np.array([i % 3 > 0 for i in learnt], float)
+    dense = np.linalg.solve(z.T @ z + quality.RIDGE * np.diag([1.0] * quality.COSINES + [1e-7]), z.T @ y)
+    # the constant's penalty is the least that keeps the equations regular
+    assert np.allclose(z @ model.weights, z @ dense, atol=1e-3)
+    assert np.allclose(model.weights, again.weights, atol=1e-9)
+
+
+def test_output_codes_match_dense_equations(docs_of):
+    rng = random.Random(6)
+    letters = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    names = list(letters)
+    rows = [(i, _prose(rng, 25, letters[names[i % 3]])) for i in range(120)]
+    lang = lambda i: names[i % 3]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs_of(rows, lang)).collect()}
+    x = np.concatenate([language_id.features(*_raw(t)) for _, t in rows])
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    code = language_id.codewords(3)
+    a = np.hstack([x[learnt].astype(np.float16).astype(float), np.ones((len(learnt), 1))])
+    w = np.linalg.solve(a.T @ a + language_id.RIDGE * np.eye(a.shape[1]), a.T @ code[[i % 3 for i in learnt]])
+    bits = np.clip(np.hstack([x, np.ones((len(x), 1))]) @ w, -1.5, 1.5)
+    right = ((a @ w) * code[[i % 3 for i in learnt]] > 0).mean(axis=0)
+    trust = np.maximum(0.05, np.log((right + 0.01) / (1.01 - right)) / np.log(101))
+    for i, _ in rows:
+        loss = [sum(trust[b] * max(0, 1 - bits[i, b] * code[k, b]) ** 2 for b in range(code.shape[1])) / trust.sum() for k in range(3)]
+        p = np.exp(-np.array(loss) / language_id.SCALE)
+        assert got[i][0] == names[int(np.argmin(loss))] and abs(got[i][1] - p.max() / p.sum()) < 0.02
+
+
+def test_rare_languages_are_learnt_beside_frequent_ones(docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "LABELLED", 60)
+    rng = random.Random(7)
+    alphabets = {f"l{k:02d}": [chr(97 + (3 * k + j) % 26) for j in range(4)] for k in range(12)}
+    names = list(alphabets)
+    of = {i: names[i % 12] if i < 60 else names[0] for i in range(600)}
+    rows = [(i, _prose(rng, 30, alphabets[of[i]])) for i in range(600)]
+    got = language_id.identify(docs_of(rows, lambda i: of[i])).collect()
+    assert {r.lang_pred for r in got} == set(names)
+
+
+def test_risk_steps_match_a_numeric_gradient():
+    rng = np.random.default_rng(8)
+    p, u = (rng.random((20, 3)) < 0.5).astype(float), (rng.random((60, 3)) < 0.4).astype(float)
+    weights, prior = np.full(60, 1 / 60), 0.2
+
+    def risk(w):
+        at_p, at_u = p @ w[:3] + w[3], u @ w[:3] + w[3]
+        rest = (weights * np.logaddexp(0, at_u)).sum() - prior * np.logaddexp(0, at_p).mean()
+        return prior * np.logaddexp(0, -at_p).mean() + max(0, rest) + 0.5e-4 * (w[:3] ** 2).sum()
+
+    w, b = toxicity.nnpu(p, u, weights, prior, steps=4000, rate=0.01)
+    best = np.append(w, b)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            other = best.copy()
+            other[k] += step
+            assert risk(other) >= risk(best) - 1e-4
+
+
+def test_long_and_repeated_rows_of_the_models(spark, docs_of):
+    rng = random.Random(9)
+    long = _prose(rng, 200_000)
+    rows = [(i, _prose(rng, 20) if i % 2 else _prose(rng, 20).upper()) for i in range(60)] + [(99, long), (99, long), (1, "other text of one id")]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows, lambda i: "aa" if i % 2 else "bb")
+    for got in (quality.score(docs, labels), toxicity.score(docs, labels), language_id.identify(docs)):
+        got = got.collect()
+        assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 99}) == 1
