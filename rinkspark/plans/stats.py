@@ -104,7 +104,20 @@ def season_games(t):
     )
 
 
-@query("e05_season_ratings")
+@query("e05_season_ratings", """
+WITH RECURSIVE every AS (SELECT CAST(l_suppkey % 8 AS INT) AS season, CAST(l_shipdate AS DATE) AS d, l_orderkey * 10 + l_linenumber AS o, l_orderkey % 16 AS h, (l_orderkey + 1 + l_partkey % 15) % 16 AS a,
+  CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score, l_linestatus = 'F' AS played FROM lineitem),
+ g AS (SELECT season, row_number() OVER (PARTITION BY season ORDER BY d, o) AS k, h, a, score FROM every WHERE played),
+ s(season, k, r, n, h, a) AS (SELECT DISTINCT season, 0::BIGINT, list_transform(range(16), lambda i: 1000), list_transform(range(16), lambda i: 0), 0::BIGINT, 0::BIGINT FROM every
+  UNION ALL
+  SELECT season, k, list_transform(range(16), lambda i: CASE i WHEN h THEN CAST(trunc(greatest(rh + fh * (score - e), 100.0)) AS INT) WHEN a THEN CAST(trunc(greatest(ra + fa * ((1 - score) - (1 - e)), 100.0)) AS INT) ELSE r[i + 1] END),
+   list_transform(range(16), lambda i: CASE WHEN i = h OR i = a THEN n[i + 1] + 1 ELSE n[i + 1] END), h, a
+  FROM (SELECT *, 1 / (1 + pow(10, (ra - rh) / 400.0::DOUBLE)) AS e, CASE WHEN rh < 1800 AND n[h + 1] < 30 THEN 100 WHEN rh < 1800 THEN 50 ELSE 10 END AS fh, CASE WHEN ra < 1800 AND n[a + 1] < 30 THEN 100 WHEN ra < 1800 THEN 50 ELSE 10 END AS fa
+   FROM (SELECT g.season, g.k, g.h, g.a, g.score, s.r, s.n, s.r[g.h + 1] AS rh, s.r[g.a + 1] AS ra FROM s JOIN g ON g.season = s.season AND g.k = s.k + 1)))
+SELECT 0 AS league_id, season, h AS team_id, 0 AS games_played, 1000 AS rating FROM (SELECT DISTINCT season, h FROM every)
+UNION ALL SELECT 0, season, h, n[h + 1], r[h + 1] FROM s WHERE k > 0
+UNION ALL SELECT 0, season, a, n[a + 1], r[a + 1] FROM s WHERE k > 0
+""")
 def season_ratings(t):
     games = season_games(t)
     teams = games.select("league_id", "season", F.col("home_team_id").alias("team_id")).distinct()
