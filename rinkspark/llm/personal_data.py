@@ -197,9 +197,9 @@ def joined(spans: str, keep: str = "true") -> str:
 
 
 def digests(scanned: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the fixed patterns' spans, and all spans as text."""
+    """Counts by kind, the digest of the fixed patterns' spans, all spans as text, and how many they are."""
     count = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}' and not s.added)) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return scanned.select("doc_id", *count, F.sha2(F.expr(joined("spans", "not s.added")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+    return scanned.select("doc_id", *count, F.sha2(F.expr(joined("spans", "not s.added")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -37,3 +37,15 @@ def test_stages_do_what_their_operators_say(spark, steps):
     assert ids[4] == ids[3] and ids[5] == ids[4]
     assert not any(personal_data.base_spans(r.text) for r in steps[4].collect())
     assert all(r.round_trip for r in steps[5].collect())
+
+
+def test_stages_pass_clashing_columns_nulls_and_repeated_rows_on(spark, docs_of):
+    good = "The old river ran past the quiet mill where Anna wrote a long letter about her garden and the rain that fell all week. "
+    rows = [(1, good), (1, good), (2, good + "Mail a.b@c.org now."), (3, None), (4, ""), (None, "Another plain line about bread and salt and the long way home over the green hills."), (5, "x " * 50_000)]
+    docs = docs_of(rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and after.schema == docs.schema
+        docs = after
+    last = corpus_pipeline.token_stage(spark, docs, SF).collect()
+    assert all(r.round_trip for r in last) and len(last) == docs.count()
