@@ -177,9 +177,17 @@ def _cut_runs(depth: int, block: int, words: bool):
     return cut
 
 
-def _beside(keyed: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts with their lists, by shuffle at any size; only texts that have a list move."""
-    return keyed.join(rows.small(lists.select(*keys)), keys, "left_semi").join(lists.hint("merge"), keys)
+def _beside(keyed: DataFrame, lists: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Texts with their lists, by shuffle at any size; while the lists' keys are few only texts that have one move."""
+    n = lists.count()
+    if n > rows.BROADCAST_ROWS:
+        return keyed.join(lists.hint("merge"), keys, how)
+    some = rows.small(lists.select(*keys), n)
+    with_list = keyed.join(some, keys, "left_semi").join(lists.hint("merge"), keys)
+    if how == "inner":
+        return with_list
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in lists.schema if f.name not in keys]
+    return with_list.unionByName(keyed.join(some, keys, "left_anti").select("*", *rest))
 
 
 def _cut(keyed: DataFrame, parts: DataFrame, depth: int, block: int, words: bool) -> DataFrame:
@@ -201,7 +209,7 @@ def _classes(runs: DataFrame, names: list[str], among: str, *more) -> DataFrame:
 
 
 def _repeating(runs: DataFrame, classes: DataFrame, names: list[str]) -> DataFrame:
-    return runs.join(rows.small(classes.where("repeat").select(*names)), names, "left_semi").select("k1", "k2", "lo", "hi")
+    return runs.join(classes.where("repeat").select(*names), names, "left_semi").select("k1", "k2", "lo", "hi")
 
 
 def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, words: bool = False, across: bool = False) -> DataFrame:
@@ -220,20 +228,19 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, words
     every = rows.written(keyed.where(F.length("text") > 0).mapInArrow(_find_runs(depth, gram, words), schema))
     # a gram that does not repeat leaves the sort
     repeating = rows.written(every.groupBy("gram").agg(F.expr(among).alias("repeat")).where("repeat").select("gram"))
-    runs = rows.written(every.join(rows.small(repeating), "gram", "left_semi"))
+    runs = rows.written(every.join(repeating, "gram", "left_semi"))
     rows.dropped(every)
     # and one whose runs are all equal is settled
     equal = runs.groupBy("gram").agg(F.expr("min(span) = max(span) and min(span2) = max(span2)").alias("equal"))
     equal = rows.written(equal.where("equal").select("gram"))
-    equal_, of = rows.small(equal), ["k1", "k2", "lo", "hi"]
-    found = [rows.written(runs.join(equal_, "gram", "left_semi").select(*of))]
-    left = rows.written(runs.join(equal_, "gram", "left_anti"))
+    found = [rows.written(runs.join(equal, "gram", "left_semi").select("k1", "k2", "lo", "hi"))]
+    left = rows.written(runs.join(equal, "gram", "left_anti"))
     rows.dropped(runs, repeating, equal)
     spans = rows.written(_classes(left, ["span", "span2"], among))
     found.append(rows.written(_repeating(left, spans, ["span", "span2"])))
     rows.dropped(left)
     open_grams = spans.where("not repeat").select("gram").distinct()
-    parts = spans.join(rows.small(open_grams), "gram", "left_semi")
+    parts = spans.join(open_grams, "gram", "left_semi")
     parts = rows.written(parts.select("gram", "r.*", F.col("repeat").alias("settled")))
     rows.dropped(spans)
 
@@ -243,7 +250,7 @@ def repeated_ranges(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, words
     rows.dropped(parts, cut)
     told = blocks.withColumn("settled", F.col("settled") | F.col("repeat"))
     shared = told.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where("n > 1 and not all")
-    parts = told.join(rows.small(shared.select("core")), "core", "left_semi")
+    parts = told.join(shared.select("core"), "core", "left_semi")
     parts = rows.written(parts.select("gram", "r.*", "settled"))
     rows.dropped(blocks)
 
@@ -311,6 +318,5 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, passag
     lists = ranges.unionByName(sharing).groupBy("k1", "k2").agg(F.collect_set("range").alias("ranges"), F.max("shares").alias("shares_passage"))
     lists = rows.written(lists)
     keyed, keys = docs.select("doc_id", "text", *rows.text_key()), ["k1", "k2"]
-    whole = keyed.join(rows.small(lists.select(*keys)), keys, "left_anti").select("*", F.lit(None).cast(lists.schema["ranges"].dataType).alias("ranges"), F.lit(0).alias("shares_passage"))
-    joined = _beside(keyed, lists, keys).select(*whole.columns).unionByName(whole)
+    joined = _beside(keyed, lists, keys, "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(0)))
     return joined.select("doc_id", "text", "ranges", "shares_passage").mapInArrow(_remove(depth), _OUT)
