@@ -203,7 +203,7 @@ def union_all(t):
     return export.union_columns(t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")), t.customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("m")))
 
 
-@query("u06_flattened_ids", "SELECT c_custkey, unnest([c_custkey, CAST(c_nationkey AS BIGINT) + 1000000]) AS id FROM customer")
+@query("u06_flattened_ids", "SELECT c_custkey, unnest([CAST(c_custkey AS INT), c_nationkey + 1000000]) AS id FROM customer")
 def flattened_ids(t):
     ids = text.id_list(F.concat_ws(",", "c_custkey", (F.col("c_nationkey") + 1000000).cast("string"), F.lit("x")))
     return t.customer.select("c_custkey", F.explode(ids).alias("id"))
