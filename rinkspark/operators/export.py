@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rinkspark.functions.codecs import total_inches
 from rinkspark.functions.text import split_pascal
 
 
@@ -27,6 +28,11 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(*[column(*leaf) for leaf in _leaves(df.schema)])
 
 
+def player_records(df: DataFrame, height: str = "height") -> DataFrame:
+    """Players as exports have them: the height is one number of inches, other structs are flattened."""
+    return flattened(df.withColumn(height, total_inches(F.col(height))))
+
+
 def seen_columns(df: DataFrame, ordinal: str) -> list[str]:
     """Columns that any row has a value in, in the order in which rows by ``ordinal`` first have one."""
     rest = [c for c in df.columns if c != ordinal]

@@ -225,6 +225,13 @@ def colours(t):
     return t.part.select("p_partkey", codecs.hex_colour(part("p_partkey % 256"), part("p_size"), part("p_partkey % 7")).alias("colour"))
 
 
+@query("p06_export_records", "SELECT p_partkey, p_size AS height, p_brand AS \"look.brand\" FROM part")
+def export_records(t):
+    height = F.struct(F.expr("cast(p_size div 12 as int)").alias("feet"), (F.col("p_size") % 12).alias("inches"))
+    rows = t.part.select("p_partkey", height.alias("height"), F.struct(F.col("p_brand").alias("brand")).alias("look"))
+    return export.player_records(rows)
+
+
 @query("p10_prefixed_columns", "SELECT o_orderkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
 def prefixed_columns(t):
     return t.orders.select(*clusters.feature_columns(t.orders, "o_order"))
