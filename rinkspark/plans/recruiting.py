@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rinkspark.operators import recruitment
 from rinkspark.plans.registered import Queries
+from rinkspark.session import checkpoints
 from rinkspark.sources import writers
 
 QUERIES = query = Queries()
@@ -60,9 +61,7 @@ def lineage(t):
 
 def _checkpointed(df):
     """Lineage rounds read their edges again and again; they are cut off in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,6 +17,16 @@ def session(master: str = "local[*]", name: str = "rinkspark", **conf: str) -> S
     return builder.getOrCreate()
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the folder that lineage is cut off in: the one that the session names, or where all runs in one process a local one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
+
+
 class Dataset:
     """Named tables of one folder: ``data.orders`` or ``data["orders"]``, read when asked for.
 
