@@ -45,7 +45,8 @@ def lineage(edges: DataFrame, roots: DataFrame | None = None, checkpoint: bool =
     Each round joins the frontier to the players' recruits ``hops`` times in one plan, takes out what
     was seen and cuts the plan off, so cycles end and depth costs few rounds. A recruiter on a cycle
     reaches itself again, and counts. ``roots`` restricts the recruiters; only members that recruit
-    as players have recruits of their own.
+    as players have recruits of their own. The list grows with the depth; for counts and sums of all
+    recruiters take ``lineage.totals``.
     """
     by = ["category", "recruiter_key", "user_id"]
     seen = edges.select(*by, "username").withColumn("depth", F.lit(1))
@@ -72,10 +73,15 @@ def lineage(edges: DataFrame, roots: DataFrame | None = None, checkpoint: bool =
 
 
 def tallies(edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
-    """(category, recruiter_key, users, tpe[, lineage_users, lineage_tpe]) of each recruiter."""
+    """(category, recruiter_key, users, tpe[, lineage_users, lineage_tpe]) of each recruiter.
+
+    ``reached`` has the totals of ``lineage.totals``, or the members that ``lineage`` lists.
+    """
     out = edges.groupBy("category", "recruiter_key").agg(F.count(F.lit(1)).alias("users"), F.sum("career_tpe").alias("tpe"))
     if reached is None:
         return out
+    if "lineage_users" in reached.columns:
+        return out.join(reached, ["category", "recruiter_key"], "left")
     tpe = edges.groupBy("user_id").agg(F.first("career_tpe").alias("career_tpe"))
     down = reached.join(tpe, "user_id").groupBy("category", "recruiter_key").agg(F.countDistinct("user_id").alias("lineage_users"), F.sum("career_tpe").alias("lineage_tpe"))
     return out.join(down, ["category", "recruiter_key"], "left")

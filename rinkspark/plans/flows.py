@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rinkspark.functions.codecs import position_short
 from rinkspark.functions.vectors import normalised
-from rinkspark.operators import clusters, latest, recruitment
+from rinkspark.operators import clusters, latest, lineage, recruitment
 from rinkspark.operators.search import position_filter
 from rinkspark.session import Dataset
 from rinkspark.sources import writers
@@ -143,12 +143,12 @@ def player_summary(players: DataFrame) -> DataFrame:
 
 
 def recruitment_tables(players: DataFrame, users: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, members reached) of the stored tables: one pass for the latest TPE, one for the owners."""
+    """(edges, lineage totals) of the stored tables: one pass for the latest TPE, one for the owners."""
     tpe = latest.latest(events, ["player_id"], ["task_date"], ["total_tpe"]).withColumnRenamed("total_tpe", "latest_tpe")
     rows = latest.with_value(players, tpe, ["player_id"], "latest_tpe")
     members = users.select("name", F.col("user_id").alias("ordinal"))
     edges = recruitment.classified(recruitment.consolidated(rows), members)
-    return edges, recruitment.lineage(edges)
+    return edges, lineage.totals(edges)
 
 
 def recruitment_flow(context: Context) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rinkspark.operators import recruitment
+from rinkspark.operators import lineage, recruitment
 from rinkspark.plans.registered import Queries
 from rinkspark.session import checkpoints
 from rinkspark.sources import writers
@@ -54,9 +54,9 @@ WITH RECURSIVE e AS (SELECT * FROM {_EDGES}),
 
 
 @query("a09_lineage", f"{_REACH} SELECT r.category, r.recruiter_key, count(*) AS lineage_users, CAST(sum(career_tpe) AS BIGINT) AS lineage_tpe FROM r JOIN (SELECT user_id, career_tpe FROM e) USING (user_id) GROUP BY ALL")
-def lineage(t):
+def lineage_totals(t):
     edges = _checkpointed(_edges(t))
-    return recruitment.tallies(edges, recruitment.lineage(edges)).select("category", "recruiter_key", "lineage_users", "lineage_tpe")
+    return recruitment.tallies(edges, lineage.totals(edges)).select("category", "recruiter_key", "lineage_users", "lineage_tpe")
 
 
 def _checkpointed(df):
@@ -76,6 +76,23 @@ def tree(t):
     return recruitment.tree(edges, "GOOGLE", 4).select("user_id", "parent_id", "depth", "subtree_users", "subtree_tpe")
 
 
+def _nested(depth: int) -> str:
+    """SQL of one recruiter's lineage as a JSON document, so many levels deep."""
+    doc = """'{"userId":' || coalesce(CAST(user_id AS VARCHAR), 'null') || ',"name":"' || username || '","category":' || category || ',"careerTpe":' || career_tpe || ',"subtreeUsers":' || users || ',"subtreeCareerTpe":' || tpe || ',"recruited":[' || inside || ']}'"""
+    levels = ["l1 AS (SELECT *, CAST(NULL AS BIGINT) AS parent_id FROM e WHERE recruiter_key = 'Google')"]
+    levels += [f"l{d} AS (SELECT e.*, l{d - 1}.user_id AS parent_id FROM l{d - 1} JOIN e ON e.category = 0 AND lower(e.recruiter_key) = lower(l{d - 1}.username))" for d in range(2, depth + 1)]
+    levels += ["l0 AS (SELECT CAST(NULL AS BIGINT) AS user_id, 'Google' AS username, 1 AS category, 0 AS career_tpe, CAST(NULL AS BIGINT) AS parent_id)", f"n{depth} AS (SELECT *, 0 AS users, 0 AS tpe, '' AS inside FROM l{depth})"]
+    for d in range(depth, 0, -1):
+        levels += [f"i{d} AS (SELECT parent_id AS p, string_agg({doc}, ',' ORDER BY career_tpe DESC, lower(username), user_id) AS inside, sum(users + 1) AS users, sum(tpe + career_tpe) AS tpe FROM n{d} GROUP BY parent_id)"]
+        levels += [f"n{d - 1} AS (SELECT l{d - 1}.*, coalesce(users, 0) AS users, coalesce(tpe, 0) AS tpe, coalesce(inside, '') AS inside FROM l{d - 1} LEFT JOIN i{d} ON l{d - 1}.user_id IS NOT DISTINCT FROM i{d}.p)"]
+    return f"WITH e AS (SELECT * FROM {_EDGES}), {', '.join(levels)} SELECT username AS recruiter_key, CAST(category AS INT) AS category, {doc} AS document FROM n0"
+
+
+@query("p08_nested_lineage", _nested(5))
+def nested_lineage(t):
+    return lineage.document(_checkpointed(_edges(t)), "gooGLE", 5)
+
+
 @query("t05_recruiters", f"SELECT * FROM (SELECT category, recruiter_key, count(*) AS users, CAST(sum(career_tpe) AS BIGINT) AS tpe FROM {_EDGES} GROUP BY ALL) ORDER BY tpe DESC, lower(recruiter_key), category LIMIT 25")
 def recruiters(t):
     return recruitment.in_order(recruitment.tallies(_edges(t)), "tpe", 25)
