@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOREVER = "9999-12-31 00:00:00"
 
@@ -70,7 +74,13 @@ class Conflict(Exception):
 
 #: Buckets of a table that merges rewrite in parts.
 BUCKETS = 16
-_BUCKET = "_bucket"
+#: Rows of one file of a table kept in key order; a fuller one is split when it is next rewritten.
+FILE_ROWS = 1_000_000
+#: Seconds for which prune spares what no version names: a writer may be staging it.
+STAGING_SECONDS = 24 * 3600
+_BUCKET, _PART, _SPLIT = "_bucket", "_part", "_split"
+#: Under this name a pointer has the list of a table's files and their key ranges.
+_FILES = "~"
 
 
 class Store:
@@ -79,8 +89,8 @@ class Store:
     Writers stage any number of tables in a fresh folder; ``publish`` makes them current with one
     rename to the next number. A pointer is never changed or replaced, so readers see all of one
     version, a failed stage leaves the last one current, and of two writers that read the same version
-    one gets a ``Conflict``. Merged tables are kept in buckets of their keys, and a merge rewrites
-    only the buckets that it touches.
+    one gets a ``Conflict``. Merged tables are kept in buckets of their keys, or in files of disjoint
+    ranges in an order of their keys, and a merge rewrites only the buckets or files that it touches.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -110,11 +120,30 @@ class Store:
     def _latest(self) -> int | None:
         return max(self.versions(), default=None)
 
+    def _read(self, entry: dict[str, str] | None) -> DataFrame | None:
+        if entry and _FILES in entry:
+            where = [r.file for r in self.spark.read.parquet(entry[_FILES]).select("file").collect()]
+        else:
+            where = [w for b, w in (entry or {}).items() if b != "#"]
+        return self.spark.read.parquet(*where).drop("change", _BUCKET, _PART, _SPLIT) if where else None
+
     def read(self, name: str, version: int | None = None) -> DataFrame | None:
         """A table as the last version has it, or one before."""
-        where = self._tables(self._latest() if version is None else version).get(name)
-        folders = [w for b, w in (where or {}).items() if b != "#"]
-        return self.spark.read.parquet(*folders).drop("change", _BUCKET) if folders else None
+        return self._read(self._tables(self._latest() if version is None else version).get(name))
+
+    def files(self, name: str, version: int | None = None) -> DataFrame:
+        """(file, lo, hi, n) of a table in key order: each file's least and greatest key, and its rows."""
+        return self.spark.read.parquet(self._tables(self._latest() if version is None else version)[name][_FILES])
+
+    def read_between(self, name: str, low, high, version: int | None = None) -> DataFrame:
+        """Rows of a table in key order whose first ordered column lies between two values, from the files that can hold such."""
+        files = self.files(name, version)
+        first = files.schema["lo"].dataType.names[0]
+        kind = self.read(name, version).schema[first].dataType
+        ends = [_ordinal(F.lit(x).cast(kind), kind) for x in (low, high)]
+        where = [r.file for r in files.where((F.col(f"hi.{first}") >= ends[0]) & (F.col(f"lo.{first}") <= ends[1])).collect()]
+        rows = self.spark.read.parquet(*where).drop("change", _PART, _SPLIT) if where else self.read(name, version).limit(0)
+        return rows.where(F.col(first).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
 
     def _move(self, version: int | None, tables: dict[str, dict[str, str]]) -> None:
         fresh = self._Path(f"{self.path}/.{uuid.uuid4().hex}")
@@ -129,46 +158,184 @@ class Store:
                 raise Conflict(f"version {(version or 0) + 1} is there") from e
             raise
 
+    def change(self) -> Change:
+        """A change of any number of tables, based on the last version."""
+        return Change(self)
+
     def publish(self, tables: dict[str, DataFrame]) -> None:
         """Writes all tables, then makes them current at once; other tables keep their version."""
-        version, folder = self._latest(), f"{self.path}/{uuid.uuid4().hex}"
-        now = self._tables(version)
+        change = self.change()
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
-            now[name] = {"": f"{folder}/{name}"}
-        self._move(version, now)
+            change.put(name, df)
+        change.publish()
 
     def merge(self, name: str, source: DataFrame, keys: list[str], compared: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
         """Merges ``source`` (one row a key) into a table of buckets and publishes it; returns counts by change.
 
         Only buckets that have keys of the source are read and rewritten. The first merge makes the table.
         """
-        version, folder = self._latest(), f"{self.path}/{uuid.uuid4().hex}"
-        tables = self._tables(version)
-        now = dict(tables.get(name, {}))
-        if "" in now:
+        change = self.change()
+        counts = change.merge(name, source, keys, compared, buckets)
+        change.publish()
+        return counts
+
+    def merge_ordered(self, name: str, source: DataFrame, keys: list[str], by: list[str], compared: list[str] | None = None, rows: int = FILE_ROWS) -> DataFrame:
+        """Merges ``source`` into a table whose files are ranges of the keys in the order of ``by``, and publishes it.
+
+        With the time first, a batch of recent rows rewrites the last files, however long the table is.
+        """
+        change = self.change()
+        counts = change.merge_ordered(name, source, keys, by, compared, rows)
+        change.publish()
+        return counts
+
+    def _folders(self, version: int) -> set[str]:
+        """Names of the folders that a version needs."""
+        needed = set()
+        for entry in self._tables(version).values():
+            where = {w for b, w in entry.items() if b != "#"}
+            if _FILES in entry:
+                where |= {r.file for r in self.spark.read.parquet(entry[_FILES]).select("file").collect()}
+            needed |= {w.split(f"{self.path}/", 1)[-1].split("/", 1)[0] for w in where}
+        return needed
+
+    def prune(self, keep: int = 2, staging: float = STAGING_SECONDS) -> None:
+        """Deletes all but the last ``keep`` versions and the folders that only those had.
+
+        A folder that no version has may be a writer's that hasn't published yet: it goes once nothing
+        has been staged in it for ``staging`` seconds. The folders of versions that another prune
+        deleted go at that age too.
+        """
+        versions = self.versions()
+        used = set().union(*(self._folders(v) for v in versions[-keep:]))
+        ended = set().union(*(self._folders(v) for v in versions[:-keep]))
+        for v in versions[:-keep]:
+            self._fs.delete(self._Path(self._pointer(v)), False)
+        for f in self._fs.listStatus(self._Path(self.path)):
+            name, age = f.getPath().getName(), time.time() - f.getModificationTime() / 1000
+            if f.isDirectory() and name not in used and (name in ended or age > staging):
+                self._fs.delete(f.getPath(), True)
+
+
+def _ordinal(value: Column, kind: T.DataType) -> Column:
+    """``value`` as something whose order Python and Spark agree on: moments as microseconds, dates as days."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), value)
+    return F.unix_date(value) if isinstance(kind, T.DateType) else value
+
+
+def _key(df: DataFrame, by: list[str]) -> Column:
+    return F.struct(*(_ordinal(F.col(c), df.schema[c].dataType).alias(c) for c in by))
+
+
+def _comparable(key) -> tuple:
+    """A key for Python to compare; nulls come first, as in Spark."""
+    return tuple((v is not None, v) for v in key)
+
+
+def _located(source: DataFrame, by: list[str], least: list[tuple]) -> DataFrame:
+    """``source`` with the number of the file that each row belongs to: the last that begins at or before its key, or the first."""
+    schema = T.StructType([*source.schema.fields, T.StructField(_PART, T.IntegerType())])
+    if len(least) < 2:
+        return source.withColumn(_PART, F.lit(0))
+
+    def number(batches):
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("_key")).to_pylist()
+            found = [max(0, bisect.bisect_right(least, _comparable(k.values())) - 1) for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int32())], [*batch.schema.names[:-1], _PART])
+
+    return source.withColumn("_key", _key(source, by)).mapInArrow(number, schema)
+
+
+class Change:
+    """Tables staged on top of one version of a store, published together."""
+
+    def __init__(self, store: Store):
+        self.store, self.version = store, store._latest()
+        self.tables, self.folder = store._tables(self.version), f"{store.path}/{uuid.uuid4().hex}"
+
+    def _touch(self) -> None:
+        """A new file in the staging folder, so that its age counts from now."""
+        self.store._fs.create(self.store._Path(f"{self.folder}/.staged-{uuid.uuid4().hex}"), True).close()
+
+    def read(self, name: str) -> DataFrame | None:
+        """A table as it is with what has been staged."""
+        return self.store._read(self.tables.get(name))
+
+    def put(self, name: str, df: DataFrame) -> None:
+        """A whole table."""
+        self._touch()
+        df.write.parquet(f"{self.folder}/{name}")
+        self.tables[name] = {"": f"{self.folder}/{name}"}
+
+    def merge(self, name: str, source: DataFrame, keys: list[str], compared: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+        """What ``Store.merge`` does, staged."""
+        now = dict(self.tables.get(name, {}))
+        if "" in now or _FILES in now:
             raise ValueError(f"{name} has no buckets")
+        self._touch()
         buckets = int(now.get("#", buckets))
         place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
         touched = {str(r[0]) for r in source.select(place).distinct().collect()}
         there = [now[b] for b in sorted(touched & now.keys())]
-        target = self.spark.read.schema(source.schema).parquet(*there) if there else source.limit(0)
+        target = self.store.spark.read.schema(source.schema).parquet(*there) if there else source.limit(0)
         result = merged(target, source, keys, compared).withColumn(_BUCKET, place)
-        result.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{folder}/{name}")
-        now |= {b: f"{folder}/{name}/{_BUCKET}={b}" for b in touched}
-        self._move(version, tables | {name: now | {"#": str(buckets)}})
-        return changes(self.spark.read.parquet(f"{folder}/{name}"))
+        result.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.folder}/{name}")
+        now |= {b: f"{self.folder}/{name}/{_BUCKET}={b}" for b in touched}
+        self.tables[name] = now | {"#": str(buckets)}
+        return changes(self.store.spark.read.parquet(f"{self.folder}/{name}"))
 
-    def prune(self, keep: int = 2) -> None:
-        """Deletes all but the last ``keep`` versions, and the folders that none of those has."""
-        versions = self.versions()
-        used = {w for v in versions[-keep:] for parts in self._tables(v).values() for w in parts.values()}
-        for v in versions[:-keep]:
-            self._fs.delete(self._Path(self._pointer(v)), False)
-        for f in self._fs.listStatus(self._Path(self.path)):
-            where = f.getPath()
-            if f.isDirectory() and not any(f"/{where.getName()}/" in w for w in used):
-                self._fs.delete(where, True)
+    def merge_ordered(self, name: str, source: DataFrame, keys: list[str], by: list[str], compared: list[str] | None = None, rows: int = FILE_ROWS) -> DataFrame:
+        """What ``Store.merge_ordered`` does, staged.
+
+        ``by`` is an order of the keys. Each source row belongs to one file by the files' least keys,
+        which the driver holds, one a file; only the files found are read, joined to their rows and
+        written again, those that would hold more than ``rows`` in several. Ranges stay disjoint.
+        """
+        entry, spark = self.tables.get(name, {}), self.store.spark
+        if entry and _FILES not in entry:
+            raise ValueError(f"{name} isn't in key order")
+        if sorted(by) != sorted(keys):
+            raise ValueError("the order must be one of the keys")
+        self._touch()
+        before = spark.read.parquet(entry[_FILES]).orderBy("lo").collect() if entry else []
+        located = _located(source, by, [_comparable(r.lo) for r in before])
+        arriving = {r[_PART]: r.n for r in located.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}
+        size = {p: n + (before[p].n if before else 0) for p, n in arriving.items()}
+        for several in (False, True):
+            parts = [p for p, n in size.items() if (n > rows) == several]
+            if not parts:
+                continue
+            incoming = located if len(parts) == len(size) else located.where(F.col(_PART).isin(parts))
+            if before:
+                there = spark.createDataFrame([(before[p].file, p) for p in parts], f"_file string, {_PART} int")
+                old = spark.read.schema(source.schema).parquet(*(before[p].file for p in parts)).select("*", F.col("_metadata.file_path").alias("_file"))
+                old = old.join(F.broadcast(there), "_file").drop("_file").select(*located.columns)
+            else:
+                old = located.limit(0)
+            result = merged(old, incoming, [*keys, _PART], compared)
+            pieces = sum(-(-size[p] // rows) for p in parts)
+            dealt = result.repartitionByRange(pieces, _PART, *by) if several else result.repartition(_PART)
+            where = f"{self.folder}/{name}/{_SPLIT}={int(several)}"
+            dealt.sortWithinPartitions(_PART, *by).write.option("maxRecordsPerFile", rows).partitionBy(_PART).parquet(where)
+        if not size:
+            return changes(merged(source, source, keys))
+        made = spark.read.parquet(f"{self.folder}/{name}")
+        key = _key(made, by)
+        files = made.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
+        if before:
+            gone = spark.createDataFrame([(before[p].file,) for p in size], "file string")
+            files = files.unionByName(spark.read.parquet(entry[_FILES]).join(F.broadcast(gone), "file", "left_anti"))
+        files.coalesce(1).write.parquet(f"{self.folder}/{name}-files")
+        self.tables[name] = {_FILES: f"{self.folder}/{name}-files"}
+        return changes(made)
+
+    def publish(self) -> None:
+        """Makes all that was staged current at once."""
+        self.store._move(self.version, self.tables)
 
 
 def in_stages(store: Store, stages: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]]) -> None:

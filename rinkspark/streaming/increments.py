@@ -80,20 +80,40 @@ def seasons_to_fetch(stored: DataFrame, last: int, season: str = "season") -> li
     return recent_seasons(last) if known else None
 
 
-def overlap_stream(source: DataFrame, store: merge.Store, table: str, key: str, at: str, ordinal: str, checkpoint: str, days: int = OVERLAP_DAYS):
+def overlap_change(store: merge.Store, table: str, incoming: DataFrame, key: str, at: str, ordinal: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS) -> None:
+    """Merges a batch into a store table under each key's overlap and publishes one version.
+
+    The table is kept in files by time and key, so a batch of recent rows rewrites the last ones. Each
+    key's last moment is a table of its own beside it, ``<table>_last``: a cutoff needs no look at the rest.
+    """
+    change = store.change()
+    last = change.read(f"{table}_last")
+    kept = incoming
+    if last is not None:
+        cutoff = last.select(key, (F.col("last") - F.expr(f"interval {days} days")).alias("cutoff"))
+        kept = incoming.join(cutoff, key, "left").where(F.col("cutoff").isNull() | (F.col(at) >= F.col("cutoff"))).drop("cutoff")
+    new = latest.last_wins(kept, [key, at], ordinal).drop(ordinal).persist()
+    try:
+        change.merge_ordered(table, new, [key, at], [at, key], rows=rows)
+        moments = new.groupBy(key).agg(F.max(at).alias("last"))
+        if last is not None:
+            moments = moments.join(last.withColumnRenamed("last", "_last"), key, "left").select(key, F.greatest("last", "_last").alias("last"))
+        change.merge(f"{table}_last", moments, [key])
+        change.publish()
+    finally:
+        new.unpersist()
+
+
+def overlap_stream(source: DataFrame, store: merge.Store, table: str, key: str, at: str, ordinal: str, checkpoint: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS):
     """Merges a stream's batches into a store table under its overlap; runs what is there and stops.
 
     The overlap is a key's own, not a watermark of the whole stream, so no key loses rows because
-    another is ahead. Each batch publishes one version.
+    another is ahead. Each batch publishes one version; one that is run again changes nothing.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        stored = store.read(table)
-        if stored is None:
-            first = latest.last_wins(df, [key, at], ordinal).drop(ordinal)
-            store.publish({table: first})
-            return
-        store.publish({table: overlap_merged(stored, df, key, at, ordinal, days).drop("change")})
+        if not df.isEmpty():
+            overlap_change(store, table, df, key, at, ordinal, days, rows)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
