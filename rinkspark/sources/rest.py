@@ -1,14 +1,24 @@
-"""REST endpoints as a data source: one partition a request, throttled and retried in the reader."""
+"""REST endpoints as a data source: a few lanes of requests, throttled and retried in the reader.
+
+The sites ask for one rate and burst for all that comes from here, however many executors there are.
+So requests are dealt to ``parallel`` lanes, a partition each, and a lane has its part of the rate: no
+number of task slots makes more. What is left of the burst is kept by the driver, from one read to the
+next: a read takes what is there, and a long one leaves a debt that the next waits for. A task that is
+run again, as after a lost executor, begins without a burst. Speculative execution would ask twice at a
+time and has to be off.
+"""
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -73,41 +83,63 @@ def fetch(url: str) -> str:
         return answer.read().decode()
 
 
-#: One bucket a Python worker and rate: all requests of the worker's tasks go through it.
-_buckets: dict[tuple[float, float], Bucket] = {}
+class Ledger:
+    """What is left of the burst that a site allows, as the driver has given it out; below zero, requests still to come."""
+
+    def __init__(self, size: float, rate: float, clock: Callable[[], float] = time.monotonic):
+        self.size, self.rate, self.clock, self.lock = size, rate, clock, threading.Lock()
+        self.tokens, self.at = size, clock()
+
+    def reserve(self, n: int) -> float:
+        """Books ``n`` requests; returns the tokens that there were before."""
+        with self.lock:
+            now = self.clock()
+            self.tokens = min(self.size, self.tokens + (now - self.at) * self.rate)
+            self.at = now
+            before = self.tokens
+            self.tokens -= n
+            return before
+
 
+#: A ledger a site, rate and burst.
+_ledgers: dict[tuple[str, float, float], Ledger] = {}
 
-def shared_bucket(size: float, rate: float) -> Bucket:
-    return _buckets.setdefault((size, rate), Bucket(size, rate))
 
+class _Lane(InputPartition):
+    """Requests that follow one another: (url, place) of each, the rate, and the tokens to begin with."""
 
-class _Request(InputPartition):
-    def __init__(self, url: str):
-        super().__init__(url)
+    def __init__(self, urls: list[tuple[str, int]], rate: float, tokens: float):
+        super().__init__(urls)
+        self.rate, self.tokens = rate, tokens
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, get: Callable[[str], str]):
         self.urls, self.get = json.loads(options["urls"]), get
-        # as many workers as requests run at a time share the burst and the rate
-        parallel = max(1, int(options.get("parallel", 1)))
-        self.size, self.rate = max(1.0, float(options.get("burst", BUCKET)) / parallel), float(options.get("rate", PER_SECOND)) / parallel
+        self.parallel = max(1, int(options.get("parallel", 1)))
+        self.rate, self.tokens = float(options.get("rate", PER_SECOND)), float(options.get("tokens", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Request(u) for u in self.urls]
+        lanes = min(self.parallel, max(1, len(self.urls)))
+        return [_Lane([(u, i) for i, u in enumerate(self.urls)][k::lanes], self.rate / lanes, self.tokens / lanes) for k in range(lanes)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        bucket, url = shared_bucket(self.size, self.rate), partition.value
+        context = TaskContext.get()
+        again = context is not None and context.attemptNumber() > 0
+        bucket = Bucket(max(1.0, partition.tokens), partition.rate)
+        bucket.tokens = min(0.0, partition.tokens) if again else partition.tokens
+
+        for url, place in partition.value:
 
-        def ask() -> str:
-            bucket.take()
-            return self.get(url)
+            def ask(url: str = url) -> str:
+                bucket.take()
+                return self.get(url)
 
-        yield url, retried(ask)
+            yield url, retried(ask), place
 
 
 class RestSource(DataSource):
-    """(url, body) of the listed requests."""
+    """(url, body, place) of the listed requests, ``place`` from zero on in the order of the list."""
 
     get: Callable[[str], str] = staticmethod(fetch)
 
@@ -116,7 +148,7 @@ class RestSource(DataSource):
         return "rest"
 
     def schema(self) -> str:
-        return "url string, body string"
+        return "url string, body string, place int"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options), type(self).get)
@@ -135,11 +167,20 @@ def request_urls(base: str, endpoint: str, parameters: list[dict]) -> list[str]:
     return out
 
 
-def load(spark: SparkSession, base: str, endpoint: str, parameters: list[dict], source: type[RestSource] = RestSource, parallel: int = 8) -> DataFrame:
-    """(url, body) of an endpoint, ``parallel`` requests at a time sharing the rate."""
+def fetched(spark: SparkSession, urls: list[str], source: type[RestSource] = RestSource, parallel: int = 8, rate: float = PER_SECOND, burst: float = BUCKET) -> DataFrame:
+    """(url, body, place) of requests, ``parallel`` at a time sharing the rate.
+
+    The requests are booked here, once, so the frame is to be read once: write it before using it twice.
+    """
     spark.dataSource.register(source)
-    urls = request_urls(base, endpoint, parameters)
-    return spark.read.format(source.name()).options(urls=json.dumps(urls), parallel=str(parallel)).load()
+    site = urllib.parse.urlsplit(urls[0]).netloc if urls else ""
+    tokens = _ledgers.setdefault((site, burst, rate), Ledger(burst, rate)).reserve(len(urls))
+    return spark.read.format(source.name()).options(urls=json.dumps(urls), parallel=str(parallel), rate=str(rate), tokens=str(tokens)).load()
+
+
+def load(spark: SparkSession, base: str, endpoint: str, parameters: list[dict], source: type[RestSource] = RestSource, parallel: int = 8) -> DataFrame:
+    """(url, body, place) of an endpoint."""
+    return fetched(spark, request_urls(base, endpoint, parameters), source, parallel)
 
 
 def decoded(raw: DataFrame, schema: str) -> DataFrame:

@@ -80,13 +80,12 @@ def seasons_to_fetch(stored: DataFrame, last: int, season: str = "season") -> li
     return recent_seasons(last) if known else None
 
 
-def overlap_change(store: merge.Store, table: str, incoming: DataFrame, key: str, at: str, ordinal: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS) -> None:
-    """Merges a batch into a store table under each key's overlap and publishes one version.
+def staged_overlap(change: merge.Change, table: str, incoming: DataFrame, key: str, at: str, ordinal: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS) -> DataFrame:
+    """Stages a batch under each key's overlap; returns counts by change.
 
     The table is kept in files by time and key, so a batch of recent rows rewrites the last ones. Each
     key's last moment is a table of its own beside it, ``<table>_last``: a cutoff needs no look at the rest.
     """
-    change = store.change()
     last = change.read(f"{table}_last")
     kept = incoming
     if last is not None:
@@ -94,14 +93,21 @@ def overlap_change(store: merge.Store, table: str, incoming: DataFrame, key: str
         kept = incoming.join(cutoff, key, "left").where(F.col("cutoff").isNull() | (F.col(at) >= F.col("cutoff"))).drop("cutoff")
     new = latest.last_wins(kept, [key, at], ordinal).drop(ordinal).persist()
     try:
-        change.merge_ordered(table, new, [key, at], [at, key], rows=rows)
+        counts = change.merge_ordered(table, new, [key, at], [at, key], rows=rows)
         moments = new.groupBy(key).agg(F.max(at).alias("last"))
         if last is not None:
             moments = moments.join(last.withColumnRenamed("last", "_last"), key, "left").select(key, F.greatest("last", "_last").alias("last"))
         change.merge(f"{table}_last", moments, [key])
-        change.publish()
     finally:
         new.unpersist()
+    return counts
+
+
+def overlap_change(store: merge.Store, table: str, incoming: DataFrame, key: str, at: str, ordinal: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS) -> None:
+    """Merges a batch into a store table under each key's overlap and publishes one version."""
+    change = store.change()
+    staged_overlap(change, table, incoming, key, at, ordinal, days, rows)
+    change.publish()
 
 
 def overlap_stream(source: DataFrame, store: merge.Store, table: str, key: str, at: str, ordinal: str, checkpoint: str, days: int = OVERLAP_DAYS, rows: int = merge.FILE_ROWS):

@@ -149,14 +149,14 @@ def test_export_recipe(spark):
     assert flows.centroid_recipe(df, 2, "C").agg(F.sum("members")).first()[0] == 3
 
 
-def test_requests_of_a_worker_share_one_bucket():
-    reader = rest._Reader({"urls": "[]", "rate": "20", "burst": "2", "parallel": "1"}, lambda url: url)
-    rest._buckets.clear()
+def test_requests_of_a_lane_keep_its_part_of_the_rate():
+    reader = rest._Reader({"urls": json.dumps([f"u{i}" for i in range(12)]), "rate": "40", "tokens": "4", "parallel": "2"}, lambda url: url)
     import time
 
+    lanes = reader.partitions()
+    assert [[u for u, _ in lane.value] for lane in lanes] == [[f"u{i}" for i in range(k, 12, 2)] for k in range(2)]
     began = time.monotonic()
-    for i in range(6):
-        assert list(reader.read(rest._Request(f"u{i}"))) == [(f"u{i}", f"u{i}")]
+    assert list(reader.read(lanes[1])) == [(f"u{i}", f"u{i}", i) for i in range(1, 12, 2)]
     assert time.monotonic() - began >= 0.19  # two at once, four at 20 a second
     assert rest.request_urls("http://h", "roster", [{"id": 7, "season": 70}]) == ["http://h/teams/7/roster?season=70"]
 
