@@ -3,41 +3,103 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark.functions.vectors import hamming
+from rinkspark.session import checkpoints
 
 #: A reading is sure within this share of differing bits, and this far from any other label.
 DISTANCE = 0.18
 MARGIN = 0.02
-#: Templates go to every task; more of them than this are refused.
-TEMPLATES = 100_000
+#: Templates that a task holds at a time; more of them take more passes over the samples.
+TEMPLATES = 50_000
+#: Bitmaps of samples and templates whose distances a task holds at once.
+TILE = (256, 4096)
 GLYPH = (12, 20)
 LEAST_INK = 3
 
 
-def nearest(samples: DataFrame, templates: DataFrame, key: str, bits: int, distance: float = DISTANCE, margin: float = MARGIN) -> DataFrame:
+def _chunks(templates: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(ordinals, words, labels) of the templates in order, so many at a time; ordinals are not repeated."""
+    last = None
+    while True:
+        rest = templates if last is None else templates.where(F.col("ordinal") > last)
+        got = rest.orderBy("ordinal").limit(most).select("ordinal", "label", "words").collect()
+        if not got:
+            return
+        yield np.array([r.ordinal for r in got], np.int64), np.array([r.words for r in got], np.int64), [r.label for r in got]
+        last = got[-1].ordinal
+
+
+def _best(words: np.ndarray, own: np.ndarray | None, labels_of: np.ndarray | None, ordinals: np.ndarray, against: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row of ``words``: (distance, place) of the nearest template, and of the nearest of another label.
+
+    The first of equals counts. With ``own``, a template isn't held against itself, and other labels are
+    those that differ from the row's own, in ``labels_of``; the nearest of the row's own label comes third.
+    """
+    far = np.int64(1) << 40
+    n = len(words)
+    near, place, other, same = np.full(n, far), np.zeros(n, np.int64), np.full(n, far), np.full(n, far)
+    for lo in range(0, n, TILE[0]):
+        rows = slice(lo, lo + TILE[0])
+        apart = np.concatenate([np.bitwise_count((words[rows, None] ^ against[None, at : at + TILE[1]]).view(np.uint64)).sum(axis=2, dtype=np.int64) for at in range(0, len(against), TILE[1])], axis=1)
+        if own is not None:
+            apart[own[rows, None] == ordinals[None]] = far
+        best = apart.argmin(axis=1)
+        near[rows], place[rows] = apart[np.arange(len(best)), best], best
+        alike = labels[None] == (labels[best] if labels_of is None else labels_of[rows])[:, None]
+        other[rows] = np.where(alike, far, apart).min(axis=1)
+        if labels_of is not None:
+            same[rows] = np.where(alike, apart, far).min(axis=1)
+    return near, place, other, same
+
+
+_NEAREST = "words array<long>, score long, ordinal long, label string, other long"
+
+
+def _against(chunk: tuple[np.ndarray, np.ndarray, list[str]]):
+    ordinals, against, names = chunk
+    codes = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    labels = np.array([codes[x] for x in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                words = np.array(batch.column(0).to_pylist(), np.int64)
+                near, place, other, _ = _best(words, None, None, ordinals, against, labels)
+                other = pa.array(other, mask=other >= 1 << 40)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near), pa.array(ordinals[place]), pa.array([names[i] for i in place], pa.string()), other], ["words", "score", "ordinal", "label", "other"])
+
+    return run
+
+
+def nearest(samples: DataFrame, templates: DataFrame, key: str, bits: int, distance: float = DISTANCE, margin: float = MARGIN, most: int = TEMPLATES) -> DataFrame:
     """(key, label, score, other, confident) of each sample against ``templates(ordinal, label, words)``.
 
-    A stated set of templates against all samples: each sample meets each template once in its own
-    task, and the two best are kept in one aggregate a sample. Scores are shares of ``bits``; ties go
-    to the first template; ``other`` is the best score of a different label.
+    Equal bitmaps are compared once. Tasks hold up to ``most`` templates and take a pass over their
+    samples for each such part; a part leaves its nearest template and the nearest of another label than
+    that one's, which is enough to merge parts: the nearest of all is one of theirs, and what is nearest
+    under another label is a part's best, or its best but for the label. Scores are shares of ``bits``;
+    ties go to the first template; ``other`` is the best score of a different label. Without templates
+    there are no rows.
     """
-    if templates.count() > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
-    listed = templates.agg(F.sort_array(F.collect_list(F.struct("ordinal", "label", "words"))).alias("_templates"))
-    each = samples.join(F.broadcast(listed))
-    scored = F.transform("_templates", lambda t: F.struct((hamming(F.col("words"), t["words"]) / bits).alias("score"), t["ordinal"].alias("ordinal"), t["label"].alias("label")))
-    each = each.select(key, scored.alias("_s"))
-    best = F.array_min("_s")
-    each = each.select(key, best["label"].alias("label"), best["score"].alias("score"), "_s")
-    each = each.withColumn("other", F.array_min(F.transform(F.filter("_s", lambda t: t["label"] != F.col("label")), lambda t: t["score"])))
+    distinct = samples.select("words").distinct()
+    parts = [distinct.mapInArrow(_against(chunk), _NEAREST) for chunk in _chunks(templates, most)]
+    if not parts:
+        return samples.limit(0).select(key, F.lit("").alias("label"), F.lit(0.0).alias("score"), F.lit(0.0).alias("other"), F.lit(False).alias("confident"))
+    every = reduce(DataFrame.unionByName, parts)
+    first = F.min(F.struct("score", "ordinal", "label"))
+    each = every.groupBy("words").agg(first.alias("_b"), F.collect_list(F.struct("label", "score", "other")).alias("_p"))  # a row a part
+    others = F.transform("_p", lambda p: F.when(p["label"] != F.col("_b.label"), p["score"]).otherwise(p["other"]))
+    each = each.select("words", F.col("_b.label").alias("label"), (F.col("_b.score") / bits).alias("score"), (F.array_min(others) / bits).alias("other"))
     sure = (F.col("score") <= distance) & (F.col("other").isNull() | (F.col("other") - F.col("score") >= margin))
-    return each.select(key, "label", "score", "other", F.coalesce(sure, F.lit(False)).alias("confident"))
+    return samples.select(key, "words").join(each, "words").select(key, "label", "score", "other", F.coalesce(sure, F.lit(False)).alias("confident"))
 
 
 def read_regions(glyphs: DataFrame, region: str, place: str) -> DataFrame:
@@ -47,20 +109,42 @@ def read_regions(glyphs: DataFrame, region: str, place: str) -> DataFrame:
     return out.select(region, F.array_join(F.transform("_l", lambda x: x["label"]), "").alias("text"), "recognised", "worst")
 
 
-def leave_one_out(templates: DataFrame, bits: int) -> DataFrame:
+_LEFT_OUT = "ordinal long, label string, score long, place long, predicted string, same long, other long"
+
+
+def _left_out(chunk: tuple[np.ndarray, np.ndarray, list[str]]):
+    ordinals, against, names = chunk
+    codes = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    labels = np.array([codes[x] for x in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                own, own_labels = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                words = np.array(batch.column(2).to_pylist(), np.int64)
+                found = _best(words, own, np.array([codes.get(x, -1) for x in own_labels]), ordinals, against, labels)
+                gone = [pa.array(x, mask=x >= 1 << 40) for x in (found[0], found[3], found[2])]
+                columns = [batch.column(0), batch.column(1), gone[0], pa.array(ordinals[found[1]]), pa.array([names[i] for i in found[1]], pa.string()), *gone[1:]]
+                yield pa.RecordBatch.from_arrays(columns, ["ordinal", "label", "score", "place", "predicted", "same", "other"])
+
+    return run
+
+
+def leave_one_out(templates: DataFrame, bits: int, most: int = TEMPLATES) -> DataFrame:
     """(ordinal, label, predicted, same, other): each template against all the rest.
 
     ``same`` is the distance to the nearest other template of its label, ``other`` of another label.
+    Parts of the templates are merged as in ``nearest``.
     """
-    if templates.count() > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
-    listed = templates.agg(F.collect_list(F.struct("ordinal", "label", "words")).alias("_all"))
-    each = templates.join(F.broadcast(listed))
-    rest = F.filter("_all", lambda t: t["ordinal"] != F.col("ordinal"))
-    scored = F.transform(rest, lambda t: F.struct((hamming(F.col("words"), t["words"]) / bits).alias("d"), t["ordinal"].alias("o"), t["label"].alias("l")))
-    each = each.select("ordinal", "label", scored.alias("_s"))
-    least = lambda of: F.array_min(F.transform(F.filter("_s", of), lambda t: t["d"]))
-    return each.select("ordinal", "label", F.array_min("_s")["l"].alias("predicted"), least(lambda t: t["l"] == F.col("label")).alias("same"), least(lambda t: t["l"] != F.col("label")).alias("other"))
+    rows = templates.select(F.col("ordinal").cast("long").alias("ordinal"), "label", "words")
+    parts = [rows.mapInArrow(_left_out(chunk), _LEFT_OUT) for chunk in _chunks(templates, most)]
+    if not parts:
+        return rows.select("ordinal", "label", F.col("label").alias("predicted"), F.lit(0.0).alias("same"), F.lit(0.0).alias("other"))
+    every = reduce(DataFrame.unionByName, parts)
+    best = F.min(F.when(F.col("score").isNotNull(), F.struct("score", "place", "predicted")))
+    out = every.groupBy("ordinal", "label").agg(best.alias("_b"), F.min("same").alias("same"), F.min("other").alias("other"))
+    kind = templates.schema["ordinal"].dataType
+    return out.select(F.col("ordinal").cast(kind).alias("ordinal"), "label", F.col("_b.predicted").alias("predicted"), (F.col("same") / bits).alias("same"), (F.col("other") / bits).alias("other"))
 
 
 def evaluation(one_out: DataFrame) -> DataFrame:
@@ -87,18 +171,46 @@ def distinct_templates(templates: DataFrame) -> DataFrame:
     return templates.groupBy("label", "words").agg(F.min("ordinal").alias("ordinal")).select("ordinal", "label", "words")
 
 
-def thinned(templates: DataFrame, within: int) -> DataFrame:
-    """Templates of a label kept in order unless one kept before differs in at most ``within`` bits."""
+def neighbours(templates: DataFrame, within: int) -> DataFrame:
+    """(a, b): ordinals of templates of one label, ``a`` the first, whose bitmaps differ in 1 to ``within`` bits.
+
+    The bits are dealt to ``within + 1`` blocks, so that of two such bitmaps one block at least is equal;
+    pairs are joined on label and block and then counted out.
+    """
+    blocks = within + 1
+    mask = lambda w, j: sum(1 << b for b in range(64) if (64 * w + b) % blocks == j)
+    width = templates.agg(F.max(F.size("words"))).first()[0] or 0
+    signed = [[m - (1 << 64) if m >> 63 else m for m in (mask(w, j) for w in range(width))] for j in range(blocks)]
+    keys = [F.xxhash64(F.lit(j), *(F.col("words")[w].bitwiseAND(F.lit(m)) for w, m in enumerate(signed[j]))) for j in range(blocks)]
+    keyed = templates.select("ordinal", "label", "words", F.explode(F.array(*keys)).alias("k"))
+    later = keyed.select(F.col("ordinal").alias("b"), "label", F.col("words").alias("_w"), "k")
+    near = keyed.join(later, ["label", "k"]).where(F.col("ordinal") < F.col("b")).where(hamming(F.col("words"), F.col("_w")).between(1, within))
+    return near.select(F.col("ordinal").alias("a"), "b").distinct()
 
-    def thin(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        words = [np.array(w, np.uint64) for w in group.sort_values("ordinal")["words"]]
-        for i, w in enumerate(words):
-            if all(sum(int(x).bit_count() for x in w ^ words[j]) > within for j in kept):
-                kept.append(i)
-        return group.sort_values("ordinal").iloc[kept]
 
-    return templates.select("ordinal", "label", "words").groupBy("label").applyInPandas(thin, templates.select("ordinal", "label", "words").schema)
+def thinned(templates: DataFrame, within: int) -> DataFrame:
+    """Templates of a label kept in order unless one kept before differs in at most ``within`` bits.
+
+    Equal bitmaps go first. Then, in rounds over the neighbours: a template with no earlier neighbour
+    left stays, and its later neighbours go. That is the greedy choice in order, settled for all
+    templates at once that wait for nobody; a round needs one join, and there are as many as the longest
+    chain of templates that wait for each other.
+    """
+    checkpoints(templates.sparkSession)
+    first = distinct_templates(templates.select("ordinal", "label", "words"))
+    if within < 1:
+        return first
+    first = first.checkpoint()
+    edges = neighbours(first, within).checkpoint()
+    gone = edges.select(F.col("b").alias("ordinal")).limit(0)
+    while not edges.isEmpty():
+        waiting = edges.select(F.col("b").alias("a")).distinct()
+        lost = edges.join(waiting, "a", "left_anti").select(F.col("b").alias("ordinal")).distinct().checkpoint()
+        gone = gone.unionByName(lost).checkpoint()
+        kept = edges.join(waiting, "a", "left_anti").select("a").distinct()
+        edges = edges.join(kept, "a", "left_anti").join(lost.withColumnRenamed("ordinal", "a"), "a", "left_anti")
+        edges = edges.join(lost.withColumnRenamed("ordinal", "b"), "b", "left_anti").select("a", "b").checkpoint()
+    return first.join(gone, "ordinal", "left_anti").select("ordinal", "label", "words")
 
 
 def segments(ink: np.ndarray, least: int = LEAST_INK) -> list[np.ndarray]:

@@ -95,9 +95,15 @@ def eligible(t):
     return t.orders.where(increments.eligible(status, F.col("o_orderdate"), F.expr("timestamp_ntz'2000-06-01'"))).select("o_orderkey")
 
 
-@query("r06_settled_screens")
+@query("r06_settled_screens", """
+WITH RECURSIVE e AS (SELECT user_id AS source, event_id AS ordinal, CAST(floor(value / 20) AS BIGINT) * 1000003 AS hash, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ s(source, n, ordinal, last, candidate) AS (SELECT DISTINCT source, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM e
+  UNION ALL
+  SELECT source, n, CASE WHEN NOT old AND sure THEN ordinal END, CASE WHEN NOT old AND sure THEN hash ELSE last END, CASE WHEN old THEN candidate WHEN sure THEN NULL ELSE hash END FROM (
+   SELECT e.source, e.n, e.ordinal, e.hash, s.last, s.candidate, coalesce(bit_count(xor(e.hash, s.last)) <= 1, false) AS old, coalesce(bit_count(xor(e.hash, s.candidate)) <= 1, false) AS sure FROM s JOIN e ON e.source = s.source AND e.n = s.n + 1))
+SELECT source, ordinal FROM s WHERE ordinal IS NOT NULL""")
 def settled_screens(t):
-    frames = t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("ordinal"), F.xxhash64(F.floor(F.col("value") / 20)).alias("hash"))
+    frames = t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("ordinal"), (F.floor(F.col("value") / 20) * 1000003).alias("hash"))
     return screens.settled(frames)
 
 

@@ -40,10 +40,23 @@ def centroid(t):
     return clusters.centroids(rows, 64).select(F.round(F.col("centroid")[0].cast("double"), 5).alias("first"), F.round(F.col("centroid")[63].cast("double"), 5).alias("last"), "members")
 
 
-@query("l12_kmeans")
+_NEAREST = "list_sort(list_transform(range(1, 6), lambda j: {'d': CAST(list_sum(list_transform(range(1, 65), lambda i: (g[i] - c[j][i]) * (g[i] - c[j][i]))) AS BIGINT), 'j': j}))[1].j"
+
+
+@query("l12_kmeans", f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 65536) AS BIGINT)) AS g FROM embeddings),
+ s(n, c) AS (SELECT 0, list(g ORDER BY h, vec_id) FROM (SELECT g, vec_id, md5(vec_id || ':7') AS h FROM v ORDER BY h, vec_id LIMIT 5)
+  UNION ALL
+  SELECT n + 1, (SELECT list(coalesce(m.g, s.c[k.j]) ORDER BY k.j) FROM range(1, 6) k(j) LEFT JOIN (
+    SELECT j, list(CAST((t - ((t % w) + w) % w) // w AS BIGINT) ORDER BY i) AS g FROM (
+      SELECT j, i, sum(x) AS t, count(*) AS w FROM (SELECT j, unnest(g) AS x, unnest(range(1, 65)) AS i FROM (SELECT g, {_NEAREST} AS j FROM v, (SELECT s.c AS c))) GROUP BY j, i) GROUP BY j) m ON m.j = k.j) FROM s WHERE n < 6),
+ a AS (SELECT vec_id, embedding, {_NEAREST} AS cluster FROM v, (SELECT c FROM s WHERE n = 6)),
+ m AS (SELECT cluster, i, CAST(avg(CAST(embedding[i] AS DOUBLE)) AS FLOAT) AS x FROM a, range(1, 65) r(i) GROUP BY cluster, i),
+ d AS (SELECT cluster, vec_id, sum(pow(CAST(embedding[i] - x AS DOUBLE), 2)) AS d FROM a JOIN m USING (cluster) GROUP BY cluster, vec_id)
+SELECT CAST(cluster AS INT) AS cluster, count(*) AS members, arg_min(vec_id, (round(d, 9), vec_id)) AS medoid FROM d GROUP BY cluster""")
 def kmeans(t):
     rows = t.embeddings.select("vec_id", F.col("embedding").alias("features"))
-    return clusters.medoids(clusters.clustered(rows, 5, 7), 64, "vec_id", 5).select("cluster", "members", "medoid")
+    return clusters.medoids(clusters.lloyd(rows, 5, "vec_id", 7, rounds=6), 64, "vec_id", 5).select("cluster", "members", "medoid")
 
 
 _BITS = "list_transform(list_slice(embedding, 1, 63), lambda x: x > 0)"
@@ -87,6 +100,18 @@ def distinct_templates(t):
     return templates.distinct_templates(rows.select("ordinal", "label", vectors.sign_bits("v").alias("words"))).select("ordinal", "label")
 
 
+@query("v04_thinned_templates", f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, list_transform(list_slice(embedding, 1, 24), lambda x: x > 0) AS b, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+ s(label, n, vec_id, kept) AS (SELECT DISTINCT label, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BOOLEAN[][]) FROM v
+  UNION ALL
+  SELECT label, n, CASE WHEN fresh THEN vec_id END, CASE WHEN fresh THEN list_append(kept, b) ELSE kept END FROM (
+   SELECT v.label, v.n, v.vec_id, v.b, s.kept, len(list_filter(s.kept, lambda k: list_sum(list_transform(range(1, 25), lambda i: CASE WHEN v.b[i] <> k[i] THEN 1 ELSE 0 END)) <= 4)) = 0 AS fresh FROM s JOIN v ON v.label = s.label AND v.n = s.n + 1))
+SELECT vec_id AS ordinal, label FROM s WHERE vec_id IS NOT NULL""")
+def thinned_templates(t):
+    rows = t.embeddings.select(F.col("vec_id").alias("ordinal"), F.col("label").cast("string").alias("label"), F.expr("slice(embedding, 1, 24)").alias("v"))
+    return templates.thinned(rows.select("ordinal", "label", vectors.sign_bits("v").alias("words")), 4).select("ordinal", "label")
+
+
 @query("v06_routed", "SELECT o_orderkey, CAST(o_orderkey AS INT) AS speed, 'x ' || o_custkey AS birthplace FROM orders")
 def routed(t):
     row = lambda kind, name, first, second: t.orders.select("o_orderkey", F.lit(kind).alias("kind"), F.lit(name).alias("name"), first.alias("recognised"), second.alias("ocr"))
