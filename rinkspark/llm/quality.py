@@ -121,10 +121,12 @@ class Model:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares non-decreasing fit, by pooling adjacent violators."""
-    order = np.argsort(x, kind="stable")
+    at, own = np.unique(x, return_inverse=True)
+    weight = np.bincount(own, minlength=len(at)).astype(float)
+    mean = np.bincount(own, weights=y, minlength=len(at)) / weight  # equal scores are one point, in whatever order they came
     blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order]):
-        blocks.append([b, 1.0, a, a])
+    for a, b, n in zip(at, mean, weight, strict=True):
+        blocks.append([b, n, a, a])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             v, n, _, last = blocks.pop()
             u, m, first, _ = blocks.pop()
