@@ -28,6 +28,8 @@ BANDS = 40
 ROWS = 4
 #: Bytes of text handled at once.
 SLICE = 1 << 18
+#: Buckets of a set's histogram, which bounds how much two sets can share.
+BAGS = 128
 #: Members of a band's value up to which all its pairs are verified at once; beyond it stars come first.
 CROWD = 24
 
@@ -122,27 +124,32 @@ def _sets(words: int):
                 kept = np.ones(len(hashes), bool)
                 kept[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
                 begin = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=hi - lo))])
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _lists(hashes[kept], begin)], names=["node", "set"])
+                bags = np.bincount(owner[kept] * BAGS + (hashes[kept] % np.uint64(BAGS)).astype(np.int64), minlength=(hi - lo) * BAGS)
+                bags = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BAGS), pa.array(bags.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _lists(hashes[kept], begin), bags], names=["node", "set", "bag"])
 
     return find
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (u, v) whose sets have at least this Jaccard similarity."""
-    sizes = sets.select("node", "size")
-    pairs = pairs.distinct().join(sizes.select(F.col("node").alias("u"), F.col("size").alias("nu")), "u")
-    pairs = pairs.join(sizes.select(F.col("node").alias("v"), F.col("size").alias("nv")), "v").where(F.least("nu", "nv") / F.greatest("nu", "nv") >= similar)
+    """The pairs (u, v) whose sets have at least this Jaccard similarity; sizes nu and nv that pairs bring along have been compared."""
+    pairs = pairs.distinct()
+    if "nu" not in pairs.columns:
+        sizes = sets.select("node", "size")
+        pairs = pairs.join(sizes.select(F.col("node").alias("u"), F.col("size").alias("nu")), "u")
+        pairs = pairs.join(sizes.select(F.col("node").alias("v"), F.col("size").alias("nv")), "v").where(F.least("nu", "nv") / F.greatest("nu", "nv") >= similar)
     pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
     both = F.size(F.array_intersect("su", "sv"))
     return pairs.where(both / (F.col("nu") + F.col("nv") - both) >= similar).select("u", "v")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs (u, v) of ``nodes(node, root)`` with other roots: all that are similar, and few others.
+    """Pairs (u, v, nu, nv) of ``nodes(node, root)`` with other roots: all that are similar, and few others.
 
     With every set in one order, rare shingles first, similar sets share one of the first
     size - ceil(similar size) + 1 of each. A pair counts at the first that it shares, and only if what
-    comes after it in both sets can still make them similar.
+    comes after it in both sets can still make them similar, and the sets' histograms as well: two sets
+    share no more than the lesser counts of all buckets.
     """
     each = nodes.join(sets, "node").select("node", "root", "size", F.explode("set").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
@@ -152,11 +159,12 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFram
     head = rows.written(head.select("*", F.posexplode("head").alias("at", "h")))
     # a shingle whose sets are all of one root tells nothing
     across = head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    head = head.join(rows.small(across), "h")
-    other = head.select("h", F.col("node").alias("v"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("head").alias("heads"), F.col("at").alias("place"))
+    head = head.join(rows.small(across), "h").join(sets.select("node", "bag"), "node")
+    other = head.select("h", F.col("node").alias("v"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("head").alias("heads"), F.col("at").alias("place"), F.col("bag").alias("bags"))
     pairs = head.join(other, "h").where("node < v and root <> r").where(F.least("size", "n") / F.greatest("size", "n") >= similar)
     pairs = pairs.where(f"least(size - at, n - place) >= {similar / (1 + similar)}D * (size + n) - 1e-6D").where("get(array_intersect(head, heads), 0) = h")
-    return pairs.select(F.col("node").alias("u"), "v")
+    pairs = pairs.where(f"aggregate(zip_with(bag, bags, (a, b) -> least(a, b)), 0, (s, x) -> s + x) >= {similar / (1 + similar)}D * (size + n) - 1e-6D")
+    return pairs.select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), F.col("n").alias("nv"))
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -187,8 +195,8 @@ def links(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: float
     needed = rows.written(needed)
     n_needed = needed.count()
     rows.bounded_batches(docs.sparkSession)
-    sets = docs.select("text").mapInArrow(_sets(words), "node long, set array<long>").join(rows.small(needed, n_needed), "node").dropDuplicates(["node"])
-    sets = rows.written(sets.select("node", F.size("set").alias("size"), "set"))
+    sets = docs.select("text").mapInArrow(_sets(words), "node long, set array<long>, bag array<int>").join(rows.small(needed, n_needed), "node").dropDuplicates(["node"])
+    sets = rows.written(sets.select("node", F.size("set").alias("size"), "set", "bag"))
     first = rows.written(_similar(close, sets, similar))
     members = rows.written(members.join(components(first), "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
     few = members.where(f"n <= {CROWD}").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
