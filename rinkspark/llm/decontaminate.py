@@ -6,16 +6,17 @@ blocks (ten of at most seven bits, one wrong bit allowed in a block) find every
 size within 19 bits, by the pigeonhole principle; the exact similarity of the shingles, weighted by
 how often each occurs, decides.
 
-A window that shares no shingle with any item has similarity zero, so windows start only at shared
-shingles: sliding a window right up to its first shared shingle, or to the end of the text, never
-lowers its similarity, and no document loses its best window. Shared shingles come from one join of
-all places of all texts with the benchmark's shingles: by broadcast in the scan itself while the
-benchmark is small, else by shuffle of hashes alone, after which the texts that hold one are read again.
+Most texts hold too few of an item's shingles for any window to reach the similarity; one count by text
+and item finds those that don't, in one scan of all places of all texts. The rest are read again, equal
+texts once. Windows start only at shared shingles: sliding a window right up to its first shared
+shingle, or to the end of the text, never lowers its similarity, and no document loses its best window.
+Counts of shared shingles and of fingerprint bits are running sums over a text's places, so that a text
+and an item cost as many rows as they have words, however long they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinkspark.llm import rows
@@ -57,31 +58,88 @@ def _item_keys(items: DataFrame) -> DataFrame:
     return items.select("size", "item_id", "fp", F.explode(F.expr(f"concat({', '.join(near)})")).alias("k")).select("size", "k.block", "k.value", "item_id", "fp")
 
 
-def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, hashes, fp, weights) of the items that have words."""
-    items = benchmark.select("item_id", F.expr(_words()).alias("w")).select("item_id", F.expr(_shingles("w")).alias("hashes"))
-    items = items.where("size(hashes) > 0").distinct()
-    weights = "map_from_entries(transform(array_distinct(hashes), h -> struct(h, size(filter(hashes, x -> x = h)))))"
-    return items.select("item_id", F.size("hashes").alias("size"), "hashes", F.expr(_simhash("hashes")).alias("fp"), F.expr(weights).alias("weights"))
-
-
 def _made(df: DataFrame, expression: str, name: str) -> DataFrame:
     """``df`` with a column that is computed once: a generator keeps its expression from being inlined."""
     return df.select("*", F.explode(F.array(F.expr(expression))).alias(name))
 
 
-def _anchors(hashed: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
-    """(doc_id, hashes, p, h) of the places p of ``hashed(doc_id, text, hashes)`` that hold a known shingle."""
-    if n_known <= KNOWN_SHINGLES:
-        at = hashed.select("doc_id", "hashes", F.posexplode("hashes").alias("p", "h"))
-        return at.join(F.broadcast(known), "h").select("doc_id", "hashes", "p", "h")
-    keys = ["id", "k1", "k2"]
-    keyed = hashed.select(F.col("doc_id").alias("id"), *rows.text_key(), "hashes")
-    hits = keyed.select(*keys, F.posexplode("hashes").alias("p", "h")).join(known, "h").distinct()
-    hits = rows.written(hits.groupBy(*keys).agg(F.collect_list(F.struct("p", "h")).alias("at")))
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2"))
-    there = keyed.join(rows.small(hits.toDF("i", "l1", "l2", "at")), same)
-    return there.select(F.col("id").alias("doc_id"), "hashes", F.explode("at").alias("a")).select("doc_id", "hashes", "a.p", "a.h")
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with the shingles of its ``text`` in place of it."""
+    kept = [c for c in df.columns if c != "text"]
+    return _made(_made(df, _words(), "w"), _shingles("w"), "hashes").select(*kept, "hashes")
+
+
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, size, hashes, fp) of the items that have words."""
+    items = _hashed(benchmark.select("item_id", "text")).where("size(hashes) > 0").distinct()
+    return items.select("item_id", F.size("hashes").alias("size"), "hashes", F.expr(_simhash("hashes")).alias("fp"))
+
+
+#: A text, by two hashes of it: equal texts are worked on once.
+_TEXT = ["k1", "k2"]
+
+
+def _able(share: float) -> Column:
+    """How many of a window's shingles must be the item's for the similarity; ``m`` is the window's size."""
+    return share / (1 + share) * (F.col("size") + F.col("m")) - 1e-6
+
+
+def _pairs(docs: DataFrame, shingles: DataFrame, n_shingles: int, similar: float) -> DataFrame:
+    """(id, k1, k2, n, i): documents with enough of an item's shingles, wherever they are."""
+    keyed = _hashed(docs.select(F.col("doc_id").alias("id"), *rows.text_key(), "text")).select("id", *_TEXT, F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    sizes = shingles.select("h", "i", "size")
+    both = keyed.join(F.broadcast(sizes) if n_shingles <= KNOWN_SHINGLES else sizes, "h")
+    counted = both.groupBy("id", *_TEXT, "n", "i", "size").agg(F.count(F.lit(1)).alias("c"))
+    m = F.least("n", "size")
+    # a text shorter than the item is one clipped window; under a part of it none reaches the similarity
+    return counted.withColumn("m", m).where((F.col("c") >= _able(similar)) & (F.col("m") / F.col("size") >= similar)).select("id", *_TEXT, "n", "i")
+
+
+def _windows(places: DataFrame, pairs: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
+    """(k1, k2, i, size, m, start, both): windows that start at shared shingles and hold enough of them.
+
+    ``both`` is the weight that window and item share: of the places with one shingle a window counts as
+    many as the item has. A place so counts in the windows that hold it but not the place as many
+    occurrences before, which is one range of starts, and running sums over the ends of all ranges give
+    every start its count.
+    """
+    pair = pairs.select(*_TEXT, "n", "i").distinct()
+    at = places.join(rows.small(shingles), "h").join(rows.small(pair), [*_TEXT, "i"]).select(*_TEXT, "i", "n", "size", "weight", "h", "p")
+    each = at.groupBy(*_TEXT, "i", "n", "size", "weight", "h").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    each = each.select(*_TEXT, "i", "n", "size", F.posexplode("ps").alias("x", "p"), "ps", "weight")
+    each = each.withColumn("q", F.when(F.col("x") >= F.col("weight"), F.expr("ps[x - weight]")).otherwise(-1)).drop("ps", "x", "weight")
+    clip = lambda c: F.greatest(F.lit(0), c)
+    event = lambda start, both, count, asked: F.struct(start.alias("start"), F.lit(both).alias("db"), F.lit(count).alias("dc"), F.lit(asked).alias("asked"))
+    first = F.col("p") - F.col("size") + 1
+    ends = [event(clip(F.greatest(F.col("q") + 1, first)), 1, 0, False), event(clip(first), 0, 1, False), event(F.col("p") + 1, -1, -1, False)]
+    ends.append(event(clip(F.least(F.col("p"), F.col("n") - F.col("size"))), 0, 0, True))
+    moves = each.select(*_TEXT, "i", "n", "size", F.explode(F.array(*ends)).alias("e")).select(*_TEXT, "i", "n", "size", "e.*")
+    # as many rows a start as it has kinds of ends, before they are put in order
+    moves = moves.groupBy(*_TEXT, "i", "n", "size", "start").agg(F.sum("db").alias("db"), F.sum("dc").alias("dc"), F.bool_or("asked").alias("asked"))
+    so_far = Window.partitionBy(*_TEXT, "i").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    run = moves.withColumn("both", F.sum("db").over(so_far)).withColumn("count", F.sum("dc").over(so_far)).where("asked")
+    run = run.withColumn("m", F.least("n", "size"))
+    return run.where(F.col("count") >= _able(similar)).select(*_TEXT, "i", "size", "m", "start", "both")
+
+
+def _fingerprints(places: DataFrame, windows: DataFrame) -> DataFrame:
+    """(k1, k2, start, size, m, fp): the majority fingerprint of each window, by running counts of all bits.
+
+    Two counts share a number of 64 bits; a window's counts are the difference between its ends.
+    """
+    bits = [F.expr(f"(shiftrightunsigned(h, {2 * k}) & 1L) + shiftleft(shiftrightunsigned(h, {2 * k + 1}) & 1L, 32)") for k in range(32)]
+    ends = windows.select(*_TEXT, F.explode(F.array("start", F.col("start") + F.col("m"))).alias("at")).distinct()
+    none = [F.lit(0).cast("long").alias(f"c{k}") for k in range(32)]
+    steps = places.join(rows.small(windows.select(*_TEXT).distinct()), _TEXT, "left_semi")
+    steps = steps.select(*_TEXT, (F.col("p") + 1).alias("at"), *(b.alias(f"c{k}") for k, b in enumerate(bits)), F.lit(False).alias("asked"))
+    every = steps.unionByName(ends.select(*_TEXT, "at", *none, F.lit(True).alias("asked")))
+    so_far = Window.partitionBy(*_TEXT).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    sums = every.select(*_TEXT, "at", "asked", F.array(*(F.sum(f"c{k}").over(so_far) for k in range(32))).alias("sums")).where("asked").drop("asked")
+    begin = windows.select(*_TEXT, "start", "size", "m").distinct().join(sums.withColumnRenamed("at", "start").withColumnRenamed("sums", "b"), [*_TEXT, "start"])
+    both = begin.withColumn("at", F.col("start") + F.col("m")).join(sums.withColumnRenamed("sums", "e"), [*_TEXT, "at"])
+    halves = [(k, f"(e[{k}] - b[{k}]) & 4294967295L", f"shiftrightunsigned(e[{k}] - b[{k}], 32)") for k in range(32)]
+    fp = " | ".join(f"shiftleft(cast(2 * ({low}) > m as bigint), {2 * k}) | shiftleft(cast(2 * {high} > m as bigint), {2 * k + 1})" for k, low, high in halves)
+    return both.select(*_TEXT, "start", "size", "m", F.expr(fp).alias("fp"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -91,45 +149,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     best window's, ``start`` the first word (from 0) of the first such window, ``n_windows`` how many
     windows pass. Words are runs of letters and digits, lower-cased. Null and empty texts have none;
     texts with fewer words than the item are one window of their own size, held against the whole
-    item; long texts are one array of words. Repeated rows give one result an id; a null id is a value like any other. Either
-    table may be empty.
+    item; long texts are one array of words. Repeated rows give one result an id; a null id is a value like any other. Each
+    item is a row of its own, whatever others reach; items of one id are held together. Either table may be empty.
     """
-    items = rows.written(benchmark_items(benchmark))
-    longest = items.agg(F.max("size")).first()[0]
-    if longest is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_windows long")
-    hashed = _made(_made(docs.select("doc_id", "text"), _words(), "w"), _shingles("w"), "hashes").select("doc_id", "text", "hashes")
+    items = rows.written(benchmark_items(benchmark).withColumn("i", F.monotonically_increasing_id()))
     n_items = items.count()
-    # the sizes of the items that a shingle is from, to know how long a window starts at it
-    sizes = rows.written(items.select(F.explode("hashes").alias("h"), "size").distinct())
-    n_sizes = sizes.count()
-    known = rows.written(sizes.select("h").distinct())
-    # the item-sized window's shingles are at most ``longest`` from the shared one on, or at the end
-    near = f"slice(hashes, greatest(1, least(p, size(hashes) - {longest}) + 1), {longest})"
-    anchors = _anchors(hashed, known, known.count()).select("doc_id", "p", "h", F.expr("size(hashes)").alias("n"), F.expr(near).alias("near"))
-    # near starts at nearest; the window of ``size`` shingles starts at p, or earlier where the text ends
-    windows = anchors.join(rows.small(sizes, n_sizes), "h").select(
-        "doc_id",
-        F.expr("greatest(0, least(p, n - size))").alias("start"),
-        F.expr(f"greatest(0, least(p, n - {longest}))").alias("nearest"),
-        "size",
-        "near",
-    )
-    windows = windows.select("doc_id", "start", "size", F.expr("slice(near, start - nearest + 1, size)").alias("window"))
-    # a text shorter than the item is one clipped window; under this length none reaches the similarity
-    windows = windows.where(F.size("window") / F.col("size") >= similar)
-    windows = windows.select("doc_id", "start", "window", "size", F.expr(_simhash("window")).alias("fp"))
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_windows long")
+    if not n_items:
+        return empty
+    shingles = rows.written(items.select("i", "size", F.explode("hashes").alias("h")).groupBy("i", "size", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")))
+    pairs = rows.written(_pairs(docs, shingles, shingles.count(), similar))
+    # the texts that can hold an item are read again, each once
+    texts = rows.small(pairs.select(*_TEXT).distinct())
+    again = docs.select(*rows.text_key(), "text").join(texts, _TEXT, "left_semi").groupBy(*_TEXT).agg(F.first("text").alias("text"))
+    places = rows.written(_hashed(again).select(*_TEXT, F.posexplode("hashes").alias("p", "h")))
+    windows = rows.written(_windows(places, pairs, shingles, similar))
+    marked = rows.written(_fingerprints(places, windows))
     blocks = ", ".join(f"struct({i} as block, {_block(i)} as value)" for i in range(BLOCKS))
-    probes = windows.select("*", F.explode(F.expr(f"array({blocks})")).alias("k")).select("doc_id", "start", "window", "size", "fp", "k.block", "k.value")
-    keys = _item_keys(items).withColumnRenamed("fp", "item_fp")
+    probes = marked.select("*", F.explode(F.expr(f"array({blocks})")).alias("k")).select(*_TEXT, "start", "size", "fp", "k.block", "k.value")
+    keys = _item_keys(items.withColumn("item_id", F.col("i"))).withColumnRenamed("fp", "item_fp").withColumnRenamed("item_id", "i")
     near = probes.join(rows.small(keys, n_items * 72), ["size", "block", "value"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")
-    near = near.drop("block", "value", "fp", "item_fp")
-    # of both sides' weights the lesser sum to ``both``, the greater to the rest of the two sizes
-    both = "aggregate(map_entries(weights), 0L, (n, e) -> n + least(e.value, size(filter(window, h -> h = e.key))))"
-    checked = near.join(rows.small(items.select("item_id", "weights"), n_items), "item_id").select("doc_id", "item_id", "start", (F.col("size") + F.size("window")).alias("sizes"), F.expr(both).alias("both"))
-    checked = checked.select("doc_id", "item_id", "start", (F.col("both") / (F.col("sizes") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= similar)
+    near = near.select(*_TEXT, "start", "i").distinct()
+    checked = near.join(windows, [*_TEXT, "start", "i"]).withColumn("similarity", F.col("both") / (F.col("size") + F.col("m") - F.col("both"))).where(F.col("similarity") >= similar)
+    found = checked.join(rows.small(items.select("i", "item_id"), n_items), "i").join(pairs.select("id", *_TEXT, "i"), [*_TEXT, "i"])
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
-    return checked.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"), F.countDistinct("start").alias("n_windows"))
+    return found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("similarity").alias("similarity"), best.alias("start"), F.countDistinct("start").alias("n_windows"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
