@@ -114,7 +114,7 @@ def view(t):
     return ranklist.view(e, "P1", [1, 2, 3], "name", "board_id").select("board_id", "player_id")
 
 
-@query("t13_member_order", "SELECT c_custkey FROM customer ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END DESC, lower(c_name), c_custkey LIMIT 30")
+@query("t13_member_order", "SELECT c_custkey FROM customer ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END DESC, lower(c_name), c_custkey")
 def member_order(t):
     level = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0)
-    return t.customer.orderBy(level.desc(), F.lower("c_name"), "c_custkey").limit(30).select("c_custkey")
+    return t.customer.orderBy(level.desc(), F.lower("c_name"), "c_custkey").select("c_custkey")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkspark.operators import latest, search
-from rinkspark.plans import boards, ingest, league_queries, more_queries, parsers, recruiting, shapes, stats
+from rinkspark.plans import boards, ingest, league_queries, more_queries, parsers, recruiting, shapes, stats, surface
 from rinkspark.plans.registered import Queries
 
-_PARTS = (league_queries, more_queries, boards, ingest, parsers, recruiting, shapes, stats)
+_PARTS = (league_queries, more_queries, boards, ingest, parsers, recruiting, shapes, stats, surface)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

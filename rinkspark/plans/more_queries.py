@@ -293,10 +293,10 @@ def both_sides(t):
     return t.orders.select("o_orderkey", score(False, False).alias("home"), score(False, True).alias("away"), score(True, False).alias("home_two"), score(True, True).alias("away_two"))
 
 
-@query("e06_best_rated", "SELECT c_custkey, r AS rating FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS r FROM customer) ORDER BY r DESC NULLS LAST, c_custkey LIMIT 30")
+@query("e06_best_rated", "SELECT c_custkey, r AS rating FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) END AS r FROM customer) ORDER BY r DESC NULLS LAST, c_custkey")
 def best_rated(t):
     rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).alias("rating"))
-    return rows.orderBy(elo.by_rating(F.col("rating")), "c_custkey").limit(30)
+    return rows.orderBy(elo.by_rating(F.col("rating")), "c_custkey")
 
 
 # scouting

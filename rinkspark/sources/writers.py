@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +24,39 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"' if any(c in name for c in '",\r\n') else name
 
 
-def _write_merged(lines: DataFrame, path: str, head: str, end: str) -> None:
-    """One file of all lines, in the frame's order: tasks write parts, and the file system joins their bytes."""
+def _write_merged(lines: DataFrame, path: str, head: str, end: str, between: bool = False, tail: str = "") -> None:
+    """One file of all lines, in the frame's order: tasks write parts, and the file system joins their bytes.
+
+    ``end`` follows every line, or stands between two of them. Parts are written beside the file under
+    Spark's commit protocol and go once it is whole; where a task fails, nothing is left of either.
+    """
     spark = lines.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
-    lines.select("line").write.option("lineSep", end).text(parts.toString())
+    mark = uuid.uuid4().hex
+    target, parts, whole = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.parts-{mark}", f"{path}.whole-{mark}"))
     fs = target.getFileSystem(conf)
     fs.setWriteChecksum(False)
     try:
-        out = fs.create(target, True)
+        lines.select("line").write.option("lineSep", end).text(parts.toString())
+        out = fs.create(whole, True)
         out.write(head.encode())
-        named = [f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-")]
-        for part in sorted(named, key=lambda p: int(p.getName().split("-")[1].split(".")[0])):
-            read = fs.open(part)
-            jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+        named = [f for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-") and f.getLen()]
+        named.sort(key=lambda f: int(f.getPath().getName().split("-")[1].split(".")[0]))
+        for i, part in enumerate(named):
+            read = fs.open(part.getPath())
+            last = between and i == len(named) - 1
+            some = jvm.org.apache.commons.io.input.BoundedInputStream(read, part.getLen() - len(end.encode())) if last else read
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, conf, False)
             read.close()
+        out.write(tail.encode())
         out.close()
+        fs.delete(target, False)
+        if not fs.rename(whole, target):
+            raise OSError(f"{path} can't be replaced")
     finally:
-        fs.setWriteChecksum(True)
         fs.delete(parts, True)
+        fs.delete(whole, False)
+        fs.setWriteChecksum(True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -62,14 +76,19 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
 
+def _indented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [json.dumps(json.loads(x), indent=2, ensure_ascii=False) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
+
+
 def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
-    """An array of objects; rows stream through the driver."""
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, row in enumerate(json_lines(df).toLocalIterator()):
-            text = json.dumps(json.loads(row.line), indent=2, ensure_ascii=False) if pretty else row.line
-            out.write(("," if i else "") + ("\n" if pretty else "") + text)
-        out.write("\n]" if pretty else "]")
+    """An array of objects, in the frame's order; rows are written, and indented, by the tasks."""
+    lines = json_lines(df)
+    if pretty:
+        _write_merged(lines.mapInArrow(_indented, "line string"), path, "[\n", ",\n", True, "\n]")
+    else:
+        _write_merged(lines, path, "[", ",", True, "]")
 
 
 def dot_graph(edges: DataFrame, name: str = "recruitment", directed: bool = True) -> DataFrame:

@@ -36,6 +36,20 @@ def test_exports(spark, tmp_path):
     assert json.loads((tmp_path / "e.json").read_text())[0] == {"n": 1, "s": {"a": 5, "b": None}}
 
 
+def test_json_is_written_by_tasks_or_not_at_all(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('é",\n'), "id")).alias("t")).repartitionByRange(7, "n").sortWithinPartitions("n")
+    want = [{"n": i, "t": f'é",\n{i}' if i % 3 else None} for i in range(200)]
+    for pretty in (False, True):
+        writers.write_json(df, str(tmp_path / "a.json"), pretty)
+        assert json.loads((tmp_path / "a.json").read_text("utf-8")) == want
+        writers.write_json(df.limit(0), str(tmp_path / "b.json"), pretty)
+        assert json.loads((tmp_path / "b.json").read_text()) == []
+    broken = df.withColumn("t", F.when(F.col("n") == 150, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_json(broken, str(tmp_path / "c.json"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"]
+
+
 def test_stored_once(spark):
     new = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "content_hash string, n int")
     got = writers.stored_once(new, spark.createDataFrame([("b", 0)], "content_hash string, n int"), "content_hash", ["n"]).collect()
