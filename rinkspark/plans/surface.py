@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark import api
-from rinkspark.operators import clusters, merge, templates
+from rinkspark.operators import clusters, merge, rosters, templates
 from rinkspark.plans import flows
 from rinkspark.plans.registered import Queries
 from rinkspark.plans.stats import _BITS, _HAM, _signs
@@ -136,3 +136,22 @@ def fallback(t):
     recognised = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string"))
     fields = t.orders.select("o_orderkey", F.lit("attribute").alias("kind"), F.lit("speed").alias("name"), recognised.alias("recognised"), (F.col("o_orderkey") % 50 + 7).cast("string").alias("ocr"))
     return templates.routed(fields, "o_orderkey").select("o_orderkey", F.col("attributes")["speed"].alias("speed"))
+
+
+@query("j20_player_names", "SELECT c_custkey, a.p_name AS first, b.p_name AS surname, CAST(NULL AS VARCHAR) AS common FROM customer LEFT JOIN part a ON a.p_partkey = c_custkey * 3 LEFT JOIN part b ON b.p_partkey = CASE WHEN c_custkey % 4 > 0 THEN c_nationkey ELSE -1 END")
+def player_names(t):
+    surname = F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey")).otherwise(rosters.NOBODY)
+    players = t.customer.select("c_custkey", (F.col("c_custkey") * 3).alias("first_id"), surname.alias("surname_id"), F.lit(rosters.NOBODY).alias("common_id"))
+    return rosters.resolved(players, {"first_id": "first", "surname_id": "surname", "common_id": "common"}, t.part, "p_partkey", "p_name").select("c_custkey", "first", "surname", "common")
+
+
+@query("j20_line_slots", """
+WITH l AS (SELECT s_suppkey, [s_suppkey, -1, s_suppkey + 1, s_suppkey * 2, 5, -1] AS forwards, [s_nationkey, s_suppkey * 9] AS goalies, [[1, 0, 0, 1, 1], [0]] AS locks FROM supplier),
+ u AS (SELECT s_suppkey, 'forwards' AS situation, unnest(forwards) AS identity, unnest(range(6)) AS slot, 3 AS size, locks[1] AS k FROM l UNION ALL SELECT s_suppkey, 'goalies', unnest(goalies), unnest(range(2)), 1, locks[2] FROM l)
+SELECT s_suppkey, situation, CAST(slot AS INT) AS slot, CAST(slot // size AS INT) AS unit, CAST(slot % size AS INT) AS place, k[slot + 1] = 1 AS locked, c_name AS player FROM u LEFT JOIN customer ON c_custkey = identity AND identity <> -1""")
+def line_slots(t):
+    key = F.col("s_suppkey")
+    none = F.lit(rosters.NOBODY).cast("long")
+    lines = t.supplier.select("s_suppkey", F.array(key, none, key + 1, key * 2, F.lit(5).cast("long"), none).alias("forwards"), F.array(F.col("s_nationkey").cast("long"), key * 9).alias("goalies"), F.lit([[1, 0, 0, 1, 1], [0]]).alias("locks"))
+    each = rosters.units(rosters.slots(lines, "s_suppkey", ["forwards", "goalies"], "locks"), {"forwards": 3, "goalies": 1})
+    return rosters.resolved(each, {"identity": "player"}, t.customer, "c_custkey", "c_name").drop("identity")

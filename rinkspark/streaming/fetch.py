@@ -123,3 +123,30 @@ class FetchMerge:
         finally:
             query.stop()
         return len(urls)
+
+
+CRAWLED = "source string, requests long, worked_off long, watermark timestamp, error string"
+
+
+def crawl(spark: SparkSession, store: merge.Store, sources: dict[str, tuple[FetchMerge, list[str]]], checkpoints: str, admitted: int = ADMITTED) -> DataFrame:
+    """Works off several sources' lists, one after another; returns the store's table of how far each is.
+
+    The table ``crawl(source, requests, worked_off, watermark, error)`` has a row a source: the watermark
+    is the last moment that its table holds. A source that fails leaves its error there and what it has
+    published before, and holds back no other; called again, it goes on where it stopped, and sources
+    that are done ask for nothing.
+    """
+    for name, (run, urls) in sources.items():
+        error = None
+        try:
+            run.run(spark, urls, f"{checkpoints}/{name}", admitted)
+        except Exception as e:  # whatever a source raises is its own: it is recorded, and the next one runs
+            error = str(e).strip().splitlines()[0][:500] if str(e).strip() else type(e).__name__
+        change = store.change()
+        last = change.read(f"{run.table}_last")
+        watermark = last.agg(F.max("last").cast("timestamp").alias("m")).first().m if last is not None else None
+        total = change.read(f"{run.table}_requests")
+        asked = total.where(F.col("run") == run.run_name).count() if total is not None else len(urls)
+        change.merge("crawl", spark.createDataFrame([(name, asked, run.progress(change), watermark, error)], CRAWLED), ["source"])
+        change.publish()
+    return store.read("crawl")

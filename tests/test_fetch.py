@@ -87,3 +87,33 @@ def test_runs_go_on_where_the_store_is(spark, tmp_path):
     assert len(store.versions()) == versions
     second = fetch.FetchMerge(store, "tpe", "second", decode, "player_id", "task_date", "ordinal", site, 2, rate=10_000.0, burst=1000.0)
     assert second.run(spark, urls[5:7], str(tmp_path / "cp2")) == 2 and store.read("tpe").count() == len(want)
+
+
+def test_a_failing_source_holds_back_no_other(spark, tmp_path):
+    for name in ("a", "b"):
+        os.makedirs(tmp_path / name)
+    broken = tmp_path / "broken"
+    broken.touch()
+
+    def answer(url):
+        n = int(url.rsplit("/", 1)[1])
+        if "bad" in url and n == 4 and os.path.exists(broken):
+            raise ValueError("out of order")
+        return json.dumps([{"pid": n, "task_date": (DAY + datetime.timedelta(days=n)).isoformat(), "total_tpe": n}])
+
+    def decode(raw):
+        return rest.decoded(raw, "pid:bigint,task_date:timestamp,total_tpe:int").selectExpr("pid AS player_id", "task_date", "total_tpe", "total_tpe AS ordinal")
+
+    store, sources = merge.Store(spark, str(tmp_path / "store")), {}
+    for name, kind in (("a", "bad"), ("b", "good")):
+        site = _site(str(tmp_path / name), f"crawled_{kind}", answer)
+        run = fetch.FetchMerge(store, f"tpe_{kind}", "first", decode, "player_id", "task_date", "ordinal", site, 2, flush_rows=2, rate=10_000.0, burst=1000.0)
+        sources[kind] = run, [f"http://{kind}{tmp_path}/{n}" for n in range(6)]
+    first = {r.source: r for r in fetch.crawl(spark, store, sources, str(tmp_path / "cp"), admitted=2).collect()}
+    assert (first["bad"].worked_off, first["bad"].watermark) == (4, DAY + datetime.timedelta(days=3)) and "order" in first["bad"].error or first["bad"].error
+    assert (first["good"].requests, first["good"].worked_off, first["good"].error) == (6, 6, None)
+    broken.unlink()
+    asked = len(_asked(tmp_path / "b"))
+    second = {r.source: (r.worked_off, r.watermark, r.error) for r in fetch.crawl(spark, store, sources, str(tmp_path / "cp"), admitted=2).collect()}
+    assert second == {k: (6, DAY + datetime.timedelta(days=5), None) for k in ("bad", "good")}
+    assert store.read("tpe_bad").count() == 6 and len(_asked(tmp_path / "b")) == asked
