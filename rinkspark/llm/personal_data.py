@@ -28,7 +28,8 @@ CONFIDENT = 0.8
 ACCEPT = 0.8
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Begun only where a run of digits begins, and never given back: what a run doesn't start, no later digit of it does.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -111,8 +112,9 @@ def unknowns(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, in
             joined[-1] = joined[-1][0], b, True
         elif number or _DIGIT.search(word) or "@" in word:
             joined.append((a, b, number))
+    found = rows.Taken(taken)
     for a, b, _ in joined:
-        if (len(_DIGIT.findall(text, a, b)) >= 4 or "@" in text[a + 1 : b - 1]) and not any(x < b and a < y for _, x, y in taken):
+        if (len(_DIGIT.findall(text, a, b)) >= 4 or "@" in text[a + 1 : b - 1]) and not found.touches(a, b):
             out.append((a, b))
     return out
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import bisect
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -145,3 +147,13 @@ def is_held_out(column: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(True))
 
 
+class Taken:
+    """Spans of one text, asked whether any touches a stretch, in the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts, self.furthest = [a for a, _ in ordered], list(itertools.accumulate((b for _, b in ordered), max))
+
+    def touches(self, lo: int, hi: int) -> bool:
+        before = bisect.bisect_left(self.starts, hi)
+        return before > 0 and self.furthest[before - 1] > lo

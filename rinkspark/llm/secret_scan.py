@@ -23,8 +23,6 @@ from rinkspark.llm import rows
 KINDS = ("assign", "access", "hex")
 #: Labelled credentials to learn a kind from, the first by hash of the distinct values.
 LABELLED = 400
-#: Candidate tokens that the mix of classes is counted from, the first by hash.
-BACKGROUND = 2000
 #: Characters of the longest labelled credentials that are learnt from; longer ones are not in the sample.
 LONGEST = 512
 ALPHA = 0.05
@@ -59,7 +57,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
 
     Dots at a token's ends are punctuation. The search goes from digits, which prose has few of.
     """
-    out, end = [], 0
+    out, end, spans = [], 0, rows.Taken(taken)
     for m in _DIGITS.finditer(text):
         if m.start() < end:
             continue
@@ -71,7 +69,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
             lo += 1
         while text[hi - 1] == ".":
             hi -= 1
-        if hi - lo >= SHORTEST and any(c.isalpha() for c in text[lo:hi]) and not any(a < hi and lo < b for _, a, b in taken):
+        if hi - lo >= SHORTEST and any(c.isalpha() for c in text[lo:hi]) and not spans.touches(lo, hi):
             out.append((lo, hi))
     return out
 
@@ -166,8 +164,7 @@ class Automaton:
 class Formats:
     """The automata of all kinds, with the mix of classes they are held against."""
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str]):
-        mix = Counter("".join(map(symbols, background)))
+    def __init__(self, labelled: dict[str, list[str]], mix: Counter):
         every = sum(mix.values()) + 16
         self.mix = {s: math.log((n + 1) / every) for s, n in mix.items()}
         self.rare = math.log(1 / every)
@@ -209,6 +206,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(base, _BASE), pa.array(found, _FOUND)], names=["row", "doc_id", "base", "found"])
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a task's candidates have each class of characters."""
+    total: Counter = Counter()
+    for batch in batches:
+        for found in batch.column(0).to_pylist():
+            for f in found:
+                total.update(symbols(f["value"]))
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["class", "n"])
+
+
 def _first(values: DataFrame, n: int) -> list[str]:
     return [r.value for r in values.distinct().orderBy(F.xxhash64("value"), "value").limit(n).collect()]
 
@@ -218,8 +225,11 @@ def learn(scanned: DataFrame) -> Formats:
     short = F.length("value") <= LONGEST
     labels = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(short)
     labelled = {k: _first(labels.where(F.col("kind") == k).select("value"), LABELLED) for k in KINDS}
-    tokens = scanned.select(F.explode("found").alias("f")).select("f.value").where(short)
-    return Formats(labelled, _first(tokens, BACKGROUND) + [w for k in KINDS for w in labelled[k][:50]])
+    # the mix counts every character of every candidate; a row a class comes to the driver
+    counted = scanned.select("found").mapInArrow(_classes, "class string, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+    mix = Counter({r["class"]: r.n for r in counted})
+    mix.update("".join(symbols(w) for k in KINDS for w in labelled[k]))
+    return Formats(labelled, mix)
 
 
 def _score(formats: Formats):

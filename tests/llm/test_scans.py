@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
-from rinkspark.llm import personal_data, secret_scan
+from rinkspark.llm import personal_data, rows, secret_scan
 
 
 def _naive_secrets(text):
@@ -88,7 +89,7 @@ def test_automata_merge_states_and_prefer_their_format():
     automaton = secret_scan.Automaton(words)
     assert len(automaton.states) < 30
     assert automaton.score("dddd-hhhh") > automaton.score("hhhh-dddd")
-    assert secret_scan.Formats({}, []).kind("abcdefgh12345678ABCD") is None
+    assert secret_scan.Formats({}, Counter()).kind("abcdefgh12345678ABCD") is None
 
 
 def test_personal_query_keeps_base_spans_and_bootstraps(docs_of):
@@ -241,3 +242,28 @@ def test_empty_tables(docs_of):
     assert secret_scan.scan(empty).count() == 0
     assert personal_data.scan(empty).count() == 0
     assert personal_data.masked(empty).count() == 0
+
+
+def test_long_runs_and_many_spans_take_seconds():
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123.. a") for _ in range(rng.randint(0, 40)))
+        assert [m.span() for m in personal_data._IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    spans = [("x", a, a + rng.randint(1, 30)) for a in sorted(rng.sample(range(4000), 300))]
+    taken = rows.Taken(spans)
+    for _ in range(3000):
+        lo = rng.randrange(4100)
+        hi = lo + rng.randint(1, 20)
+        assert taken.touches(lo, hi) == any(a < hi and lo < b for _, a, b in spans)
+    began = time.monotonic()
+    assert personal_data.base_spans("7" * 1_000_000) == []
+    many = "mail a1@b.cc or 12345x 10.0.0.1 token: abcdef1234 X9y8z7w6v5 " * 25_000
+    for found, rest in ((personal_data.base_spans, personal_data.unknowns), (secret_scan.base_spans, secret_scan.candidates)):
+        every = found(many)
+        assert len(every) >= 25_000 and len(rest(many, every)) >= 25_000
+    assert time.monotonic() - began < 40
