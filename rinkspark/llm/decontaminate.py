@@ -122,23 +122,24 @@ def _windows(places: DataFrame, pairs: DataFrame, shingles: DataFrame, similar:
     return run.where(F.col("count") >= _able(similar)).select(*_TEXT, "i", "size", "m", "start", "both")
 
 
-def _fingerprints(places: DataFrame, windows: DataFrame) -> DataFrame:
+def _fingerprints(places: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
     """(k1, k2, start, size, m, fp): the majority fingerprint of each window, by running counts of all bits.
 
-    Two counts share a number of 64 bits; a window's counts are the difference between its ends.
+    Several counts share a number, each as wide as the longest text needs, so that none runs over; a
+    window's counts are the difference between its ends.
     """
-    bits = [F.expr(f"(shiftrightunsigned(h, {2 * k}) & 1L) + shiftleft(shiftrightunsigned(h, {2 * k + 1}) & 1L, 32)") for k in range(32)]
+    wide, each = next((w, 63 // w) for w in (15, 21, 31) if longest < 1 << w)
+    parts = -(-64 // each)
+    spread = F.expr(f"transform(sequence(0, {parts - 1}), k -> aggregate(sequence(0, {each - 1}), 0L, (a, l) -> a + case when k * {each} + l < 64 then shiftleft(shiftrightunsigned(h, k * {each} + l) & 1L, l * {wide}) else 0L end))")
     ends = windows.select(*_TEXT, F.explode(F.array("start", F.col("start") + F.col("m"))).alias("at")).distinct()
-    none = [F.lit(0).cast("long").alias(f"c{k}") for k in range(32)]
-    steps = places.join(rows.small(windows.select(*_TEXT).distinct()), _TEXT, "left_semi")
-    steps = steps.select(*_TEXT, (F.col("p") + 1).alias("at"), *(b.alias(f"c{k}") for k, b in enumerate(bits)), F.lit(False).alias("asked"))
-    every = steps.unionByName(ends.select(*_TEXT, "at", *none, F.lit(True).alias("asked")))
+    steps = places.join(rows.small(windows.select(*_TEXT).distinct()), _TEXT, "left_semi").select(*_TEXT, (F.col("p") + 1).alias("at"), spread.alias("c"), F.lit(False).alias("asked"))
+    every = steps.unionByName(ends.select(*_TEXT, "at", F.lit(None).cast("array<bigint>").alias("c"), F.lit(True).alias("asked")))
     so_far = Window.partitionBy(*_TEXT).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    sums = every.select(*_TEXT, "at", "asked", F.array(*(F.sum(f"c{k}").over(so_far) for k in range(32))).alias("sums")).where("asked").drop("asked")
+    sums = every.select(*_TEXT, "at", "asked", F.array(*(F.coalesce(F.sum(F.get("c", F.lit(k))).over(so_far), F.lit(0)) for k in range(parts))).alias("sums")).where("asked").drop("asked")
     begin = windows.select(*_TEXT, "start", "size", "m").distinct().join(sums.withColumnRenamed("at", "start").withColumnRenamed("sums", "b"), [*_TEXT, "start"])
     both = begin.withColumn("at", F.col("start") + F.col("m")).join(sums.withColumnRenamed("sums", "e"), [*_TEXT, "at"])
-    halves = [(k, f"(e[{k}] - b[{k}]) & 4294967295L", f"shiftrightunsigned(e[{k}] - b[{k}], 32)") for k in range(32)]
-    fp = " | ".join(f"shiftleft(cast(2 * ({low}) > m as bigint), {2 * k}) | shiftleft(cast(2 * {high} > m as bigint), {2 * k + 1})" for k, low, high in halves)
+    both = both.select(*_TEXT, "start", "size", "m", F.zip_with("e", "b", lambda x, y: x - y).alias("d"))
+    fp = f"aggregate(sequence(0, 63), 0L, (f, j) -> case when 2 * (shiftrightunsigned(d[cast(j div {each} as int)], cast(j % {each} as int) * {wide}) & {(1 << wide) - 1}L) > m then f | shiftleft(1L, j) else f end)"
     return both.select(*_TEXT, "start", "size", "m", F.expr(fp).alias("fp"))
 
 
@@ -159,12 +160,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
         return empty
     shingles = rows.written(items.select("i", "size", F.explode("hashes").alias("h")).groupBy("i", "size", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")))
     pairs = rows.written(_pairs(docs, shingles, shingles.count(), similar))
+    longest = pairs.agg(F.max("n")).first()[0] or 0
     # the texts that can hold an item are read again, each once
     texts = rows.small(pairs.select(*_TEXT).distinct())
     again = docs.select(*rows.text_key(), "text").join(texts, _TEXT, "left_semi").groupBy(*_TEXT).agg(F.first("text").alias("text"))
     places = rows.written(_hashed(again).select(*_TEXT, F.posexplode("hashes").alias("p", "h")))
     windows = rows.written(_windows(places, pairs, shingles, similar))
-    marked = rows.written(_fingerprints(places, windows))
+    marked = rows.written(_fingerprints(places, windows, longest))
     blocks = ", ".join(f"struct({i} as block, {_block(i)} as value)" for i in range(BLOCKS))
     probes = marked.select("*", F.explode(F.expr(f"array({blocks})")).alias("k")).select(*_TEXT, "start", "size", "fp", "k.block", "k.value")
     keys = _item_keys(items.withColumn("item_id", F.col("i"))).withColumnRenamed("fp", "item_fp").withColumnRenamed("item_id", "i")
