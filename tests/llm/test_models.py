@@ -191,3 +191,19 @@ def test_long_and_repeated_rows_of_the_models(spark, docs_of):
     for got in (quality.score(docs, labels), toxicity.score(docs, labels), language_id.identify(docs)):
         got = got.collect()
         assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 99}) == 1
+
+
+def test_equal_scores_are_one_point_in_any_order():
+    x, y = np.array([1.0, 1, 1, 1, 2]), np.array([0.0, 0, 1, 1, 1])
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        order = rng.permutation(5)
+        steps, values = quality.isotonic(x[order], y[order])
+        assert list(np.interp([1.0, 2.0], steps, values)) == [0.5, 1.0]
+    x, y = rng.integers(0, 9, 300).astype(float), rng.integers(0, 2, 300).astype(float)
+    first = quality.isotonic(x, y)
+    for _ in range(10):
+        order = rng.permutation(300)
+        again = quality.isotonic(x[order], y[order])
+        assert np.allclose(first[0], again[0]) and np.allclose(first[1], again[1])
+    assert np.all(np.diff(first[1]) >= 0)
