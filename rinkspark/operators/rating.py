@@ -3,13 +3,43 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rinkspark.functions.elo import FLOOR, STANDARD, START, Strategy
 
+_RATED = "league_id int, season int, team_id long, games_played int, rating int"
+#: Rows that a task hands on at once.
+ROWS = 20_000
+
+
+def _folded(strategy: Strategy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ratings after each game of seasons that come one after another, each in order; a season's teams are all that is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                out = [[] for _ in range(5)]
+                games = batch.slice(lo, ROWS)
+                for league, season, home, away, score, away_score in zip(*(c.to_pylist() for c in games.columns)):
+                    if now != (league, season):
+                        now, state = (league, season), {}
+                    (a, n), (b, m) = state.get(home, (START, 0)), state.get(away, (START, 0))
+                    share = 1 / (1 + 10 ** ((b - a) / strategy.scale))
+                    up = int(math.trunc(max(a + strategy.factor(a, n) * (score - share), FLOOR)))
+                    down = int(math.trunc(max(b + strategy.factor(b, m) * (away_score - (1 - share)), FLOOR)))
+                    state[home], state[away] = (up, n + 1), (down, m + 1)
+                    for column, pair in zip(out, ((league, league), (season, season), (home, away), (n + 1, m + 1), (up, down))):
+                        column += pair
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["league_id", "season", "team_id", "games_played", "rating"])
+
+    return run
+
 
 def season_ratings(games: DataFrame, teams: DataFrame, strategy: Strategy = STANDARD) -> DataFrame:
     """(league_id, season, team_id, games_played, rating), each team's start included.
@@ -17,27 +47,17 @@ def season_ratings(games: DataFrame, teams: DataFrame, strategy: Strategy = STAN
     Takes ``games(league_id, season, sim_date, ordinal, home_team_id, away_team_id, score, played)``,
     ``score`` the home side's outcome, and ``teams(league_id, season, team_id)``. ``away_score`` is the
     away side's, the rest to one where the games have none. A game moves both teams from their ratings
-    before it, so seasons are folded one by one and are independent.
+    before it, so a season is folded in order and seasons are independent. Spark sorts a season's games;
+    they pass the fold as a stream, which holds the season's teams and a batch of games.
     """
     games = games if "away_score" in games.columns else games.withColumn("away_score", 1 - F.col("score"))
-    columns = ["league_id", "season", "sim_date", "ordinal", "home_team_id", "away_team_id", "score", "away_score"]
-    played = games.where("played").select(*columns)
-
-    def fold(key, season_games: pd.DataFrame, season_teams: pd.DataFrame) -> pd.DataFrame:
-        state = {t: (START, 0) for t in sorted(season_teams["team_id"])}
-        out = [(*key, t, 0, START) for t in state]
-        for g in season_games.sort_values(["sim_date", "ordinal"]).itertuples():
-            (a, n), (b, m) = state.get(g.home_team_id, (START, 0)), state.get(g.away_team_id, (START, 0))
-            share = 1 / (1 + 10 ** ((b - a) / strategy.scale))
-            up = int(math.trunc(max(a + strategy.factor(a, n) * (g.score - share), FLOOR)))
-            down = int(math.trunc(max(b + strategy.factor(b, m) * (g.away_score - (1 - share)), FLOOR)))
-            state[g.home_team_id], state[g.away_team_id] = (up, n + 1), (down, m + 1)
-            out += [(*key, g.home_team_id, n + 1, up), (*key, g.away_team_id, m + 1, down)]
-        return pd.DataFrame(out, columns=["league_id", "season", "team_id", "games_played", "rating"])
-
     by = ["league_id", "season"]
-    schema = "league_id int, season int, team_id long, games_played int, rating int"
-    return played.groupBy(*by).cogroup(teams.select(*by, "team_id").groupBy(*by)).applyInPandas(fold, schema)
+    order = [*by, F.asc_nulls_last("sim_date"), F.asc_nulls_last("ordinal")]
+    kinds = [F.col(c).cast("int").alias(c) for c in by] + [F.col(c).cast("long").alias(c) for c in ("home_team_id", "away_team_id")] + [F.col(c).cast("double").alias(c) for c in ("score", "away_score")]
+    played = games.where("played").repartition(*by).sortWithinPartitions(*order).select(*kinds)
+    start = teams.select(*(F.col(c).cast("int").alias(c) for c in by), F.col("team_id").cast("long").alias("team_id")).distinct()
+    start = start.select("*", F.lit(0).alias("games_played"), F.lit(START).alias("rating"))
+    return start.unionByName(played.mapInArrow(_folded(strategy), _RATED))
 
 
 def wide(ratings: DataFrame, teams: DataFrame, abbreviations: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Registered queries against their SQL on tables made for a fault."""
 
+from datetime import datetime
+
 import duckdb
 import pytest
 
@@ -23,3 +25,16 @@ def test_equal_keys_stay_two_ids(spark, tmp_path, name):
     customer = spark.createDataFrame([(1000003, 3), (1000003, 4), (7, 0)], "c_custkey long, c_nationkey int")
     got, want = _same(spark, tmp_path, name, orders=orders, customer=customer)
     assert got == want
+
+
+def test_seasons_pass_their_fold_as_a_stream(spark, tmp_path):
+    rows = [(k, k * 7 % 40, k % 5 if k < 200 else 3, 1 + k % 3, "ANR"[k * k % 3], "FFO"[k % 3], datetime(2020, 1, 1 + k * 11 % 28)) for k in range(400)]
+    lineitem = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, want = _same(spark, tmp_path, "e05_season_ratings", lineitem=lineitem)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    plan = catalogue.queries()["e05_season_ratings"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan  # those hold a whole season in a Python worker
