@@ -60,12 +60,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each stage's result written to the shared folder and read again, and deleted once the next is written."""
+    """All stages in order, each stage's result written to the shared folder and read again, and deleted once the next is written.
+
+    While they run, shuffle files go when their query ends: no later query reads them, and until the driver
+    collects garbage those of hundreds of queries would pile up. The session's own setting comes back after.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES:
-        docs = rows.written(stage(spark, docs, sf_dir))
-        if before is not None:
-            rows.dropped(before)
-        before = docs
+    kept = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        for _, stage in STAGES:
+            docs = rows.written(stage(spark, docs, sf_dir))
+            if before is not None:
+                rows.dropped(before)
+            before = docs
+    finally:
+        spark.conf.set(CLEANED, kept)
     return docs

@@ -208,8 +208,9 @@ def links(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: float
     parts = crowds.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     nodes = rows.written(parts.join(mixed, "key").select("node", "root").distinct())
+    rows.dropped(met, close, needed, first, members)
     out = rows.written(edges.unionByName(_similar(_prefix_pairs(nodes, sets, similar), sets, similar)))
-    rows.dropped(met, close, needed, sets, first, members, edges, nodes)
+    rows.dropped(sets, edges, nodes)
     return out
 
 
@@ -225,11 +226,14 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     rows.bounded_batches(docs.sparkSession)
     signed = rows.written(docs.select("doc_id", "text").mapInArrow(_signed(words), "doc_id long, node long, fp long, keys array<long>"))
     each = rows.written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    roots = components(links(docs, each.where("size(keys) > 0").select("node", "fp", "keys"), words, similar))
+    found = links(docs, each.where("size(keys) > 0").select("node", "fp", "keys"), words, similar)
+    roots = components(found)
+    rows.dropped(found)
     linked = each.select("node", "first").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = linked.join(least, "root").select("node", "component_id")
     alone = each.where("n > 1").join(groups.select("node"), "node", "left_anti").select("node", F.col("first").alias("component_id"))
     groups = rows.written(groups.unionByName(alone))
+    rows.dropped(each)
     out = signed.select("doc_id", "node").join(rows.small(groups), "node", "left")
     return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
