@@ -26,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     It is the one with the smallest id; rows without an id stay.
     """
     found = near_copies.near_copies(docs)
-    others = rows.written(found.where("doc_id <> component_id").select("doc_id").distinct())
+    others = rows.counted(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(rows.small(others), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -13,8 +13,9 @@ def _downward(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, written, and with it a count and a sum that tell them from others."""
+    return rows.observed(edges, n=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -29,17 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
     Self loops, repeated edges and an empty table are fine; null ends are not edges. Each round is
     written to the shared folder; only a count and a sum come to the driver.
     """
-    now = rows.written(_downward(edges.where("u is not null and v is not null")))
-    seen = _digest(now)
-    while seen[0] and not _stars(now):
+    now, seen = _written(_downward(edges.where("u is not null and v is not null")))
+    while seen["n"] and not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = rows.written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        digest = _digest(after)
+        after, digest = _written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         rows.dropped(now)
         now = after
         if digest == seen:

@@ -104,7 +104,7 @@ def _windows(places: DataFrame, pairs: DataFrame, shingles: DataFrame, similar:
     every start its count.
     """
     pair = pairs.select(*_TEXT, "n", "i").distinct()
-    at = places.join(rows.small(shingles), "h").join(rows.small(pair), [*_TEXT, "i"]).select(*_TEXT, "i", "n", "size", "weight", "h", "p")
+    at = places.join(rows.small(shingles), "h").join(rows.small(pair, of=pairs), [*_TEXT, "i"]).select(*_TEXT, "i", "n", "size", "weight", "h", "p")
     each = at.groupBy(*_TEXT, "i", "n", "size", "weight", "h").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     each = each.select(*_TEXT, "i", "n", "size", F.posexplode("ps").alias("x", "p"), "ps", "weight")
     each = each.withColumn("q", F.when(F.col("x") >= F.col("weight"), F.expr("ps[x - weight]")).otherwise(-1)).drop("ps", "x", "weight")
@@ -132,7 +132,7 @@ def _fingerprints(places: DataFrame, windows: DataFrame, longest: int) -> DataFr
     parts = -(-64 // each)
     spread = F.expr(f"transform(sequence(0, {parts - 1}), k -> aggregate(sequence(0, {each - 1}), 0L, (a, l) -> a + case when k * {each} + l < 64 then shiftleft(shiftrightunsigned(h, k * {each} + l) & 1L, l * {wide}) else 0L end))")
     ends = windows.select(*_TEXT, F.explode(F.array("start", F.col("start") + F.col("m"))).alias("at")).distinct()
-    steps = places.join(rows.small(windows.select(*_TEXT).distinct()), _TEXT, "left_semi").select(*_TEXT, (F.col("p") + 1).alias("at"), spread.alias("c"), F.lit(False).alias("asked"))
+    steps = places.join(rows.small(windows.select(*_TEXT).distinct(), of=windows), _TEXT, "left_semi").select(*_TEXT, (F.col("p") + 1).alias("at"), spread.alias("c"), F.lit(False).alias("asked"))
     every = steps.unionByName(ends.select(*_TEXT, "at", F.lit(None).cast("array<bigint>").alias("c"), F.lit(True).alias("asked")))
     so_far = Window.partitionBy(*_TEXT).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     sums = every.select(*_TEXT, "at", "asked", F.array(*(F.coalesce(F.sum(F.get("c", F.lit(k))).over(so_far), F.lit(0)) for k in range(parts))).alias("sums")).where("asked").drop("asked")
@@ -153,19 +153,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
     item; long texts are one array of words. Repeated rows give one result an id; a null id is a value like any other. Each
     item is a row of its own, whatever others reach; items of one id are held together. Either table may be empty.
     """
-    items = rows.written(benchmark_items(benchmark).withColumn("i", F.monotonically_increasing_id()))
-    n_items = items.count()
+    items, seen = rows.observed(benchmark_items(benchmark).withColumn("i", F.monotonically_increasing_id()), rows=F.count(F.lit(1)))
+    n_items = seen["rows"]
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_windows long")
     if not n_items:
         return empty
-    shingles = rows.written(items.select("i", "size", F.explode("hashes").alias("h")).groupBy("i", "size", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")))
-    pairs = rows.written(_pairs(docs, shingles, shingles.count(), similar))
-    longest = pairs.agg(F.max("n")).first()[0] or 0
+    shingles = rows.counted(items.select("i", "size", F.explode("hashes").alias("h")).groupBy("i", "size", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")))
+    pairs = rows.counted(_pairs(docs, shingles, shingles._counted["rows"], similar), longest=F.max("n"))
+    longest = pairs._counted["longest"] or 0
     # the texts that can hold an item are read again, each once
-    texts = rows.small(pairs.select(*_TEXT).distinct())
+    texts = rows.small(pairs.select(*_TEXT).distinct(), of=pairs)
     again = docs.select(*rows.text_key(), "text").join(texts, _TEXT, "left_semi").groupBy(*_TEXT).agg(F.first("text").alias("text"))
     places = rows.written(_hashed(again).select(*_TEXT, F.posexplode("hashes").alias("p", "h")))
-    windows = rows.written(_windows(places, pairs, shingles, similar))
+    windows = rows.counted(_windows(places, pairs, shingles, similar))
     marked = rows.written(_fingerprints(places, windows, longest))
     blocks = ", ".join(f"struct({i} as block, {_block(i)} as value)" for i in range(BLOCKS))
     probes = marked.select("*", F.explode(F.expr(f"array({blocks})")).alias("k")).select(*_TEXT, "start", "size", "fp", "k.block", "k.value")
@@ -180,5 +180,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> Da
 
 def clean(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``docs`` without the documents that hold a near copy of an item; rows without an id stay."""
-    dirty = rows.written(leaks(docs, benchmark, similar).select("doc_id").distinct())
+    dirty = rows.counted(leaks(docs, benchmark, similar).select("doc_id").distinct())
     return docs.join(rows.small(dirty), "doc_id", "left_anti").select(*docs.columns)

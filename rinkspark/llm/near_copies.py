@@ -125,7 +125,9 @@ def _sets(words: int):
                 kept[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
                 begin = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=hi - lo))])
                 bags = np.bincount(owner[kept] * BAGS + (hashes[kept] % np.uint64(BAGS)).astype(np.int64), minlength=(hi - lo) * BAGS)
-                bags = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BAGS), pa.array(bags.astype(np.int32)))
+                # one byte a bucket keeps the rows of the joins short; a set that needs more has no histogram and is bounded by its size alone
+                large = bags.reshape(-1, BAGS).max(axis=1) > 127
+                bags = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BAGS), pa.array(np.minimum(bags, 127).astype(np.int8)), mask=pa.array(large))
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), _lists(hashes[kept], begin), bags], names=["node", "set", "bag"])
 
     return find
@@ -158,12 +160,12 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, similar: float) -> DataFram
     head = order.select("node", "root", "size", F.expr(head).alias("head"))
     head = rows.written(head.select("*", F.posexplode("head").alias("at", "h")))
     # a shingle whose sets are all of one root tells nothing
-    across = head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    across = rows.counted(head.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"))
     head = head.join(rows.small(across), "h").join(sets.select("node", "bag"), "node")
     other = head.select("h", F.col("node").alias("v"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("head").alias("heads"), F.col("at").alias("place"), F.col("bag").alias("bags"))
     pairs = head.join(other, "h").where("node < v and root <> r").where(F.least("size", "n") / F.greatest("size", "n") >= similar)
     pairs = pairs.where(f"least(size - at, n - place) >= {similar / (1 + similar)}D * (size + n) - 1e-6D").where("get(array_intersect(head, heads), 0) = h")
-    pairs = pairs.where(f"aggregate(zip_with(bag, bags, (a, b) -> least(a, b)), 0, (s, x) -> s + x) >= {similar / (1 + similar)}D * (size + n) - 1e-6D")
+    pairs = pairs.where(f"coalesce(aggregate(zip_with(bag, bags, (a, b) -> least(a, b)), 0, (s, x) -> s + x), size + n) >= {similar / (1 + similar)}D * (size + n) - 1e-6D")
     return pairs.select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), F.col("n").alias("nv"))
 
 
@@ -188,14 +190,13 @@ def links(docs: DataFrame, signed: DataFrame, words: int = WORDS, similar: float
     link between components is lost.
     """
     keyed = signed.select("node", F.explode("keys").alias("key"))
-    met = rows.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = rows.counted(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = rows.written(keyed.join(rows.small(met), "key"))
     close = rows.written(_by_fingerprint(signed.select("node", "fp")).distinct())
     needed = members.select("node").union(close.select("u")).union(close.select("v")).distinct()
-    needed = rows.written(needed)
-    n_needed = needed.count()
+    needed = rows.counted(needed)
     rows.bounded_batches(docs.sparkSession)
-    sets = docs.select("text").mapInArrow(_sets(words), "node long, set array<long>, bag array<int>").join(rows.small(needed, n_needed), "node").dropDuplicates(["node"])
+    sets = docs.select("text").mapInArrow(_sets(words), "node long, set array<long>, bag array<tinyint>").join(rows.small(needed), "node").dropDuplicates(["node"])
     sets = rows.written(sets.select("node", F.size("set").alias("size"), "set", "bag"))
     first = rows.written(_similar(close, sets, similar))
     members = rows.written(members.join(components(first), "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
@@ -233,7 +234,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = linked.join(least, "root").select("node", "component_id")
     alone = each.where("n > 1").join(groups.select("node"), "node", "left_anti").select("node", F.col("first").alias("component_id"))
-    groups = rows.written(groups.unionByName(alone))
+    groups = rows.counted(groups.unionByName(alone))
     rows.dropped(each)
     out = signed.select("doc_id", "node").join(rows.small(groups), "node", "left")
     return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

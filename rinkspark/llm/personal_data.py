@@ -146,27 +146,27 @@ def scored_instances(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = rows.written(edges.select("kind", "i", F.xxhash64("p").alias("p")).distinct())
     sizes = rows.written(edges.groupBy("p").agg(F.countDistinct("i").alias("all")))
     seeds, unknown = edges.where("kind <> ''"), edges.where("kind = ''").select("i", "p")
-    accepted = rows.written(seeds.select("i", "kind", F.lit(1.0).alias("score")).limit(0))
+    accepted = rows.counted(seeds.select("i", "kind", F.lit(1.0).alias("score")).limit(0))
     patterns = seeds.limit(0).select("p", "kind", F.lit(0.0).alias("sure"))
     for _ in range(rounds):
         # a pattern can be confident only with enough seeds and accepted instances of one kind
         told = seeds.select("kind", "i", "p").unionByName(unknown.join(rows.small(accepted), "i").select("kind", "i", "p")).distinct()
         able = told.groupBy("p", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
         able = able.join(sizes, "p").join(patterns, ["p", "kind"], "left").select("p", "kind", "seeds", "all", F.coalesce("sure", F.col("seeds") / F.col("all")).alias("sure"))
-        able = rows.written(able)
-        left = rows.written(unknown.join(rows.small(accepted.select("i")), "i", "left_anti").join(rows.small(able.select("p").distinct()), "p", "left_semi"))
-        if not left.count():
+        able = rows.counted(able)
+        left = rows.counted(unknown.join(rows.small(accepted.select("i"), of=accepted), "i", "left_anti").join(rows.small(able.select("p").distinct(), of=able), "p", "left_semi"))
+        if not left._counted["rows"]:
             break
         # an instance's score for a kind is the noisy-or of its patterns of that kind
         scores = left.join(able, "p").groupBy("i", "kind").agg(_noisy_or("sure").alias("score"))
         gained = left.join(scores, "i").groupBy("p", "kind").agg(F.sum("score").alias("gained"))
         sure = F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gained", F.lit(0.0)) * F.col("seeds") / F.col("all")) / F.col("all"))
-        patterns = rows.written(able.join(gained, ["p", "kind"], "left").select("p", "kind", sure.alias("sure")))
+        patterns = rows.counted(able.join(gained, ["p", "kind"], "left").select("p", "kind", sure.alias("sure")))
         good = patterns.where(F.col("sure") >= CONFIDENT)
-        new = left.join(rows.small(good), "p").groupBy("i", "kind").agg(_noisy_or("sure").alias("score")).where(F.col("score") >= ACCEPT)
+        new = left.join(rows.small(good, of=patterns), "p").groupBy("i", "kind").agg(_noisy_or("sure").alias("score")).where(F.col("score") >= ACCEPT)
         # the kind that fits best; of equals the last in the alphabet
         new = new.groupBy("i").agg(F.max(F.struct("score", "kind")).alias("b")).select("i", "b.kind", "b.score")
-        accepted = rows.written(accepted.unionByName(new))
+        accepted = rows.counted(accepted.unionByName(new))
     return accepted
 
 
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found = scored_instances(scanned, rounds)
     best = found.select("i", "kind")
     unknown = scanned.select("row", F.explode("seen").alias("s")).where("s.kind = ''").select("row", F.xxhash64("s.instance").alias("i"), "s.start", "s.end")
-    added = unknown.join(rows.small(best), "i").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(True).alias("added"))).alias("more"))
+    added = unknown.join(rows.small(best, of=found), "i").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(True).alias("added"))).alias("more"))
     out = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     kinds = "array('" + "','".join(KINDS) + "')"
     every = F.expr("concat(transform(base, b -> struct(b.kind, b.start, b.end, false as added)), coalesce(more, cast(array() as array<struct<kind:string,start:bigint,end:bigint,added:boolean>>)))")
@@ -209,7 +209,7 @@ def masked(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     row, found = rows.fresh(docs, "row"), rows.fresh(docs, "spans")
     keyed = rows.written(docs.select(F.monotonically_increasing_id().alias(row), *docs.columns))
     spans = scan(keyed.select(F.col(row).alias("doc_id"), "text"), rounds)
-    touched = rows.written(spans.where("size(spans) > 0").select(F.col("doc_id").alias(row), F.col("spans").alias(found)))
+    touched = rows.counted(spans.where("size(spans) > 0").select(F.col("doc_id").alias(row), F.col("spans").alias(found)))
     out = keyed.join(rows.small(touched), row, "left").select(*docs.columns, found)
     return out.mapInArrow(_masker(found), keyed.select(*docs.columns).schema)
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows, and when the
@@ -46,6 +46,24 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``df`` as ``written`` gives it, and aggregates of its rows that the same query takes along."""
+    seen = Observation()
+    out = written(df.observe(seen, *(m.alias(k) for k, m in measures.items())))
+    return out, seen.get
+
+
+def counted(df: DataFrame, **measures: Column) -> DataFrame:
+    """``df`` as ``written`` gives it, measured for ``small`` by the query that writes it; more measures are in ``_counted``.
+
+    Each query that only counts has a plan and statistics that the driver keeps, so it holds fewer of them.
+    """
+    loose = _loose(df)
+    out, seen = observed(df, rows=F.count(F.lit(1)), bytes=_taken(loose) if loose else F.max(F.lit(0)), **measures)
+    out._counted = seen
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for table in tables:
@@ -70,19 +88,30 @@ def _delete_all() -> None:
             return
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def _loose(df: DataFrame) -> list[str]:
+    """Columns without a fixed size."""
+    return [c for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
+
+
+def _taken(loose: list[str]) -> Column:
+    return F.sum(F.octet_length(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in loose)))))
+
+
+def small(df: DataFrame, rows: int | None = None, of: DataFrame | None = None) -> DataFrame:
     """``df`` marked for broadcast if it was measured to be small; otherwise the planner decides.
 
-    ``rows`` is its number of rows, or a bound of it, where that is known.
+    ``rows`` is its number of rows, or a bound of it, where that is known. ``of`` is a ``counted`` table that
+    ``df`` takes rows and columns from, each at most once: where that is small, ``df`` needs no query of its own.
     """
+    known = getattr(df if of is None else of, "_counted", None) if rows is None else None
+    loose = _loose(df)
+    if known and known["rows"] <= BROADCAST_ROWS and (not loose or (known["bytes"] or 0) <= BROADCAST_BYTES):
+        return F.broadcast(df)
+    if known and of is None:
+        return df
     rows = df.count() if rows is None else rows
-    if rows > BROADCAST_ROWS:
+    if rows > BROADCAST_ROWS or loose and (df.agg(_taken(loose)).first()[0] or 0) > BROADCAST_BYTES:
         return df
-    loose = [c for c, kind in df.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
-    if loose:
-        taken = F.sum(F.octet_length(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in loose)))))
-        if (df.agg(taken).first()[0] or 0) > BROADCAST_BYTES:
-            return df
     return F.broadcast(df)
 
 

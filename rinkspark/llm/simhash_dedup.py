@@ -75,11 +75,11 @@ def links(prints: DataFrame, whole: bool = True) -> DataFrame:
     """
     # few files may hold many fingerprints: they are spread before each becomes 64 rows
     keyed = _variants(prints.repartition("fp"))
-    met = rows.written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
+    met = rows.counted(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), more=F.count_if(F.col("n") > 2))
     close = f"bit_count(u ^ v) <= {RADIUS}"
     two = met.where("n = 2").where(close).select("u", "v")
     more = met.where("n > 2").select("key", "n")
-    members = rows.written(keyed.join(rows.small(more), "key"))
+    members = rows.written(keyed.join(rows.small(more, met._counted["more"]), "key"))
     few = members.where(f"n <= {CROWD}").select("key", F.col("fp").alias("u"))
     few = few.join(few.select("key", F.col("u").alias("v")), "key").where("u < v").where(close).select("u", "v")
     if not whole:
@@ -109,6 +109,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = linked.join(least, "root").select("fp", "component_id")
     alone = each.where("n > 1").join(groups.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    groups = rows.written(groups.unionByName(alone))
+    groups = rows.counted(groups.unionByName(alone))
     out = prints.join(rows.small(groups), "fp", "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))

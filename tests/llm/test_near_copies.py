@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 
 from rinkspark.llm import near_copies
 
@@ -56,6 +57,20 @@ def test_crowded_bands_keep_every_component(docs_of, monkeypatch):
     _check(docs_of, _edited(2))
 
 
+def test_a_set_too_large_for_a_byte_a_bucket_has_no_histogram():
+    texts = [" ".join(f"w{i * i}" for i in range(20_000)), "a b c d e f g"]
+    (got,) = near_copies._sets(5)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    assert [len(x) for x in got["set"].to_pylist()] == [19_996, 3]
+    assert got["bag"].type == pa.list_(pa.int8()) and [x and sum(x) for x in got["bag"].to_pylist()] == [None, 3]
+
+
+def test_pairs_of_sets_without_histogram_are_kept(spark):
+    full, none = [20] + [0] * 127, None
+    sets = spark.createDataFrame([(i, 20, list(range(20)), bag) for i, bag in enumerate([none, none, full, [0] * 127 + [20]])], "node long, size int, set array<long>, bag array<tinyint>")
+    pairs = near_copies._prefix_pairs(sets.selectExpr("node", "node as root"), sets, 0.8)
+    assert {(r.u, r.v) for r in pairs.collect()} == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)}
+
+
 def test_no_documents(docs_of):
     assert near_copies.near_copies(docs_of([(1, "x")]).limit(0)).count() == 0
 
